@@ -1,0 +1 @@
+"""Trusted-facts analytics on Spark."""
