@@ -5,8 +5,8 @@ key of the other collection is a table key. So `COLLECTION`² tables need only 4
 
 Equal shingle sets count as one. Rows with one table key lie together in a range-partitioned, sorted stream; a key that
 many rows hold is spread over many tasks. Each run ties its members to one member, by a random order for each key, so
-large groups need a number of pairs in proportion to their size. What is still apart after those links are confirmed and
-components are known is compared in full. Links are confirmed on full sets.
+large groups need a number of pairs in proportion to their size. Groups that are still apart after those links are confirmed
+and components are known are compared in full, in blocks of sets. Links are confirmed on full sets.
 
 Defined results: null texts and texts without words have empty sets, n_shingles 0, and link with nothing; fewer words than a
 shingle make one shingle; a null doc_id counts as smaller than all others; rows with equal texts share a component; an
@@ -38,8 +38,10 @@ SKETCH_AGREE = 41
 NULL_ID = -(1 << 63)
 #: Ids that go to all executors at most (8 bytes each); beyond that they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Partners, the likeliest first, that a document's first links are sought among.
+#: Partners, the likeliest first, that a document's first links are sought among; the rest are compared block by block.
 FIRST_PARTNERS = 2
+#: Sets of a block.
+BLOCK = 256
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _RNG = np.random.default_rng(20240229)
@@ -205,17 +207,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     edges = materialize(_verified(first, full, percent), "edges1")
     labels = _labels(edges)
 
-    # pairs of sets that share a key and are still apart
-    rest = _apart(scored.select("a", "b"), labels).join(first, ["a", "b"], "left_anti")
-    edges = edges.unionByName(materialize(_verified(rest, full, percent), "edges2"))
-    labels = _labels(edges)
-    in_key = members.select("key", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    several = in_key.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-    apart = materialize(in_key.join(several, "key", "left_semi").join(taking_part, "id"), "apart")
-    x, y = apart.alias("x"), apart.alias("y")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & _likely("x", "y", percent)).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
-    tested = scored.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    edges = edges.unionByName(materialize(_verified(across.join(tested, ["a", "b"], "left_anti"), full, percent), "edges3"))
+    # sets that stars tie together but no confirmed link yet: all pairs of a group's blocks, but those of one component
+    tied = connected_components(scored.select("a", "b")).withColumnsRenamed({"node": "id", "root": "group"})
+    ids = scored.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    grouped = ids.join(tied, "id", "left").join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("group", "id").alias("group"), F.coalesce("root", "id").alias("root"))
+    several = grouped.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("group")
+    apart = materialize(grouped.join(several, "group", "left_semi").join(taking_part, "id"), "apart")
+    edges = edges.unionByName(materialize(_links_between_blocks(apart, full, percent), "edges2"))
 
     roots = _labels(edges).withColumnRenamed("node", "id")
     of_set = materialize(sets.select("id", "s1", "s2").join(roots, "id", "left").select("s1", "s2", F.coalesce("root", "id").alias("component_id")), "classes")
@@ -233,10 +231,92 @@ def _labels(edges: DataFrame) -> DataFrame:
     return connected_components(edges)
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose ends have different roots."""
-    la, lb = (labels.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
-    return pairs.join(la, "a", "left").join(lb, "b", "left").filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+def _block_links(x: list[dict], y: list[dict], percent: int) -> list[tuple[int, int]]:
+    """Links between sets of two blocks (or one, given twice) that tie their components together, each tie once."""
+    same = x is y
+    col = lambda rows, c, kind: np.array([r[c] for r in rows], kind)
+    n, m = col(x, "n_shingles", np.int64)[:, None], col(y, "n_shingles", np.int64)[None, :]
+    differ = (col(x, "bits1", np.int64)[:, None] ^ col(y, "bits1", np.int64)[None, :]) | (col(x, "bits2", np.int64)[:, None] ^ col(y, "bits2", np.int64)[None, :])
+    likely = (64 - np.bitwise_count(differ.view(np.uint64)).astype(np.int64) >= SKETCH_AGREE) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+    likely &= col(x, "root", np.int64)[:, None] != col(y, "root", np.int64)[None, :]
+    if same:
+        likely = np.triu(likely, 1)
+    i, j = np.flatnonzero(likely.any(1)), np.flatnonzero(likely.any(0))
+    if not len(i):
+        return []
+    common = _common([np.frombuffer(x[k]["shingles"], np.uint64) for k in i], [np.frombuffer(y[k]["shingles"], np.uint64) for k in j])
+    sub = np.ix_(i, j)
+    linked = likely[sub] & (100 * common >= percent * ((n + m)[sub] - common))
+    above: dict[int, int] = {}
+
+    def top(k: int) -> int:
+        while above.get(k, k) != k:
+            above[k] = k = above.get(above[k], above[k])
+        return k
+
+    out = []
+    for p, q in zip(*np.nonzero(linked)):
+        one, other = x[i[p]], y[j[q]]
+        r, t = top(one["root"]), top(other["root"])
+        if r != t:
+            above[r] = t
+            out.append((one["id"], other["id"]))
+    return out
+
+
+def _common(a: list[np.ndarray], b: list[np.ndarray], width: int = 16384) -> np.ndarray:
+    """Sizes of all intersections: a product of 0/1 matrices over the shingles that occur twice, some columns at a time."""
+    flat = np.concatenate([*a, *b])
+    row = np.repeat(np.arange(len(a) + len(b)), [len(v) for v in (*a, *b)])
+    _, number, count = np.unique(flat, return_inverse=True, return_counts=True)
+    twice = count > 1
+    new = np.cumsum(twice) - 1
+    keep = twice[number]
+    row, number = row[keep], new[number[keep]]
+    order = np.argsort(number, kind="stable")
+    row, number = row[order], number[order]
+    out = np.zeros((len(a), len(b)), np.int64)
+    for low in range(0, int(twice.sum()), width):
+        lo, hi = np.searchsorted(number, [low, low + width])
+        block = np.zeros((len(a) + len(b), width), np.float32)
+        block[row[lo:hi], number[lo:hi] - low] = 1
+        out += (block[: len(a)] @ block[len(a) :].T).astype(np.int64)
+    return out
+
+
+def _links_between_blocks(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between sets of one group (group, root, id, sizes, sketches) that have different roots.
+
+    A group is dealt to blocks of about BLOCK sets, those of a large component to blocks of their own; every pair of blocks
+    that isn't of one component meets in one row, whose sets are multiplied there. So the rows are few, and no group is
+    ever in one task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for k in range(batch.num_rows):
+                x = batch.column(0)[k].as_py()
+                y = batch.column(1)[k].as_py()
+                out += _block_links(x, x if y is None else y, percent)
+            yield pa.record_batch([pa.array([p for p, _ in out], pa.int64()), pa.array([q for _, q in out], pa.int64())], ["a", "b"])
+
+    small = F.lit(-(1 << 62))
+    of_root = apart.groupBy("group", "root").agg(F.count("*").alias("n"))
+    kinds = of_root.select("group", "root", F.when(F.col("n") >= BLOCK, F.col("root")).otherwise(small).alias("kind"), "n")
+    of_kind = kinds.groupBy("group", "kind").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
+    placed = apart.join(kinds.drop("n"), ["group", "root"]).join(of_kind, ["group", "kind"]).withColumn("part", F.xxhash64("kind", F.pmod(F.xxhash64("id"), "blocks")))
+    member = F.struct("id", "root", "n_shingles", "bits1", "bits2", "shingles")
+    blocks = materialize(placed.join(sets, "id").groupBy("group", "kind", "part").agg(F.collect_list(member).alias("members")), "blocks")
+    heads = blocks.select("group", "kind", "part")
+    x, y = heads.alias("x"), heads.alias("y")
+    pairs = x.join(y, (F.col("x.group") == F.col("y.group")) & (F.col("x.part") <= F.col("y.part")) & ((F.col("x.kind") != F.col("y.kind")) | (F.col("x.kind") == small)))
+    pairs = pairs.select(F.col("x.group").alias("group"), F.col("x.part").alias("p"), F.col("y.part").alias("q"))
+    first = blocks.select("group", F.col("part").alias("p"), F.col("members").alias("xs"))
+    second = blocks.select("group", F.col("part").alias("q"), F.col("members").alias("ys"))
+    alone = pairs.filter("p = q").join(first, ["group", "p"]).select("xs", F.lit(None).cast(dict(second.dtypes)["ys"]).alias("ys"))
+    two = pairs.filter("p < q").join(first, ["group", "p"]).join(second, ["group", "q"]).select("xs", "ys")
+    return alone.unionByName(two).mapInArrow(run, "a long, b long")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
