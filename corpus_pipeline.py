@@ -20,7 +20,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents without a letter, and those for which no language stands out, go."""
     model = language.fit(docs.filter(~language.held_out(F.col("doc_id"))))
     found = language.predict(docs, model)
-    return found.filter((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    return found.filter((F.col("_tm_lang") != language.UNDETERMINED) & (F.col("_tm_score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

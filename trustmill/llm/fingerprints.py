@@ -1,7 +1,7 @@
 """SimHash fingerprints with DataFrame functions alone.
 
-A term is a shingle of five words; its hash votes for each of 64 bits with the weight of its occurrences. Votes are summed
-two bits to a long: bit j in the low half, bit j + 32 in the high half.
+A term is a shingle of five words; its two hashes vote for each of 128 bits with the weight of its occurrences. Votes are
+summed two bits to a long: of each hash, bit j in the low half, bit j + 32 in the high half. A fingerprint is two longs.
 
 Defined results: a null or empty text has no term and the fingerprint 0; fewer words than a shingle count as one shingle; a
 tie of votes gives 0; equal texts have equal fingerprints; repeated rows are neighbours like others, in order of their
@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 from .shared import ascii_lower, materialize
 
 SHINGLE = 5
-BITS = 64
+BITS = 128
 #: Documents of a neighbourhood, on average, and the most neighbourhoods: their bounds go to all executors.
 BUCKET_ROWS = 256
 MAX_BUCKETS = 1 << 16
@@ -44,33 +44,40 @@ def _shingled(hashes: Column, shingle: int) -> Column:
     return F.transform(F.array(hashes), of)[0]
 
 
-def votes(term: Column) -> list[Column]:
-    return [F.sum(F.shiftright(term, j).bitwiseAND(F.lit(_BOTH))).alias(f"v{j}") for j in _LANES]
+def votes(term: Column, name: str) -> list[Column]:
+    return [F.sum(F.shiftright(term, j).bitwiseAND(F.lit(_BOTH))).alias(f"{name}{j}") for j in _LANES]
 
 
-def fingerprint(total: Column) -> Column:
-    """The 64 bits as a long from the sums v0..v31 and the number of terms."""
-    low = lambda j: F.col(f"v{j}").bitwiseAND(F.lit((1 << 32) - 1))
-    high = lambda j: F.shiftrightunsigned(F.col(f"v{j}"), 32)
+def fingerprint(total: Column, name: str) -> Column:
+    """64 bits as a long from the sums of one hash and the number of terms."""
+    low = lambda j: F.col(f"{name}{j}").bitwiseAND(F.lit((1 << 32) - 1))
+    high = lambda j: F.shiftrightunsigned(F.col(f"{name}{j}"), 32)
     bit = lambda count, j: F.when(2 * count > total, F.shiftleft(F.lit(1).cast("long"), j)).otherwise(F.lit(0).cast("long"))
     bits = [bit(low(j), j) for j in _LANES] + [bit(high(j), j + 32) for j in _LANES]
     return reduce(lambda a, b: a.bitwiseOR(b), bits)
 
 
+def distance(a: Column, b: Column) -> Column:
+    """Bits that differ."""
+    return F.bit_count(a["lo"].bitwiseXOR(b["lo"])) + F.bit_count(a["hi"].bitwiseXOR(b["hi"]))
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Share of equal bits."""
-    return 1 - F.bit_count(a.bitwiseXOR(b)) / F.lit(float(BITS))
+    return 1 - distance(a, b) / F.lit(float(BITS))
 
 
-def as_text(bits: Column) -> Column:
-    return F.lpad(F.lower(F.hex(bits)), 16, "0")
+def as_text(fp: Column) -> Column:
+    return F.concat(*(F.lpad(F.lower(F.hex(fp[half])), 16, "0") for half in ("hi", "lo")))
 
 
 def fingerprints(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """keys and `fp`; a key's rows must be one text. The sums are made before any exchange, one row for each key."""
+    """keys and `fp` (struct of lo and hi); a key's rows must be one text. The sums are made before any exchange, one row for each key."""
     term = texts.select(*keys, F.explode_outer(terms(F.coalesce(F.col(text), F.lit("")))).alias("term"))
-    summed = term.groupBy(*keys).agg(F.count("term").alias("n"), *votes(F.col("term")))
-    return summed.select(*keys, F.coalesce(fingerprint(F.col("n")), F.lit(0).cast("long")).alias("fp"))
+    second = F.when(F.col("term").isNotNull(), F.xxhash64(F.lit(1), "term"))
+    summed = term.withColumn("term2", second).groupBy(*keys).agg(F.count("term").alias("n"), *votes(F.col("term"), "v"), *votes(F.col("term2"), "u"))
+    half = lambda name: F.coalesce(fingerprint(F.col("n"), name), F.lit(0).cast("long"))
+    return summed.select(*keys, F.struct(half("v").alias("lo"), half("u").alias("hi")).alias("fp"))
 
 
 def _bucket(value: Column, bounds: list[int]) -> Column:
@@ -127,16 +134,16 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
 
 
 def block_keys(fp: Column, radius: int, chosen: int = 3) -> Column:
-    """One key for each choice of `chosen` of radius + chosen blocks: fingerprints within the radius share at least one."""
+    """One key of the low half for each choice of `chosen` of radius + chosen blocks: fingerprints within the radius share one."""
     from itertools import combinations
 
     blocks = radius + chosen
-    edges = [BITS * k // blocks for k in range(blocks + 1)]
+    edges = [64 * k // blocks for k in range(blocks + 1)]
     keys = []
     for number, some in enumerate(combinations(range(blocks), chosen)):
         mask = sum(((1 << edges[b + 1]) - (1 << edges[b])) for b in some)
         signed = mask - (1 << 64) if mask >> 63 else mask
-        keys.append(F.struct(F.lit(number).alias("table"), fp.bitwiseAND(F.lit(signed)).alias("key")))
+        keys.append(F.struct(F.lit(number).alias("table"), fp["lo"].bitwiseAND(F.lit(signed)).alias("key")))
     return F.array(*keys)
 
 
@@ -147,5 +154,5 @@ def within_radius(queries: DataFrame, index: DataFrame, radius: int = 3) -> Data
     """
     q = queries.select(F.col("fp").alias("query_fp")).distinct().withColumn("x", F.explode(block_keys(F.col("query_fp"), radius))).select("query_fp", "x.table", "x.key")
     i = materialize(index.select("fp").distinct(), "fingerprints").withColumn("x", F.explode(block_keys(F.col("fp"), radius))).select("fp", "x.table", "x.key")
-    distance = F.bit_count(F.col("query_fp").bitwiseXOR(F.col("fp")))
-    return q.join(i, ["table", "key"]).filter(distance <= radius).select("query_fp", "fp", distance.alias("distance")).distinct()
+    apart = distance(F.col("query_fp"), F.col("fp"))
+    return q.join(i, ["table", "key"]).filter(apart <= radius).select("query_fp", "fp", apart.alias("distance")).distinct()

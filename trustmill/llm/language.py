@@ -151,7 +151,7 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs with `lang_pred` and `score`, the posterior of that language with equal priors."""
+    """All columns of docs with `_tm_lang`, the predicted language, and `_tm_score`, its posterior with equal priors."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = docs.columns
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
@@ -160,13 +160,13 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         scorer = Scorer(shared.value)
         for batch in batches:
             got = [scorer.predict(x.as_py()) for x in batch.column(columns.index("text"))]
-            yield pa.record_batch([*batch.columns, pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], [*columns, "lang_pred", "score"])
+            yield pa.record_batch([*batch.columns, pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], [*columns, "_tm_lang", "_tm_score"])
 
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return docs.mapInArrow(run, f"{schema}, _tm_lang string, _tm_score double")
 
 
 def identify(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out, lang_pred, score; learns from the rows of docs that are not held out."""
     model = fit(docs.filter(~held_out(F.col("doc_id"))), train_rows)
     out = predict(docs.select("doc_id", F.col("text").cast("string").alias("text")), model)
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_tm_lang").alias("lang_pred"), F.col("_tm_score").alias("score"))

@@ -322,4 +322,5 @@ def _links_between_blocks(apart: DataFrame, sets: DataFrame, percent: int) -> Da
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The documents, all columns, of which each group keeps the one with the smallest doc_id."""
     gone = materialize(near_duplicates(docs, shingle, percent).filter(~F.col("kept")).select("doc_id").distinct(), "gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = gone.withColumnRenamed("doc_id", "_tm_gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, F.col("doc_id").eqNullSafe(F.col("_tm_gone")), "left_anti").select(*docs.columns)
