@@ -90,11 +90,11 @@ def period_type(table: str) -> str:
     return "instant" if table == "balance_sheet" else "duration"
 
 
-FACT = T.StructType.fromDDL(
+FACT = (
     "fact_key string, stock_code string, period string, report_year int, period_ord int, statement_scope string, period_type string, metric string, "
     "table_name string, raw_value string, normalized_value decimal(24,4), source_unit string, target_unit string, source_file string, source_key string, "
     "page_no int, row_label string, column_label string, confidence double, validation_status string, review_version int, "
     "validation_issues array<struct<code:string,message:string,field:string>>"
 )
-SOURCE = T.StructType.fromDDL("source_key string, source_file string, content_sha256 string, stock_code string, period string, source_owner string, authority_status string, current_slot string")
-COMPANY = T.StructType.fromDDL("stock_code string, stock_abbr string, company_name string, industry string")
+SOURCE = "source_key string, source_file string, content_sha256 string, stock_code string, period string, source_owner string, authority_status string, current_slot string"
+COMPANY = "stock_code string, stock_abbr string, company_name string, industry string"

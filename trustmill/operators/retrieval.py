@@ -90,7 +90,8 @@ def quote(text: Column, tokens: Column, length: int = QUOTE) -> Column:
     return F.substring(text, F.greatest(F.lit(1), F.coalesce(F.get(found, 0), F.lit(1)) - length // 3), F.lit(length))
 
 
-ORDER = (F.desc, "score"), (F.desc, "keyword_score"), (F.desc, "vector_score"), (F.asc, "paper_path"), (F.asc, "page_no"), (F.asc, "title")
+#: Order of hits: the best first, then by place.
+ORDER = (("desc", "score"), ("desc", "keyword_score"), ("desc", "vector_score"), ("asc", "paper_path"), ("asc", "page_no"), ("asc", "title"))
 
 
 def search(pages: DataFrame, queries: DataFrame, top_k: int = 3, filters: EvidenceFilter | None = None) -> DataFrame:
@@ -116,7 +117,7 @@ def search(pages: DataFrame, queries: DataFrame, top_k: int = 3, filters: Eviden
     vec = cosine(F.col("query_embedding"), F.col("embedding")) if vectors else F.lit(0.0)
     scored = pairs.withColumns({"_k": kw, "_v": vec}).filter("_k > 0 OR _v > 0")
     scored = scored.withColumns({"score": F.round(KEYWORD * F.col("_k") + VECTOR * F.col("_v"), 8), "keyword_score": F.round("_k", 8), "vector_score": F.round("_v", 8)})
-    best = Window.partitionBy("query_id").orderBy(*(way(c) for way, c in ORDER))
+    best = Window.partitionBy("query_id").orderBy(*(getattr(F, way)(c) for way, c in ORDER))
     hits = scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top_k)
     return hits.select("query_id", "rank", "title", "paper_path", "page_no", "score", "keyword_score", "vector_score", quote(F.col("text"), F.col("tokens")).alias("quote"))
 

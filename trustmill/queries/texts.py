@@ -345,3 +345,49 @@ def rag04_rag05_quotes(spark, sf_dir):
     d = _docs(spark, sf_dir).select("doc_id", F.concat(F.lit("/"), F.col("doc_id").cast("string")).alias("paper_path"), F.lit(1).alias("page_no"), "text")
     cited = d.select("doc_id", "paper_path", "page_no", rt.quote(F.col("text"), F.array(F.lit("tion"))).alias("quote"))
     return rt.verified(cited, d.drop("doc_id")).select("doc_id", "quote", "holds")
+
+
+# ---------------------------------------------------------------- evidence
+
+@query("""SELECT event_id, '/k' AS pointer, json_extract_string(props, '$.k') AS leaf FROM events""")
+def jsn03_json_leaves(spark, sf_dir):
+    from trustmill.operators.evidence import json_leaves
+
+    return json_leaves(testdata.table(spark, sf_dir, "events").select("event_id", "props"), "props").select("event_id", "pointer", "leaf")
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 1 THEN 'value_not_in_evidence' WHEN 2 THEN 'unknown_region' ELSE 'other_page' END AS fault FROM orders WHERE o_orderkey % 4 <> 0")
+def qlt11_open_evidence(spark, sf_dir):
+    from trustmill.operators.evidence import open_evidence
+
+    k = F.col("o_orderkey")
+    printed = F.format_number("o_totalprice", 2)
+    o = testdata.table(spark, sf_dir, "orders")
+    regions = o.select(k.cast("string").alias("document_id"), F.lit("r").alias("region_id"), F.concat(F.lit("净利润 "), printed).alias("text"), F.lit(1).alias("page_no"))
+    facts = o.select("o_orderkey", k.cast("string").alias("document_id"), F.when(k % 4 == 2, "q").otherwise("r").alias("region_id"), printed.alias("raw_value"), F.when(k % 4 == 1, "净利润").otherwise(printed).alias("evidence_text"), F.when(k % 4 == 3, 2).otherwise(1).alias("page_no"))
+    return open_evidence(facts, regions).select("o_orderkey", "fault")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN (o_totalprice::DECIMAL(18,2) * 0.0001)::DOUBLE END AS normalized_value, CASE o_orderkey % 3 WHEN 1 THEN 'other_rule' WHEN 2 THEN 'other_value' END AS fault FROM orders")
+def qlt06_recomputed_plans(spark, sf_dir):
+    from trustmill.operators.evidence import recomputed
+
+    k = F.col("o_orderkey")
+    o = testdata.table(spark, sf_dir, "orders")
+    candidates = o.select(k.alias("candidate_id"), F.format_number("o_totalprice", 2).alias("raw_value"), F.lit("元").alias("source_unit"), F.lit("万元").alias("target_unit"), F.lit(False).alias("negative"))
+    plans = o.select(k.alias("candidate_id"), F.when(k % 3 == 1, "IDENTITY_CNY_YUAN_V1").otherwise("CNY_YUAN_TO_WANYUAN_V1").alias("rule_id"), F.lit("0.0001").alias("factor"), F.when(k % 3 == 2, "1").otherwise(F.format_string("%.2f", "o_totalprice")).alias("proposal"))
+    return recomputed(candidates, plans).select(F.col("candidate_id").alias("o_orderkey"), "normalized_value", "fault")
+
+
+@query("SELECT l_orderkey::VARCHAR AS doc, count(*) AS tokens, max(l_linenumber)::BIGINT AS lines FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem) GROUP BY l_orderkey")
+def src14_reading_order(spark, sf_dir):
+    """Lineitems as boxes: a line for each number, one box for each part."""
+    from trustmill.operators.evidence import reading_order
+
+    li = testdata.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").distinct()
+    top = F.col("l_linenumber") / 100
+    left = F.col("l_partkey") / 1e9
+    boxes = li.select(F.col("l_orderkey").cast("string").alias("doc"), F.lit(1).alias("page_no"), left.alias("left"), top.alias("top"), (left + 1e-10).alias("right"), (top + 0.005).alias("bottom"), F.col("l_partkey").cast("string").alias("text"), F.lit(0.9).alias("confidence"), "l_linenumber")
+    tokens = reading_order(boxes.drop("l_linenumber"))
+    lines = li.groupBy(F.col("l_orderkey").cast("string").alias("doc")).agg(F.max("l_linenumber").alias("lines"))
+    return tokens.groupBy("doc").agg(F.count("*").alias("tokens")).join(lines, "doc")

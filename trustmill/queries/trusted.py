@@ -183,9 +183,9 @@ def win08_trend_summary(spark, sf_dir):
     return trend_summary(rows, "net_profit").select("stock_code", "first", "last", "direction", "low", "high")
 
 
-@query(f"SELECT stock_abbr || period || '利润总额为' || printf('%.2f', total_profit::DOUBLE) || '万元。' AS answer FROM {_one('total_profit')} JOIN company USING (stock_code) WHERE period = '1999FY'", facts=True)
+@query(f"SELECT stock_abbr || ' 在 ' || period || ' 的利润总额为 ' || printf('%.2f', total_profit::DOUBLE) || '万元。' AS answer FROM {_one('total_profit')} JOIN company USING (stock_code) WHERE period = '1999FY'", facts=True)
 def nlq07_answers(spark, sf_dir):
     from trustmill.plans.dialogue import answer_text
 
     r = _rows(spark, sf_dir, QuerySpec("filter", "total_profit", report_period="1999FY", select_fields=("stock_abbr", "report_period", "total_profit")))
-    return answer_text(r, "total_profit", "利润总额", "万元")
+    return answer_text(r, "total_profit")

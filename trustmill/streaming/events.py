@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-EVENTS = T.StructType.fromDDL("event_id long, ts timestamp, user_id long, event_type string, value double, props string")
+EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
-def stream(spark: SparkSession, path: str, schema: T.StructType = EVENTS, files_at_once: int = 16) -> DataFrame:
+def stream(spark: SparkSession, path: str, schema: str | T.StructType = EVENTS, files_at_once: int = 16) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(path)
 
 
