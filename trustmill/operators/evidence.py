@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,27 +21,44 @@ RULES = (
 )
 
 
-def _rows_of_page(pdf: pd.DataFrame) -> pd.DataFrame:
+def _ordered(pdf: pd.DataFrame) -> pd.DataFrame:
     """Boxes by the middle of their height; a box joins the open row if it is off its mean by half a height at most."""
-    pdf = pdf.assign(mid=(pdf.top + pdf.bottom) / 2, height=pdf.bottom - pdf.top).sort_values(["mid", "left"], kind="stable")
-    numbers, n, total, count, tall = [], -1, 0.0, 0, 0.0
-    for mid, height in zip(pdf.mid, pdf.height):
-        if count and abs(mid - total / count) <= max(height, tall) / 2:
+    pdf = pdf.assign(mid=(pdf.top + pdf.bottom) / 2, height=pdf.bottom - pdf.top).sort_values(["doc", "page_no", "mid", "left"], kind="stable")
+    numbers, page, n, total, count, tall = [], None, 0, 0.0, 0, 0.0
+    for doc, page_no, mid, height in zip(pdf.doc, pdf.page_no, pdf.mid, pdf.height):
+        if (doc, page_no) != page:
+            page, n, total, count, tall = (doc, page_no), 0, mid, 1, height
+        elif abs(mid - total / count) <= max(height, tall) / 2:
             total, count, tall = total + mid, count + 1, max(tall, height)
         else:
             n, total, count, tall = n + 1, mid, 1, height
         numbers.append(n)
-    pdf = pdf.assign(row_no=numbers).sort_values(["row_no", "left"], kind="stable")
-    return pdf.assign(token_no=range(1, len(pdf) + 1))[["doc", "page_no", "row_no", "token_no", "text", "confidence"]]
+    pdf = pdf.assign(row_no=numbers).sort_values(["doc", "page_no", "row_no", "left"], kind="stable")
+    return pdf.assign(token_no=pdf.groupby(["doc", "page_no"]).cumcount() + 1)[["doc", "page_no", "row_no", "token_no", "text", "confidence"]]
+
+
+def _whole_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pages lie together in a partition; the last one of a batch waits for the next batch."""
+    held: pd.DataFrame | None = None
+    for pdf in batches:
+        pdf = pdf if held is None else pd.concat([held, pdf])
+        if len(pdf):
+            last = (pdf.doc == pdf.doc.iloc[-1]) & (pdf.page_no == pdf.page_no.iloc[-1])
+            held = pdf[last]
+            yield _ordered(pdf[~last])
+    if held is not None:
+        yield _ordered(held)
 
 
 def reading_order(boxes: DataFrame) -> DataFrame:
-    """(doc, page_no, row_no, token_no, text, confidence) of recognized boxes with relative corners; a page is a group.
+    """(doc, page_no, row_no, token_no, text, confidence) of recognized boxes with relative corners.
 
     Boxes without text, area or a confidence between 0 and 1 are left out.
     """
     good = boxes.filter((F.trim("text") != "") & F.col("confidence").between(0, 1) & (F.col("left") < F.col("right")) & (F.col("top") < F.col("bottom")))
-    return good.groupBy("doc", "page_no").applyInPandas(_rows_of_page, "doc string, page_no int, row_no int, token_no int, text string, confidence double")
+    columns = good.select(F.col("doc").cast("string").alias("doc"), F.col("page_no").cast("int").alias("page_no"), "left", "top", "right", "bottom", "text", "confidence")
+    together = columns.repartition("doc", "page_no").sortWithinPartitions("doc", "page_no")
+    return together.mapInPandas(_whole_pages, "doc string, page_no int, row_no int, token_no int, text string, confidence double")
 
 
 def page_texts(tokens: DataFrame) -> DataFrame:
