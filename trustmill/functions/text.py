@@ -136,3 +136,9 @@ def resolve_companies(texts: DataFrame, companies: DataFrame, text: str = "text"
     by_name = grams.join(gram, "gram").filter(F.contains("_t", F.col("name"))).select("_row", "stock_code", "rank")
     best = by_code.unionByName(by_name).groupBy("_row").agg(F.min(F.struct("rank", "stock_code"))["stock_code"].alias("stock_code"))
     return rows.join(best, "_row", "left").drop("_row")
+
+
+def stock_abbr_in(name: Column, known: Column) -> Column:
+    """The company before the colon of a file name, else the one known for the code."""
+    before = company_name(F.regexp_extract(name, r"^([^:：]+)[:：]", 1))
+    return F.coalesce(F.when(before != "", before), known)

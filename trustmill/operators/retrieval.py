@@ -126,3 +126,14 @@ def verified(citations: DataFrame, pages: DataFrame) -> DataFrame:
     """Citations with `holds`: the page exists and has the quote."""
     found = citations.join(pages.select("paper_path", "page_no", F.col("text").alias("_text")), ["paper_path", "page_no"], "left")
     return found.withColumn("holds", F.coalesce(F.contains("_text", F.col("quote")), F.lit(False))).drop("_text")
+
+
+def inferred_filters(questions: DataFrame, companies: DataFrame) -> DataFrame:
+    """(query_id, company, industry): the company a question names, and the longest industry name that stands in it."""
+    from trustmill.functions.text import resolve_companies
+
+    industries = companies.select("industry").distinct().agg(F.array_sort(F.collect_list("industry")).alias("all"))
+    named = resolve_companies(questions, companies, "query").withColumn("_all", industries.scalar())
+    held = F.filter("_all", lambda i: F.contains(F.col("query"), i))
+    longest = F.get(F.array_sort(F.transform(held, lambda i: F.struct((-F.length(i)).alias("n"), i.alias("i")))), 0)["i"]
+    return named.select("query_id", F.col("stock_code").alias("company"), longest.alias("industry"))

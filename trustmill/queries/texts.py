@@ -391,3 +391,17 @@ def src14_reading_order(spark, sf_dir):
     tokens = reading_order(boxes.drop("l_linenumber"))
     lines = li.groupBy(F.col("l_orderkey").cast("string").alias("doc")).agg(F.max("l_linenumber").alias("lines"))
     return tokens.groupBy("doc").agg(F.count("*").alias("tokens")).join(lines, "doc")
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN replace(s_name, '#', '') ELSE 'known' END AS abbr FROM supplier")
+def str13_abbreviations(spark, sf_dir):
+    s = testdata.table(spark, sf_dir, "supplier")
+    name = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.translate("s_name", "#", " "), F.lit("：年报.pdf"))).otherwise("600001_2024.pdf")
+    return s.select("s_suppkey", tx.stock_abbr_in(name, F.lit("known")).alias("abbr"))
+
+
+@query("SELECT s_suppkey AS query_id, lpad((600000 + s_suppkey)::VARCHAR, 6, '0') AS company, r_name AS industry FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def rag06_inferred_filters(spark, sf_dir):
+    companies = testdata.companies(spark, sf_dir)
+    asked = companies.select((F.col("stock_code").cast("long") - 600000).alias("query_id"), F.concat_ws(" ", "stock_abbr", F.lit("in"), "industry").alias("query"))
+    return rt.inferred_filters(asked, companies)

@@ -189,3 +189,25 @@ def nlq07_answers(spark, sf_dir):
 
     r = _rows(spark, sf_dir, QuerySpec("filter", "total_profit", report_period="1999FY", select_fields=("stock_abbr", "report_period", "total_profit")))
     return answer_text(r, "total_profit")
+
+
+_METRICS = ", ".join(f"'{m}'" for m, _ in testdata.DERIVED)
+
+
+@query("SELECT stock_code, period, metric, normalized_value::DOUBLE AS value, fact_key, source_key FROM trusted WHERE report_year = 1999", facts=True)
+def jon04_validated_projection(spark, sf_dir):
+    """Cells of the wide projection with the fact and source they come from."""
+    from trustmill.operators.lifecycle import projection
+
+    c = catalog(spark, sf_dir)
+    names = [m for m, _ in testdata.DERIVED]
+    trusted = trusted_facts(c.facts.filter("report_year = 1999"), c.sources)
+    cells = projection(trusted, names)[0].unpivot(["stock_code", "period"], names, "metric", "value").filter("value IS NOT NULL")
+    return cells.join(trusted, ["stock_code", "period", "metric"]).select("stock_code", "period", "metric", "value", "fact_key", "source_key")
+
+
+@query("SELECT least(count(*), 101) AS taken, count(*) > 100 AS refused FROM trusted WHERE metric = 'net_profit'", facts=True)
+def srt04_row_cap(spark, sf_dir):
+    """The cap is the feature: one row more than allowed is enough to refuse."""
+    rows = _rows(spark, sf_dir, QuerySpec("filter", "net_profit"))
+    return rows.limit(101).agg(F.count("*").alias("taken"), (F.count("*") > 100).alias("refused"))
