@@ -216,6 +216,18 @@ def test_secrets(spark):
     assert secrets.find_secrets(table(spark, [])).count() == 0
 
 
+def test_secret_patterns_against_brute_force():
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    r = random.Random(12)
+    bits = ["token", "SECRET", "api_key", "=", ":", " ", '"', "'", "abcdef", "0123456789ab", "AKIA", "ABCDEFGHIJKLMNOP", "é", "-", "x=", "\n", "passwd"]
+    for _ in range(5000):
+        text = "".join(r.choice(bits) for _ in range(r.randint(0, 14)))
+        want = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 6]
+        want += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+        want += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+        assert [p for p in secrets.parts(text) if p[1] < 3] == sorted(want), text
+
+
 # ---------------------------------------------------------------- language
 
 WORDS = {"en": "the of and house water light", "de": "der die und haus wasser licht", "fr": "le la et maison eau lumière"}

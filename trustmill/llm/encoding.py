@@ -11,10 +11,10 @@ import os
 import re
 import struct
 
-#: Parts remembered by a worker; beyond it the memory is cleared, results stay the same.
-CACHE_ENTRIES = 1_600_000
-CACHE_CHARS = 24_000_000
-SLICE_CHARS = 2_000_000
+#: Parts that a worker remembers in each of two generations: a full one becomes the old one, parts used again move on.
+CACHE_ENTRIES = 350_000
+CACHE_CHARS = 6_000_000
+SLICE_CHARS = 1_000_000
 
 _CUT = re.compile(r" (?=\S)")
 _ASCII_RUNS = tuple(" " + c for c in " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f")
@@ -38,10 +38,17 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.firsts: dict[str, bytes] = {}  # parts that start a text: no blank before them
         self.rests: dict[str, bytes] = {}
+        self.old_firsts: dict[str, bytes] = {}
+        self.old_rests: dict[str, bytes] = {}
         self.chars = 0
 
-    def _learn(self, known: dict[str, bytes], blank: str, waiting: dict[str, list]) -> None:
-        """Encodes the parts that wait and puts their ids where they are waited for."""
+    def _learn(self, known: dict[str, bytes], old: dict[str, bytes], blank: str, waiting: dict[str, list]) -> None:
+        """Finds or encodes the parts that wait and puts their ids where they are waited for."""
+        for part in waiting.keys() & old.keys():
+            data = known[part] = old[part]
+            self.chars += len(part)
+            for row, k in waiting.pop(part):
+                row[k] = data
         parts = list(waiting)
         found = self.tokenizer.encode_batch_fast([blank + x for x in parts], add_special_tokens=False)
         for part, x in zip(parts, found):
@@ -76,12 +83,12 @@ class Encoder:
                     if x is None and k:
                         new_rests.setdefault(parts[k], []).append((row, k))
             rows.append(row)
-        self._learn(self.firsts, "", new_firsts)
-        self._learn(self.rests, " ", new_rests)
+        self._learn(self.firsts, self.old_firsts, "", new_firsts)
+        self._learn(self.rests, self.old_rests, " ", new_rests)
         out = [b"".join(row) for row in rows]
         if len(self.rests) + len(self.firsts) > CACHE_ENTRIES or self.chars > CACHE_CHARS:
-            self.firsts.clear()
-            self.rests.clear()
+            self.old_firsts, self.old_rests = self.firsts, self.rests
+            self.firsts, self.rests = {}, {}
             self.chars = 0
         return out
 

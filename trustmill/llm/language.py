@@ -19,16 +19,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .encoding import slices
+from .shared import materialize
+
 UNDETERMINED = "und"
 #: Bound on the labelled rows, on average, that a model is fitted on.
-TRAIN_ROWS = 40_000
+TRAIN_ROWS = 10_000
 MAX_WORDS = 60_000
 MAX_GRAMS = 60_000
 MAX_LANGUAGES = 200
 LONGEST_GRAM = 4
 SMOOTHING = 0.5
 #: Words and their scores that a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 
 #: ASCII letters stay, other ASCII characters part words, all beyond ASCII stays.
 _TABLE = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
@@ -39,7 +42,7 @@ def words(text: str) -> list[bytes]:
 
 
 def has_letter(text: str) -> bool:
-    return any(map(str.isalpha, text))
+    return next((True for c in text if c.isalpha()), False)
 
 
 def grams(word: bytes, n: int) -> list[str]:
@@ -48,73 +51,93 @@ def grams(word: bytes, n: int) -> list[str]:
 
 
 class Model:
-    """Log frequencies of words and n-grams for each language."""
+    """Log frequencies of words and n-grams for each language, as rows of two matrices."""
 
     def __init__(self, languages: list[str], word_counts: list[tuple[str, list[int]]], gram_counts: list[tuple[str, list[int]]]) -> None:
         self.languages = languages
-        self.words = self._logs([x.encode("utf-8", "surrogatepass") for x, _ in word_counts], [c for _, c in word_counts])
-        self.grams: dict[int, dict[str, np.ndarray]] = {}
-        for n in range(1, LONGEST_GRAM + 1):
-            own = [(g, c) for g, c in gram_counts if len(g) == n]
-            self.grams[n] = self._logs([g for g, _ in own], [c for _, c in own])
-
-    def _logs(self, keys: list, counts: list[list[int]]) -> dict:
-        if not keys:
-            return {}
-        c = np.array(counts, float) + SMOOTHING
-        logs = np.log(c / c.sum(0))
-        return dict(zip(keys, logs.astype(np.float32)))
-
-    def unseen(self, word: bytes) -> np.ndarray:
-        """The longest n for which the word has a known n-gram decides; nothing known says nothing."""
+        self.words = {x.encode("utf-8", "surrogatepass"): k for k, (x, _) in enumerate(word_counts)}
+        self.word_logs = self._logs([c for _, c in word_counts], np.zeros(len(word_counts), int))
+        self.grams = {x: k for k, (x, _) in enumerate(gram_counts)}
+        self.gram_logs = self._logs([c for _, c in gram_counts], np.array([len(x) for x, _ in gram_counts], int))
+
+    def _logs(self, counts: list[list[int]], group: np.ndarray) -> np.ndarray:
+        """Smoothed shares of each language within a group of keys."""
+        out = np.array(counts, float).reshape(len(counts), len(self.languages)) + SMOOTHING
+        for g in np.unique(group):
+            out[group == g] /= out[group == g].sum(0)
+        return np.log(out).astype(np.float32)
+
+    def backed_off(self, word: bytes) -> list[int]:
+        """The known n-grams of the longest n for which there are any."""
+        get = self.grams.get
         for n in range(LONGEST_GRAM, 0, -1):
-            known = [self.grams[n][g] for g in grams(word, n) if g in self.grams[n]]
-            if known:
-                x = np.mean(known, axis=0)
-                return (x - x.max()).astype(np.float32)
-        return np.zeros(len(self.languages), np.float32)
+            found = [k for k in map(get, grams(word, n)) if k is not None]
+            if found:
+                return found
+        return []
+
+    def unseen(self, words: list[bytes]) -> np.ndarray:
+        """A row for each word: the mean of its n-grams, the best language at 0; nothing known says nothing."""
+        found = [self.backed_off(w) for w in words]
+        sizes = np.array([len(x) for x in found])
+        out = np.zeros((len(words), len(self.languages)), np.float32)
+        some = np.flatnonzero(sizes)
+        if len(some):
+            flat = self.gram_logs[[k for x in found for k in x]]
+            mean = np.add.reduceat(flat, (np.cumsum(sizes) - sizes)[some]) / sizes[some, None]
+            out[some] = mean - mean.max(1, keepdims=True)
+        return out
 
 
 class Scorer:
-    """A model with the words seen so far in a worker."""
+    """A model with the words seen so far in a task."""
 
     def __init__(self, model: Model) -> None:
         self.model = model
-        self.index: dict[bytes, int] = {}
-        self.rows: list[np.ndarray] = []
-        self.matrix = np.zeros((0, len(model.languages)), np.float32)
-
-    def _number(self, word: bytes) -> int:
-        k = self.index.get(word)
-        if k is None:
-            row = self.model.words.get(word)
-            k = self.index[word] = len(self.index)
-            self.rows.append(self.model.unseen(word) if row is None else row)
-        return k
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.model.languages:
-            return UNDETERMINED, 0.0
-        found = words(text)
-        if not found or not has_letter(text):
-            return UNDETERMINED, 0.0
+        self._reset()
+
+    def _reset(self) -> None:
+        self.index = dict(self.model.words)
+        self.matrix = self.model.word_logs
+
+    def _learn(self, new: list[bytes]) -> None:
+        n = len(self.index) - len(new)
+        if len(self.matrix) < len(self.index):
+            grown = np.zeros((2 * len(self.index), self.matrix.shape[1]), np.float32)
+            grown[:n] = self.matrix[:n]
+            self.matrix = grown
+        self.matrix[n : len(self.index)] = self.model.unseen(new)
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """The best language of each text and its posterior."""
+        if not self.model.languages:
+            return [(UNDETERMINED, 0.0)] * len(texts)
         if len(self.index) > CACHE_WORDS:
-            self.index.clear()
-            self.rows, self.matrix = [], self.matrix[:0]
-        get = self.index.get
-        numbers = [get(w, -1) for w in found]
-        if -1 in numbers:
-            numbers = [self._number(w) if k < 0 else k for k, w in zip(numbers, found)]
-            if len(self.matrix) < len(self.index):
-                grown = np.zeros((max(1024, 2 * len(self.index)), self.matrix.shape[1]), np.float32)
-                done = len(self.index) - len(self.rows)
-                grown[:done] = self.matrix[:done]
-                self.matrix = grown
-            self.matrix[len(self.index) - len(self.rows) : len(self.index)] = self.rows
-            self.rows = []
-        total = self.matrix[np.array(numbers)].sum(0, dtype=np.float64)
-        best = int(np.argmax(total))
-        return self.model.languages[best], float(1 / np.exp(total - total[best]).sum())
+            self._reset()
+        index, new, numbers, counts = self.index, [], [], []
+        for text in texts:
+            found = words(text) if text else []
+            if found and not has_letter(text):
+                found = []
+            for w in found:
+                k = index.get(w)
+                if k is None:
+                    k = index[w] = len(index)
+                    new.append(w)
+                numbers.append(k)
+            counts.append(len(found))
+        if new:
+            self._learn(new)
+        sizes = np.array(counts)
+        some = np.flatnonzero(sizes)
+        out = [(UNDETERMINED, 0.0)] * len(texts)
+        if len(some):
+            total = np.add.reduceat(self.matrix[numbers], (np.cumsum(sizes) - sizes)[some], dtype=np.float64)
+            best = total.argmax(1)
+            score = 1 / np.exp(total - total[np.arange(len(some)), best][:, None]).sum(1)
+            for k, b, x in zip(some.tolist(), best.tolist(), score.tolist()):
+                out[k] = (self.model.languages[b], x)
+        return out
 
 
 def held_out(doc_id: Column) -> Column:
@@ -130,24 +153,51 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     sample = labelled if share == 1 else labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < math.ceil(1_000_000 * share))
     languages = sorted(r[0] for r in sample.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect())
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n_languages = len(languages)
+    number = {lang: k for k, lang in enumerate(languages)}
+    columns = [f"l{k}" for k in range(n_languages)]
+    schema = ", ".join(f"{c} long" for c in columns)
+
+    def batch_of(found: dict[str, list[int]]) -> pa.RecordBatch:
+        counts = np.array(list(found.values()), np.int64).reshape(-1, n_languages)
+        return pa.record_batch([pa.array(found, pa.string()), *(pa.array(np.ascontiguousarray(counts[:, k])) for k in range(n_languages))], ["key", *columns])
+
+    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: Counter = Counter()
+            found: dict[str, list[int]] = {}
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for w, k in Counter(words(text or "")).items():
-                    found[lang, w] += k
-            for (lang, w), k in list(found.items()):
-                for size in range(1, LONGEST_GRAM + 1):
-                    for g in grams(w, size):
-                        found[lang, g] += k
-            rows = [(lang, isinstance(w, str), w if isinstance(w, str) else w.decode("utf-8", "replace"), k) for (lang, w), k in found.items()]
-            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), [pa.string(), pa.bool_(), pa.string(), pa.int64()])] if rows else [pa.array([], t) for t in (pa.string(), pa.bool_(), pa.string(), pa.int64())], ["lang", "gram", "key", "n"])
-
-    counted = sample.select("text", "lang").mapInArrow(count, "lang string, gram boolean, key string, n long")
-    by_key = counted.groupBy("gram", "key").agg(F.sum("n").alias("n"), *(F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)).alias(f"l{k}") for k, lang in enumerate(languages)))
-    top = lambda gram, most: [(r[0], list(r[1:])) for r in by_key.filter(F.col("gram") == gram).orderBy(F.desc("n"), "key").limit(most).select("key", *(f"l{k}" for k in range(len(languages)))).collect()]
-    spark.sparkContext.setJobDescription(None)
-    return Model(languages, top(False, MAX_WORDS), top(True, MAX_GRAMS)) if languages else Model([], [], [])
+                k = number.get(lang)
+                if k is not None:
+                    for w, n in Counter(words(text or "")).items():
+                        found.setdefault(w.decode("utf-8", "replace"), [0] * n_languages)[k] += n
+            yield batch_of(found)
+
+    def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = np.stack([batch.column(1 + k).to_numpy() for k in range(n_languages)], axis=1)
+            rows: list[int] = []
+            ids: dict[str, int] = {}
+            keys: list[int] = []
+            for row, w in enumerate(batch.column(0).to_pylist()):
+                own = [g for n in range(1, LONGEST_GRAM + 1) for g in grams(w.encode("utf-8", "replace"), n)]
+                keys += [ids.setdefault(g, len(ids)) for g in own]
+                rows += [row] * len(own)
+            total = np.zeros((len(ids), n_languages), np.int64)
+            np.add.at(total, keys, counts[rows])
+            yield batch_of(dict(zip(ids, total.tolist())))
+
+    def summed(df: DataFrame) -> DataFrame:
+        return df.groupBy("key").agg(*(F.sum(c).alias(c) for c in columns))
+
+    def top(df: DataFrame, most: int) -> list[tuple[str, list[int]]]:
+        total = sum((F.col(c) for c in columns), F.lit(0))
+        return [(r[0], list(r[1:])) for r in df.orderBy(F.desc(total), "key").limit(most).collect()]
+
+    if not languages:
+        return Model([], [], [])
+    counted = materialize(summed(sample.select("text", "lang").mapInArrow(count_words, f"key string, {schema}")), "words")
+    gram_counts = summed(counted.mapInArrow(count_grams, f"key string, {schema}"))
+    return Model(languages, top(counted, MAX_WORDS), top(gram_counts, MAX_GRAMS))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -159,7 +209,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            got = [scorer.predict(x.as_py()) for x in batch.column(columns.index("text"))]
+            texts = batch.column(columns.index("text")).to_pylist()
+            got = [x for a, b in slices([t or "" for t in texts]) for x in scorer.predict(texts[a:b])]
             yield pa.record_batch([*batch.columns, pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], [*columns, "_tm_lang", "_tm_score"])
 
     return docs.mapInArrow(run, f"{schema}, _tm_lang string, _tm_score double")

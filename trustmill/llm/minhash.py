@@ -186,10 +186,10 @@ def _full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
     rows = materialize(_identified(docs).mapInArrow(_sketches(shingle), "doc_id long, n_shingles long, s1 long, s2 long, bits1 long, bits2 long, keys1 array<long>, keys2 array<long>"), "sketches")
-    # a set's smallest doc_id stands for it
-    leader = rows.filter("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("id"))
-    sets = rows.filter("n_shingles > 0").join(leader, ["s1", "s2"]).filter("doc_id = id").dropDuplicates(["id", "s1", "s2"])
-    sets = materialize(sets.select("id", "s1", "s2", "n_shingles", "bits1", "bits2", "keys1", "keys2"), "sets")
+    # a set's smallest doc_id stands for it; copies are combined before rows move
+    of_set = F.first(F.struct("n_shingles", "bits1", "bits2", "keys1", "keys2")).alias("x")
+    sets = rows.filter("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), of_set)
+    sets = materialize(sets.select("id", "s1", "s2", "x.*"), "sets")
 
     table_keys = F.flatten(F.transform("keys1", lambda u, i: F.transform("keys2", lambda v, j: F.xxhash64(u, v, i, j))))
     keyed = sets.select("id", F.explode(table_keys).alias("key"))
@@ -216,8 +216,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     edges = edges.unionByName(materialize(_links_between_blocks(apart, full, percent), "edges2"))
 
     roots = _labels(edges).withColumnRenamed("node", "id")
-    of_set = materialize(sets.select("id", "s1", "s2").join(roots, "id", "left").select("s1", "s2", F.coalesce("root", "id").alias("component_id")), "classes")
-    found = rows.select("doc_id", "n_shingles", "s1", "s2").join(of_set, ["s1", "s2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    classes = materialize(sets.select("id", "s1", "s2").join(roots, "id", "left").select("s1", "s2", F.coalesce("root", "id").alias("component_id")), "classes")
+    found = rows.select("doc_id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias(c)
     return found.select(real("doc_id"), "n_shingles", real("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
