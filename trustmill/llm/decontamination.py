@@ -31,6 +31,8 @@ _BITS = 24
 MATCHES = "array<struct<item_id:string,doc_start:int,item_start:int,length:int>>"
 #: Benchmark text sent to the executors at once; a larger benchmark is searched block by block.
 BLOCK_BYTES = 24 << 20
+#: Text of a training shard, which gets a suffix array of its own.
+SHARD_BYTES = 8_000_000
 
 
 def words(text: str) -> list[bytes]:
@@ -115,10 +117,9 @@ def _search_pass(docs: DataFrame, probe: Broadcast, out_columns: list[str], firs
         block: Probe = probe.value
         code = block.vocabulary.get
         for batch in batches:
-            texts = [x or "" for x in batch.column(columns.index("_tm_text")).to_pylist()]
-            for a, b in slices(texts, 8_000_000):
-                parts, counts = [], np.zeros(b - a, np.int64)
-                for k, text in enumerate(texts[a:b]):
+            for own, texts in slices(batch, columns.index("_tm_text"), SHARD_BYTES):
+                parts, counts = [], np.zeros(len(texts), np.int64)
+                for k, text in enumerate(texts):
                     found = words(text)
                     counts[k] = len(found)
                     parts.append(np.array([code(w, 0) for w in found], np.int32))
@@ -127,11 +128,10 @@ def _search_pass(docs: DataFrame, probe: Broadcast, out_columns: list[str], firs
                 position, item, place, size = block.search(np.concatenate(parts))
                 doc = np.searchsorted(begins, position, "right") - 1
                 doc, position, item, place, size = longest(doc, position - begins[doc], item, place, size)
-                bounds = np.searchsorted(doc, np.arange(b - a + 1))
-                own = batch.slice(a, b - a)
+                bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
                 before = None if first else own.column(columns.index("_tm_matches")).to_pylist()
                 rows = []
-                for k in range(b - a):
+                for k in range(len(texts)):
                     at = slice(bounds[k], bounds[k + 1])
                     new = [{"item_id": block.items[i], "doc_start": p, "item_start": q, "length": s} for i, p, q, s in zip(item[at].tolist(), position[at].tolist(), place[at].tolist(), size[at].tolist())]
                     rows.append(new if first else before[k] + new)

@@ -10,11 +10,19 @@ import gc
 import os
 import re
 import struct
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from .shared import give_back
 
 #: Parts that a worker remembers in each of two generations: a full one becomes the old one, parts used again move on.
 CACHE_ENTRIES = 350_000
 CACHE_CHARS = 6_000_000
-SLICE_CHARS = 1_000_000
+#: Bytes of text that become Python strings at once, but for a longer text.
+SLICE_BYTES = 1_000_000
+ENCODED_AT_ONCE = 1024
 
 _CUT = re.compile(r" (?=\S)")
 _ASCII_RUNS = tuple(" " + c for c in " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f")
@@ -50,13 +58,14 @@ class Encoder:
             for row, k in waiting.pop(part):
                 row[k] = data
         parts = list(waiting)
-        found = self.tokenizer.encode_batch_fast([blank + x for x in parts], add_special_tokens=False)
-        for part, x in zip(parts, found):
-            ids = x.ids
-            data = known[part] = struct.pack(f"<{len(ids)}I", *ids)
-            for row, k in waiting[part]:
-                row[k] = data
-            self.chars += len(part)
+        for begin in range(0, len(parts), ENCODED_AT_ONCE):  # what the library returns is many times larger than the ids
+            some = parts[begin : begin + ENCODED_AT_ONCE]
+            for part, x in zip(some, self.tokenizer.encode_batch_fast([blank + x for x in some], add_special_tokens=False)):
+                ids = x.ids
+                data = known[part] = struct.pack(f"<{len(ids)}I", *ids)
+                for row, k in waiting[part]:
+                    row[k] = data
+                self.chars += len(part)
 
     def encode(self, texts: list[str], end: bytes = b"") -> list[bytes]:
         """The ids of each text, followed by end."""
@@ -103,16 +112,18 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def slices(texts: list[str], chars: int = SLICE_CHARS):
-    """(from, to) such that each slice holds about so many characters, or one longer text."""
-    begin = size = 0
-    for k, text in enumerate(texts):
-        if size and size + len(text) > chars:
-            yield begin, k
-            begin, size = k, 0
-        size += len(text) + 1
-    if begin < len(texts):
-        yield begin, len(texts)
+def slices(batch: pa.RecordBatch, column: int, size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Parts of a batch that hold about `size` bytes of text, or one longer text, with their texts (null: empty)."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).tolist()
+    begin = held = 0
+    for k, n in enumerate([*lengths, size]):
+        if k == len(lengths) or held and held + n > size:
+            own = batch.slice(begin, k - begin)
+            if own.num_rows:
+                yield own, [x or "" for x in own.column(column).to_pylist()]
+            begin, held = k, 0
+        held += n + 1
+    give_back()
 
 
 def default_tokenizer() -> str:

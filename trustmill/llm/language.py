@@ -209,9 +209,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            texts = batch.column(columns.index("text")).to_pylist()
-            got = [x for a, b in slices([t or "" for t in texts]) for x in scorer.predict(texts[a:b])]
-            yield pa.record_batch([*batch.columns, pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], [*columns, "_tm_lang", "_tm_score"])
+            for own, texts in slices(batch, columns.index("text")):
+                got = scorer.predict(texts)
+                yield pa.record_batch([*own.columns, pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], [*columns, "_tm_lang", "_tm_score"])
 
     return docs.mapInArrow(run, f"{schema}, _tm_lang string, _tm_score double")
 

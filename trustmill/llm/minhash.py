@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import connected_components
-from .shared import materialize
+from .shared import give_back, materialize
 
 #: Keys of each of the two collections, and minhashes of a key. At similarity 0.8 a collection has no common key for a
 #: share of 0.36 ** 8 of the pairs, so 0.06 % of the pairs that are just similar enough share no table key.
@@ -299,6 +299,7 @@ def _links_between_blocks(apart: DataFrame, sets: DataFrame, percent: int) -> Da
                 x = batch.column(0)[k].as_py()
                 y = batch.column(1)[k].as_py()
                 out += _block_links(x, x if y is None else y, percent)
+            give_back()
             yield pa.record_batch([pa.array([p for p, _ in out], pa.int64()), pa.array([q for _, q in out], pa.int64())], ["a", "b"])
 
     small = F.lit(-(1 << 62))

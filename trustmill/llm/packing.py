@@ -57,11 +57,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
         task = TaskContext.get()
         number = (task.partitionId() if task else 0) << 33
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            texts = [x or "" for x in texts.to_pylist()]
-            for a, b in encoding.slices(texts):
+            for own, texts in encoding.slices(batch, 1):
                 rows = []
-                for doc_id, data in zip(doc_ids[a:b], encoder.encode(texts[a:b], end)):
+                for doc_id, data in zip(own.column(0).to_pylist(), encoder.encode(texts, end)):
                     starts = cut_ids(len(data) // 4, capacity)
                     for k, (s, e) in enumerate(zip(starts, [*starts[1:], len(data) // 4])):
                         rows.append((number, doc_id, k, s, e - s, data[4 * s : 4 * e]))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,3 +63,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def joined_sha256(parts: Column) -> Column:
     return F.sha2(F.array_join(parts, ","), 256)
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system: Python workers stay for later tasks, and what they hold adds up."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
