@@ -366,6 +366,23 @@ def test_blocks_of_a_large_loose_group(spark, monkeypatch):
     assert found == brute_components(rows, 4, 80)
 
 
+def test_similar_sets_among_many_with_their_keys(spark):
+    """Two similar sets whose few common keys hundreds of larger sets hold too: one of these is the center of most runs.
+
+    The seeds are those of pairs with three or four common keys.
+    """
+    rows, want = [], {}
+    for seed in (55, 631, 786, 1675):
+        pool = [f"p{seed}_{k}" for k in range(200)]
+        pair = [pool, pool[:178] + [f"v{seed}_{k}" for k in range(22)]]
+        large = [pool + [f"u{seed}_{k}_{j}" for j in range(200)] for k in range(400)]
+        first = len(rows)
+        rows += [(first + k, " ".join(w), None) for k, w in enumerate(pair + large)]
+        want |= {k: k for k in range(first, len(rows))} | {first + 1: first}
+    found = {x["doc_id"]: x["component_id"] for x in rows_of(minhash.near_duplicates(table(spark, rows), 1, 80))}
+    assert found == want
+
+
 def test_connected_components(spark):
     r = random.Random(8)
     edges = [(k, k + 1) for k in range(0, 60)] + [(100 + k, 100) for k in range(1, 50)] + [(r.randint(200, 260), r.randint(200, 260)) for _ in range(40)]

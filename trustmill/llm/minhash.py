@@ -5,8 +5,10 @@ key of the other collection is a table key. So `COLLECTION`² tables need only 4
 
 Equal shingle sets count as one. Rows with one table key lie together in a range-partitioned, sorted stream; a key that
 many rows hold is spread over many tasks. Each run ties its members to one member, by a random order for each key, so
-large groups need a number of pairs in proportion to their size. Groups that are still apart after those links are confirmed
-and components are known are compared in full, in blocks of sets. Links are confirmed on full sets.
+large groups need a number of pairs in proportion to their size. Members of a run that these pairs don't tie together, as its
+center is unlike them or as the run lies in several partitions, are compared by sizes and sketches, in blocks, so that every
+pair with a common table key that can be similar enough is tied. Groups that are still apart after the first links are
+confirmed and components are known are compared in full, in blocks of sets. Links are confirmed on full sets.
 
 Defined results: null texts and texts without words have empty sets, n_shingles 0, and link with nothing; fewer words than a
 shingle make one shingle; a null doc_id counts as smaller than all others; rows with equal texts share a component; an
@@ -40,8 +42,9 @@ NULL_ID = -(1 << 63)
 BROADCAST_IDS = 1_000_000
 #: Partners, the likeliest first, that a document's first links are sought among; the rest are compared block by block.
 FIRST_PARTNERS = 2
-#: Sets of a block.
+#: Sets of a block, and members of a block where only sizes and sketches are compared.
 BLOCK = 256
+SKETCH_BLOCK = 1024
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _RNG = np.random.default_rng(20240229)
@@ -202,18 +205,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     scored = _with_about(stars, taking_part).filter(_likely("x", "y", percent))
     agree = F.bit_count(F.col("x.bits1").bitwiseXOR(F.col("y.bits1")).bitwiseOR(F.col("x.bits2").bitwiseXOR(F.col("y.bits2"))))
     scored = materialize(scored.select("a", "b", agree.alias("apart")), "stars")
+    ties = materialize(_ties_in_runs(members, scored, taking_part, percent), "ties")
+    scored = scored.unionByName(_with_about(ties, taking_part).select("a", "b", agree.alias("apart")))
     first = scored.withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy("apart", "b"))).filter(F.col("n") <= FIRST_PARTNERS).select("a", "b")
     full = materialize(_full_sets(docs, taking_part, shingle), "full")
     edges = materialize(_verified(first, full, percent), "edges1")
     labels = _labels(edges)
 
-    # sets that stars tie together but no confirmed link yet: all pairs of a group's blocks, but those of one component
+    # sets that are tied together but by no confirmed link yet: all pairs of a group's blocks, but those of one component
     tied = connected_components(scored.select("a", "b")).withColumnsRenamed({"node": "id", "root": "group"})
     ids = scored.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     grouped = ids.join(tied, "id", "left").join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("group", "id").alias("group"), F.coalesce("root", "id").alias("root"))
     several = grouped.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("group")
     apart = materialize(grouped.join(several, "group", "left_semi").join(taking_part, "id"), "apart")
-    edges = edges.unionByName(materialize(_links_between_blocks(apart, full, percent), "edges2"))
+    edges = edges.unionByName(materialize(_links_between_blocks(apart, full, percent, BLOCK), "edges2"))
 
     roots = _labels(edges).withColumnRenamed("node", "id")
     classes = materialize(sets.select("id", "s1", "s2").join(roots, "id", "left").select("s1", "s2", F.coalesce("root", "id").alias("component_id")), "classes")
@@ -222,6 +227,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     return found.select(real("doc_id"), "n_shingles", real("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
+def _ties_in_runs(members: DataFrame, stars: DataFrame, about: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one run that sizes and sketches allow, until they and the stars tie all such pairs of all runs together."""
+    tied = connected_components(stars.select("a", "b")).withColumnsRenamed({"node": "id", "root": "tied"})
+    grouped = materialize(about.join(tied, "id", "left").select("id", F.coalesce("tied", "id").alias("root"), "n_shingles", "bits1", "bits2"), "tied")
+    low_high = [f(c).alias(f"{f.__name__}_{c}") for c in ("root", "center") for f in (F.min, F.max)]
+    same = [F.bit_xor(F.xxhash64(F.lit(k), "id")).alias(f"same{k}") for k in (0, 1)]
+    runs = members.join(grouped.select("id", "root"), "id").groupBy("key").agg(F.count("*").alias("n"), *low_high, *same)
+    # where two members have one center, their star was all there is to compare; runs with the same members count once
+    runs = runs.filter("min_root < max_root and (n > 2 or min_center < max_center)").groupBy("same0", "same1").agg(F.min("key").alias("key"))
+    split = members.select("key", "id").join(runs.select("key"), "key", "left_semi").withColumnRenamed("key", "group")
+    return _links_between_blocks(materialize(split.join(grouped, "id"), "split"), None, percent, SKETCH_BLOCK)
+
+
 def _with_about(pairs: DataFrame, about: DataFrame) -> DataFrame:
     x, y = about.alias("x"), about.alias("y")
     return pairs.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id"))
@@ -232,7 +250,10 @@ def _labels(edges: DataFrame) -> DataFrame:
 
 
 def _block_links(x: list[dict], y: list[dict], percent: int) -> list[tuple[int, int]]:
-    """Links between sets of two blocks (or one, given twice) that tie their components together, each tie once."""
+    """Links between sets of two blocks (or one, given twice) that tie their components together, each tie once.
+
+    Without shingles, sizes and sketches are all that a link needs.
+    """
     same = x is y
     col = lambda rows, c, kind: np.array([r[c] for r in rows], kind)
     n, m = col(x, "n_shingles", np.int64)[:, None], col(y, "n_shingles", np.int64)[None, :]
@@ -244,9 +265,11 @@ def _block_links(x: list[dict], y: list[dict], percent: int) -> list[tuple[int,
     i, j = np.flatnonzero(likely.any(1)), np.flatnonzero(likely.any(0))
     if not len(i):
         return []
-    common = _common([np.frombuffer(x[k]["shingles"], np.uint64) for k in i], [np.frombuffer(y[k]["shingles"], np.uint64) for k in j])
     sub = np.ix_(i, j)
-    linked = likely[sub] & (100 * common >= percent * ((n + m)[sub] - common))
+    linked = likely[sub]
+    if "shingles" in x[0]:
+        common = _common([np.frombuffer(x[k]["shingles"], np.uint64) for k in i], [np.frombuffer(y[k]["shingles"], np.uint64) for k in j])
+        linked &= 100 * common >= percent * ((n + m)[sub] - common)
     above: dict[int, int] = {}
 
     def top(k: int) -> int:
@@ -284,10 +307,10 @@ def _common(a: list[np.ndarray], b: list[np.ndarray], width: int = 16384) -> np.
     return out
 
 
-def _links_between_blocks(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _links_between_blocks(apart: DataFrame, sets: DataFrame | None, percent: int, size: int) -> DataFrame:
     """Links between sets of one group (group, root, id, sizes, sketches) that have different roots.
 
-    A group is dealt to blocks of about BLOCK sets, those of a large component to blocks of their own; every pair of blocks
+    A group is dealt to blocks of about `size` sets, those of a large component to blocks of their own; every pair of blocks
     that isn't of one component meets in one row, whose sets are multiplied there. So the rows are few, and no group is
     ever in one task.
     """
@@ -304,19 +327,21 @@ def _links_between_blocks(apart: DataFrame, sets: DataFrame, percent: int) -> Da
 
     small = F.lit(-(1 << 62))
     of_root = apart.groupBy("group", "root").agg(F.count("*").alias("n"))
-    kinds = of_root.select("group", "root", F.when(F.col("n") >= BLOCK, F.col("root")).otherwise(small).alias("kind"), "n")
-    of_kind = kinds.groupBy("group", "kind").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
+    kinds = of_root.select("group", "root", F.when(F.col("n") >= size, F.col("root")).otherwise(small).alias("kind"), "n")
+    of_kind = kinds.groupBy("group", "kind").agg(F.ceil(F.sum("n") / size).alias("blocks"))
     placed = apart.join(kinds.drop("n"), ["group", "root"]).join(of_kind, ["group", "kind"]).withColumn("part", F.xxhash64("kind", F.pmod(F.xxhash64("id"), "blocks")))
-    member = F.struct("id", "root", "n_shingles", "bits1", "bits2", "shingles")
-    blocks = materialize(placed.join(sets, "id").groupBy("group", "kind", "part").agg(F.collect_list(member).alias("members")), "blocks")
+    member = F.struct("id", "root", "n_shingles", "bits1", "bits2", *([] if sets is None else ["shingles"]))
+    placed = placed if sets is None else placed.join(sets, "id")
+    blocks = materialize(placed.groupBy("group", "kind", "part").agg(F.collect_list(member).alias("members")), "blocks")
     heads = blocks.select("group", "kind", "part")
+    heads = heads.join(heads.groupBy("group").count().filter("count > 1"), "group", "left_semi")
     x, y = heads.alias("x"), heads.alias("y")
-    pairs = x.join(y, (F.col("x.group") == F.col("y.group")) & (F.col("x.part") <= F.col("y.part")) & ((F.col("x.kind") != F.col("y.kind")) | (F.col("x.kind") == small)))
-    pairs = pairs.select(F.col("x.group").alias("group"), F.col("x.part").alias("p"), F.col("y.part").alias("q"))
+    pairs = x.join(y, (F.col("x.group") == F.col("y.group")) & (F.col("x.part") < F.col("y.part")) & ((F.col("x.kind") != F.col("y.kind")) | (F.col("x.kind") == small)))
+    pairs = materialize(pairs.select(F.col("x.group").alias("group"), F.col("x.part").alias("p"), F.col("y.part").alias("q")), "pairs")
     first = blocks.select("group", F.col("part").alias("p"), F.col("members").alias("xs"))
     second = blocks.select("group", F.col("part").alias("q"), F.col("members").alias("ys"))
-    alone = pairs.filter("p = q").join(first, ["group", "p"]).select("xs", F.lit(None).cast(dict(second.dtypes)["ys"]).alias("ys"))
-    two = pairs.filter("p < q").join(first, ["group", "p"]).join(second, ["group", "q"]).select("xs", "ys")
+    alone = blocks.filter(F.col("kind") == small).select(F.col("members").alias("xs"), F.lit(None).cast(dict(second.dtypes)["ys"]).alias("ys"))
+    two = pairs.join(first, ["group", "p"]).join(second, ["group", "q"]).select("xs", "ys")
     return alone.unionByName(two).mapInArrow(run, "a long, b long")
 
 
