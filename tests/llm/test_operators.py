@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trustmill.llm import components, decontamination, encoding, fingerprints, language, line_dedup, minhash, packing, pii, secrets, token_table, url_rules
 
@@ -460,3 +461,16 @@ def test_url_rules(spark):
     none = url_rules.judge(pages, labels.limit(0), rules)
     assert none.filter("verdict = 'block'").count() == 1
     assert url_rules.judge(pages.limit(0), labels, rules).count() == 0
+
+
+def test_a_rare_bad_host_among_many_pages(spark):
+    """Rules need a number of bad pages, not a share of the table; 19 pages are too few."""
+    bad = [(k, f"https://rare-host.example.net/x/{k}") for k in range(20)] + [(k, f"https://rarer-host.example.net/x/{k}") for k in range(20, 39)]
+    good = [(100 + k, f"https://a{k % 7}.example.org/fr/{k}") for k in range(8000)]
+    pages = spark.createDataFrame([(k, u, "<p>") for k, u in bad + good], "page_id long, url string, html string")
+    labels = spark.createDataFrame([(k, 1, int(k < 100)) for k, _ in bad + good] + [(50, 1, 1)], "doc_id long, quality int, toxic int")
+    rules = url_rules.mine(url_rules.with_parts(pages).withColumn("tokens", url_rules.tokens(F.col("url"), F.col("host"), F.col("path"))).join(labels, F.col("page_id") == F.col("doc_id")).select("tokens", (F.col("toxic") > 0).alias("bad")))
+    found = {tuple(x["tokens"]) for x in rows_of(rules)}
+    assert ("h:rare-host.example.net",) in found and not any("h:rarer-host.example.net" in x for x in found)
+    judged = {x["page_id"]: x["verdict"] for x in rows_of(url_rules.judge(pages, labels, []))}
+    assert all(judged[k] == "block" for k in range(20)) and all(judged[k] == "allow" for k, _ in good)

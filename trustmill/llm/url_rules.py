@@ -19,8 +19,7 @@ from pyspark.sql import types as T
 from .shared import ascii_lower, materialize
 
 BAD = "label=bad"
-MIN_SUPPORT = 0.005
-#: A rule must have held for so many labelled pages at least, however few there are.
+#: A rule must have held for so many bad pages at least, however many pages are labelled.
 MIN_PAGES = 20
 MIN_CONFIDENCE = 0.6
 MIN_LIFT = 1.5
@@ -65,16 +64,16 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(suffixes, words, folders, extension, names)))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
+def mine(labelled: DataFrame, min_pages: int = MIN_PAGES, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
     """Rules from (tokens, bad): rule_id, tokens, confidence, lift, support."""
     baskets = labelled.filter(F.size("tokens") > 0).select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
     spark = labelled.sparkSession
     schema = T.StructType.fromDDL("rule_id long, tokens array<string>, confidence double, lift double, support double")
     n = baskets.count()
-    if n < MIN_PAGES:
+    if n < min_pages:
         return spark.createDataFrame([], schema)
-    min_support = max(min_support, MIN_PAGES / n)
-    rules = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets).associationRules
+    # half a page less: n times the quotient may round to just above min_pages, of which FPGrowth takes the ceiling
+    rules = FPGrowth(itemsCol="items", minSupport=(min_pages - 0.5) / n, minConfidence=min_confidence).fit(baskets).associationRules
     kept = rules.filter((F.col("consequent") == F.array(F.lit(BAD))) & (F.col("lift") >= min_lift))
     return kept.select(F.xxhash64(F.array_sort("antecedent")).alias("rule_id"), F.array_sort("antecedent").alias("tokens"), "confidence", "lift", "support")
 
@@ -94,7 +93,7 @@ def matched(pages: DataFrame, rules: DataFrame, key: str = "page_id") -> DataFra
     return hits.groupBy(key).agg(F.max(F.struct("confidence", F.size("needed").alias("n"), "rule_id")).alias("best")).select(key, "best.rule_id", "best.confidence")
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], min_support: float = MIN_SUPPORT) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], min_pages: int = MIN_PAGES) -> DataFrame:
     """page_id, host, path, rule, verdict, mined_rule, mined_confidence for each row of pages.
 
     labels: doc_id, toxic (and quality); a page is bad where its label is toxic.
@@ -102,7 +101,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], min
     parts = with_parts(pages)
     parts = materialize(parts.withColumn("tokens", tokens(F.coalesce("url", F.lit("")), F.col("host"), F.col("path"))).drop("url").withColumn("row", F.monotonically_increasing_id()), "urls")
     labelled = parts.join(labels.groupBy("doc_id").agg((F.max("toxic") > 0).alias("bad")), F.col("page_id") == F.col("doc_id")).select("tokens", "bad")
-    mined = materialize(mine(labelled, min_support), "mined")
+    mined = materialize(mine(labelled, min_pages), "mined")
     best = matched(parts, mined, "row")
     rule, verdict = written_rule(F.col("host"), F.col("path"), rules)
     found = parts.join(best, "row", "left")
