@@ -132,18 +132,34 @@ def dml04_register_sources(spark, sf_dir):
     return life.register_sources(testdata.facts(spark, sf_dir), known)
 
 
-@query("""+ f AS (SELECT fact_key, validation_status, review_version, normalized_value, stock_code::INT + period_ord AS n FROM fact WHERE metric = 'net_profit')
-SELECT fact_key, CASE n % 4 WHEN 0 THEN 'VALIDATED' WHEN 1 THEN 'REJECTED' ELSE validation_status END AS validation_status, CASE WHEN n % 4 < 2 THEN 2 ELSE 1 END::BIGINT AS review_version, normalized_value::DOUBLE AS normalized_value FROM f""", facts=True)
+#: The log of reviews by a fact's number modulo 6: (seq, expected version, action). Early, stale, repeated and unknown versions among them.
+_REVIEWS = {0: [(1, 1, "VALIDATE")], 1: [(1, 2, "REJECT"), (2, 1, "VALIDATE"), (3, 2, "REJECT")], 2: [(1, 1, "CORRECT"), (2, 1, "VALIDATE")], 3: [(1, 1, "VALIDATE"), (2, 1, "VALIDATE"), (3, 2, "CORRECT"), (4, 3, "VALIDATE")], 5: [(1, 7, "REJECT")]}
+_REVIEW_ROWS = ", ".join(f"({m}, {seq}, {expected}, '{action}')" for m, log in _REVIEWS.items() for seq, expected, action in log)
+
+
+@query(f"""+ f AS (SELECT fact_key, validation_status, normalized_value, source_key, period, stock_code, (stock_code::INT + period_ord + length(metric)) % 6 AS m FROM fact),
+l(m, seq, expected, action) AS (VALUES {_REVIEW_ROWS}),
+e AS (SELECT fact_key, seq, expected, action FROM f JOIN l USING (m) JOIN source s USING (source_key) WHERE s.authority_status = 'CURRENT'),
+w AS (SELECT fact_key, 0 AS seq, 1 AS version, validation_status, NULL::VARCHAR AS accepted FROM f
+  UNION ALL SELECT fact_key, e.seq, CASE WHEN e.expected = w.version THEN w.version + 1 ELSE w.version END, CASE WHEN e.expected <> w.version THEN w.validation_status WHEN e.action = 'VALIDATE' THEN 'VALIDATED' ELSE 'REJECTED' END, CASE WHEN e.expected = w.version THEN e.action END
+  FROM w JOIN e USING (fact_key) WHERE e.seq = w.seq + 1),
+z AS (SELECT fact_key, arg_max(validation_status, seq) AS validation_status, arg_max(version, seq) AS review_version FROM w GROUP BY fact_key)
+SELECT fact_key, z.validation_status, z.review_version::BIGINT AS review_version, normalized_value::DOUBLE AS normalized_value FROM z JOIN f USING (fact_key)
+UNION ALL SELECT sha256(concat_ws(chr(31), fact_key, 'correction', w.seq::VARCHAR)), 'VALIDATED', 1, (normalized_value * 2)::DOUBLE FROM w JOIN f USING (fact_key) WHERE w.accepted = 'CORRECT'""", facts=True)
 def dml05_dml06_reviews(spark, sf_dir):
-    """An event counts if it expects version 1; those with version 7 conflict."""
-    f = testdata.facts(spark, sf_dir).filter("metric = 'net_profit'").withColumn("n", F.col("stock_code").cast("int") + F.col("period_ord"))
-    log = f.filter("n % 4 <> 3").select("fact_key", F.when(F.col("n") % 4 == 2, 7).otherwise(1).alias("expected_version"), F.col("n").alias("seq"), F.when(F.col("n") % 4 == 0, "VALIDATE").otherwise("REJECT").alias("action"), F.lit(None).cast(AMOUNT).alias("new_value"))
-    return life.fold_reviews(f.drop("n"), log)[0].select("fact_key", "validation_status", "review_version", "normalized_value")
+    """An event counts if it expects the version that the fact has when it arrives, and the fact's source is current."""
+    f = testdata.facts(spark, sf_dir).withColumn("m", (F.col("stock_code").cast("int") + F.col("period_ord") + F.length("metric")) % 6)
+    events = F.lit(None)
+    for m, log in _REVIEWS.items():
+        events = F.when(F.col("m") == m, F.array(*(F.struct(F.lit(seq).alias("seq"), F.lit(expected).alias("expected_version"), F.lit(action).alias("action")) for seq, expected, action in log))).otherwise(events)
+    log = f.select("fact_key", (F.col("normalized_value") * 2).cast(AMOUNT).alias("new_value"), F.explode(events).alias("e")).select("fact_key", "e.*", "new_value")
+    current = testdata.sources(spark, sf_dir).filter("authority_status = 'CURRENT'").select("source_key")
+    return life.fold_reviews(f.drop("m"), log, current)[0].select("fact_key", "validation_status", "review_version", "normalized_value")
 
 
-@query("SELECT fact_key, CASE WHEN stock_code::INT % 5 = 0 THEN normalized_value * 2 ELSE normalized_value END::DOUBLE AS normalized_value, validation_status FROM fact WHERE metric = 'total_profit' UNION ALL SELECT fact_key || '+', normalized_value::DOUBLE, 'NEEDS_REVIEW' FROM fact WHERE metric = 'total_profit' AND stock_code::INT % 50 = 0", facts=True)
+@query("SELECT fact_key, CASE WHEN stock_code::INT % 5 = 0 THEN normalized_value * 2 ELSE normalized_value END::DOUBLE AS normalized_value, validation_status FROM fact UNION ALL SELECT fact_key || '+', normalized_value::DOUBLE, 'NEEDS_REVIEW' FROM fact WHERE stock_code::INT % 50 = 0", facts=True)
 def snk07_upsert_facts(spark, sf_dir):
-    old = testdata.facts(spark, sf_dir).filter("metric = 'total_profit'")
+    old = testdata.facts(spark, sf_dir)
     code = F.col("stock_code").cast("int")
     new = old.filter(code % 5 == 0).withColumns({"normalized_value": (F.col("normalized_value") * 2).cast(AMOUNT), "validation_status": F.lit("NEEDS_REVIEW")})
     added = old.filter(code % 50 == 0).withColumns({"fact_key": F.concat("fact_key", F.lit("+")), "validation_status": F.lit("NEEDS_REVIEW")})
@@ -159,9 +175,9 @@ def snk08_upsert_wide(spark, sf_dir):
     return life.upsert_wide(p, new.unionByName(added), ["p_partkey"])
 
 
-@query("SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, 'NEEDS_REVIEW' AS validation_status, l_extendedprice AS value, CASE WHEN l_linenumber = 3 THEN 'missing_page' ELSE '' END AS issues FROM lineitem WHERE l_linenumber <= 3")
+@query("SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, 'NEEDS_REVIEW' AS validation_status, l_extendedprice AS value, CASE WHEN l_linenumber >= 3 THEN 'missing_page' ELSE '' END AS issues FROM lineitem")
 def dml01_from_candidates(spark, sf_dir):
-    li = testdata.table(spark, sf_dir, "lineitem").filter("l_linenumber <= 3")
+    li = testdata.table(spark, sf_dir, "lineitem")
     raw = F.format_number(F.col("l_extendedprice"), 2)
     c = li.select("l_orderkey", "l_linenumber", raw.alias("raw_value"), F.lit("元").alias("source_unit"), F.lit("元").alias("target_unit"), F.when(F.col("l_linenumber") < 3, 1).alias("page_no"), F.array().cast("array<string>").alias("issues"))
     return life.from_candidates(c).select("l_orderkey", "l_linenumber", "validation_status", F.col("normalized_value").alias("value"), F.array_join("issues", ",").alias("issues"))
@@ -276,11 +292,11 @@ def src07_research_metadata(spark, sf_dir):
     return inputs.research_metadata(p, "title", ["brand"])
 
 
-@query("SELECT conv_id, turn, role, last_value(q IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS last_question FROM (SELECT *, CASE WHEN role = 'user' THEN substr(text, 1, 20) END AS q FROM conversations)")
+@query("SELECT conv_id, turn, role, last_value(q IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS last_question FROM (SELECT *, CASE WHEN role = 'user' THEN text END AS q FROM conversations)")
 def nlq01_carry_slots(spark, sf_dir):
     from trustmill.plans.dialogue import carry_slots
 
-    t = testdata.table(spark, sf_dir, "conversations").withColumn("last_question", F.when(F.col("role") == "user", F.substring("text", 1, 20)))
+    t = testdata.table(spark, sf_dir, "conversations").withColumn("last_question", F.when(F.col("role") == "user", F.col("text")))
     return carry_slots(t, ["last_question"]).select("conv_id", "turn", "role", "last_question")
 
 

@@ -30,7 +30,7 @@ def query(sql: str | None = None, facts: bool = False) -> Callable[[Query], Quer
 
         QUERIES[f.__name__] = run
         if sql:
-            ORACLES[f.__name__] = f"WITH {testdata.SQL.strip()}{',' if sql.lstrip().startswith('+') else ''} {sql.lstrip().lstrip('+')}" if facts else sql
+            ORACLES[f.__name__] = f"WITH RECURSIVE {testdata.SQL.strip()}{',' if sql.lstrip().startswith('+') else ''} {sql.lstrip().lstrip('+')}" if facts else sql
         return f
 
     return register
