@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from typing import Any
+from typing import Any, NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +14,12 @@ PERIOD = re.compile(r"^\d{4}(?:Q[1-3]|FY)$")
 #: Words for a period, longer ones first where one holds another.
 PERIOD_WORDS = r"(第一季度|一季度|上半年|半年度|前三季度|第三季度|三季度|年度|年报)"
 TITLE_WORDS = r"(一季度|半年度|三季度|年度|年报|第三季度|第一季度)"
+CODES = {"第一季度": "Q1", "一季度": "Q1", "上半年": "Q2", "半年度": "Q2", "半年度报告": "Q2", "前三季度": "Q3", "第三季度": "Q3", "三季度": "Q3"}
+JOINERS = ("至", "到", "-")
+#: Words that count from another period's year, the first that is found wins: years back, and the period's code
+#: (none: from that year's first quarter to the other period).
+RELATIVE = {"去年": (1, "FY"), "近三年": (2, None), "近几年": (2, None), "前三季度": (0, "Q3"), "上半年": (0, "Q2")}
+_MENTION = re.compile(rf"(\d{{4}})(?!\d)\s*(年?)\s*{PERIOD_WORDS}?")
 
 
 def order_value(period: str) -> int:
@@ -37,8 +43,7 @@ def period_column(year: Column, quarter: Column) -> Column:
 
 def code_of_word(word: Column) -> Column:
     """The period code that a word stands for; FY where it is none of the others."""
-    word = F.trim(word)
-    return F.when(word.isin("第一季度", "一季度"), "Q1").when(word.isin("上半年", "半年度", "半年度报告"), "Q2").when(word.isin("前三季度", "第三季度", "三季度"), "Q3").otherwise("FY")
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in CODES.items() for x in pair)), F.trim(word)), F.lit("FY"))
 
 
 def from_title(name: Column, head: Column) -> Column:
@@ -56,33 +61,46 @@ def boundary(period: Column, kind: Column) -> tuple[Column, Column]:
     return F.when(kind == "duration", F.make_date(year, F.lit(1), F.lit(1))).otherwise(end), end
 
 
-def _code(year: int, word: str) -> str:
-    word = word.strip()
-    tail = "Q1" if word in ("第一季度", "一季度") else "Q2" if word in ("上半年", "半年度") else "Q3" if word in ("前三季度", "第三季度", "三季度") else "FY"
-    return f"{year}{tail}"
+class Mention(NamedTuple):
+    """A year in a question, with what follows it."""
+
+    start: int
+    end: int
+    year: int
+    marked: bool  # by the character for year
+    word: str | None
+
+    def period(self, word: str | None = None) -> str:
+        return f"{self.year}{CODES.get(word or self.word or '', 'FY')}"
+
+
+def mentions(question: str) -> list[Mention]:
+    return [Mention(m.start(), m.end(), int(m[1]), bool(m[2]), m[3]) for m in _MENTION.finditer(question)]
+
+
+def relative(question: str, anchor: str) -> dict[str, Any]:
+    """The slots of a word that counts from the anchor's year; without a word none, without an anchor the wish for one."""
+    word = next((w for w in RELATIVE if w in question), None)
+    if word is None:
+        return {}
+    if not PERIOD.match(anchor):
+        return {"needs_period_anchor": True}
+    back, tail = RELATIVE[word]
+    year = int(anchor[:4]) - back
+    return {"report_period": f"{year}{tail}"} if tail else {"start_period": f"{year}Q1", "end_period": anchor}
 
 
 def resolve(question: str, context: dict[str, Any] | None = None) -> dict[str, Any]:
-    """The period slots that a question fills; relative words need a period in the context as their anchor."""
-    span = re.search(rf"(\d{{4}})\s*年?\s*(?:至|到|-)\s*(\d{{4}})\s*年?\s*{PERIOD_WORDS}?", question)
-    if span:
-        return {"start_period": f"{int(span[1])}Q1", "end_period": _code(int(span[2]), span[3] or "年度")}
-    named = [_code(int(y), w) for y, w in re.findall(rf"(\d{{4}})\s*年\s*{PERIOD_WORDS}", question)]
-    if len(named) > 1:
-        periods = sorted(set(named), key=order_value)
-        return {"periods": periods, "start_period": periods[0], "end_period": periods[-1]}
+    """The period slots that a question fills: a range, else the periods it names, else its year, else what a relative word says."""
+    found = mentions(question)
+    for first, second in zip(found, found[1:]):
+        if first.word is None and question[first.end : second.start].strip() in JOINERS:
+            return {"start_period": f"{first.year}Q1", "end_period": second.period()}
+    named = [m for m in found if m.marked and m.word]
     if named:
-        return {"report_period": named[0]}
-    if year := re.search(r"(\d{4})\s*年", question):
-        return {"report_period": f"{int(year[1])}FY"}
-    anchor = str((context or {}).get("report_period") or (context or {}).get("end_period") or "")
-    shifts = (
-        (("去年",), lambda y: {"report_period": f"{y - 1}FY"}),
-        (("近三年", "近几年"), lambda y: {"start_period": f"{y - 2}Q1", "end_period": anchor}),
-        (("前三季度",), lambda y: {"report_period": f"{y}Q3"}),
-        (("上半年",), lambda y: {"report_period": f"{y}Q2"}),
-    )
-    for words, shift in shifts:
-        if any(w in question for w in words):
-            return shift(int(anchor[:4])) if PERIOD.match(anchor) else {"needs_period_anchor": True}
-    return {}
+        periods = sorted({m.period() for m in named}, key=order_value)
+        return {"report_period": periods[0]} if len(named) == 1 else {"periods": periods, "start_period": periods[0], "end_period": periods[-1]}
+    if year := next((m for m in found if m.marked), None):
+        return {"report_period": f"{year.year}FY"}
+    slots = context or {}
+    return relative(question, str(slots.get("report_period") or slots.get("end_period") or ""))
