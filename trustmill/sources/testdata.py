@@ -5,11 +5,15 @@ One exchange, by company and year, makes all quarter sums; running sums within t
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trustmill.functions.periods import period_column
 from trustmill.model import AMOUNT
+from trustmill.sources import versions
+from trustmill.sources.folders import shared_folder
 
 #: Derived metrics in their number's order, and their statements.
 DERIVED = (
@@ -55,7 +59,7 @@ def _source_key(code: Column, period: Column, kind: str) -> Column:
     return F.concat_ws(":", F.lit("src"), code, period, F.lit(kind))
 
 
-def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def derived_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base facts, and decoys that a right engine must not see."""
     base = company_periods(spark, sf_dir)
     metrics = F.array(*(F.struct(F.lit(i).alias("no"), F.lit(name).alias("metric"), F.lit(t).alias("table_name"), F.lit("instant" if t == "balance_sheet" else "duration").alias("period_type"), F.col(f"m{i}").alias("v")) for i, (name, t) in enumerate(DERIVED, 1)))
@@ -77,7 +81,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+def derived_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k"), F.year("l_shipdate").alias("year"), F.quarter("l_shipdate").alias("q")).distinct()
     k, o = F.col("k"), F.col("year") * 10 + F.col("q")
     rows = lines.withColumns({"own": code(k), "period": period_column(F.col("year"), F.col("q"))})
@@ -87,6 +91,31 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(key.alias("source_key"), F.concat(key, F.lit(".pdf")).alias("source_file"), F.sha2(key, 256).alias("content_sha256"), "x.stock_code", "period", F.lit("BATCH").alias("source_owner"), F.col("x.status").alias("authority_status"), F.when(F.col("x.status") == "CURRENT", "CURRENT").alias("current_slot"))
 
 
+_STORES: dict[tuple, str] = {}
+
+
+def _store(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the fact store of an input: ingested once by an application, and again when the input has changed."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/lineitem.parquet")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+    key = (spark.sparkContext.applicationId, sf_dir, found.getLen(), found.getModificationTime())
+    if key not in _STORES:
+        root = f"{shared_folder(spark)}/facts-{uuid.uuid4().hex}"
+        versions.commit(derived_facts(spark, sf_dir).repartition("report_year").sortWithinPartitions("metric", "stock_code"), f"{root}/facts", partition_by=("report_year",))
+        versions.commit(derived_sources(spark, sf_dir), f"{root}/sources")
+        _STORES[key] = root
+    return _STORES[key]
+
+
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The facts of the store: a versioned table by year, sorted by metric, so that years prune folders and metrics row groups."""
+    return versions.read(spark, f"{_store(spark, sf_dir)}/facts")
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return versions.read(spark, f"{_store(spark, sf_dir)}/sources")
+
+
 def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     rows = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
@@ -96,7 +125,7 @@ def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def research_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page for each line of a document: title, paper_path, page_no, text, company, published_at."""
     docs = table(spark, sf_dir, "documents")
-    n = table(spark, sf_dir, "supplier").count()
+    n = table(spark, sf_dir, "supplier").agg(F.count("*")).scalar()
     pages = docs.select("doc_id", "source", F.posexplode(F.split("text", "\n", -1)).alias("p", "text"))
     return pages.select(F.concat("source", F.lit("-"), F.col("doc_id").cast("string")).alias("title"), F.concat(F.lit("/"), F.col("doc_id").cast("string")).alias("paper_path"), F.col("doc_id"), (F.col("p") + 1).cast("int").alias("page_no"), "text", code(F.col("doc_id") % n).alias("company"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 365).cast("int")).alias("published_at"))
 

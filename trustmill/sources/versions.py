@@ -46,9 +46,11 @@ def commit(df: DataFrame, root: str, violations: dict[str, DataFrame] | None = N
     out.write(bytearray(json.dumps({"version": version}).encode()))
     out.hsync()
     out.close()
-    fs.delete(target, False)
-    if not fs.rename(temporary, target):
-        raise OSError(f"could not swap {target}")
+    # one rename that replaces the old pointer: readers see the old or the new one, never none
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    files.rename(temporary, target, overwrite)
     return version
 
 
