@@ -1,7 +1,8 @@
 """Whole texts to token ids, by the tokenizers library, inside Spark's Python workers.
 
 A byte-level BPE never merges across the blank that starts a word. So each text is cut before every blank that a
-non-blank follows, and each distinct part is encoded once for a worker.
+non-blank follows, and each distinct part is encoded once for a worker. New parts are encoded many at a time, joined by
+blanks to one text, whose ids part where an id starts with a blank.
 """
 
 from __future__ import annotations
@@ -9,9 +10,10 @@ from __future__ import annotations
 import gc
 import os
 import re
-import struct
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -21,19 +23,31 @@ from .shared import give_back
 CACHE_ENTRIES = 350_000
 CACHE_CHARS = 6_000_000
 #: Bytes of text that become Python strings at once, but for a longer text.
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 6_000_000
 ENCODED_AT_ONCE = 1024
+#: Parts of one text that the library encodes.
+JOINED = 128
 
+#: How a byte-level vocabulary writes a blank and a line feed.
+LEADS = {" ": "\u0120", "\n": "\u010a"}
 _CUT = re.compile(r" (?=\S)")
 _ASCII_RUNS = tuple(" " + c for c in " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f")
 _OTHER_BLANK = re.compile("[\x85\xa0  -     　]")
+_ODD_SPACE = re.compile("[\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
-def cuts(text: str) -> list[str]:
-    """The parts between those blanks; every part but the first has lost its leading blank."""
-    if any(run in text for run in _ASCII_RUNS) or not text.isascii() and _OTHER_BLANK.search(text):
-        return _CUT.split(text)
-    return text.split(" ")
+#: A byte-level BPE never merges these with a letter before them.
+MARKS = tuple(".,;:!?")
+
+
+def has_runs(text: str) -> bool:
+    """Some blank is followed by a white-space character, so not every blank starts a word."""
+    return any(run in text for run in _ASCII_RUNS) or not text.isascii() and _OTHER_BLANK.search(text) is not None
+
+
+def has_line_runs(text: str) -> bool:
+    """A line feed may stand beside other white space than a blank behind it."""
+    return "\n\n" in text or any(c in text for c in "\t\x0b\x0c\r\x1c\x1d\x1e\x1f") or not text.isascii() and _ODD_SPACE.search(text) is not None
 
 
 class Encoder:
@@ -44,62 +58,117 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.firsts: dict[str, bytes] = {}  # parts that start a text: no blank before them
-        self.rests: dict[str, bytes] = {}
-        self.old_firsts: dict[str, bytes] = {}
-        self.old_rests: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.leads = {lead: np.zeros(max(vocabulary.values(), default=0) + 1, bool) for lead in LEADS}
+        for lead, written in LEADS.items():
+            self.leads[lead][[k for x, k in vocabulary.items() if x.startswith(written)]] = True
+        self.known: tuple[dict[str, bytes], ...] = ({}, {})  # parts that start a text, and parts that a blank precedes
+        self.old: tuple[dict[str, bytes], ...] = ({}, {})
+        self.marks = dict(zip(MARKS, self._alone(list(MARKS))))
         self.chars = 0
 
-    def _learn(self, known: dict[str, bytes], old: dict[str, bytes], blank: str, waiting: dict[str, list]) -> None:
-        """Finds or encodes the parts that wait and puts their ids where they are waited for."""
-        for part in waiting.keys() & old.keys():
-            data = known[part] = old[part]
-            self.chars += len(part)
-            for row, k in waiting.pop(part):
-                row[k] = data
-        parts = list(waiting)
-        for begin in range(0, len(parts), ENCODED_AT_ONCE):  # what the library returns is many times larger than the ids
-            some = parts[begin : begin + ENCODED_AT_ONCE]
-            for part, x in zip(some, self.tokenizer.encode_batch_fast([blank + x for x in some], add_special_tokens=False)):
-                ids = x.ids
-                data = known[part] = struct.pack(f"<{len(ids)}I", *ids)
-                for row, k in waiting[part]:
-                    row[k] = data
-                self.chars += len(part)
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _together(self, parts: list[str], lead: str) -> list[bytes]:
+        """Ids of parts, each behind its lead, a character that isn't in them: encoded as longer texts, cut where ids start with the lead."""
+        texts = [lead + lead.join(parts[k : k + JOINED]) for k in range(0, len(parts), JOINED)]
+        ids = np.fromiter(chain.from_iterable(self._ids(texts)), "<u4")
+        starts = np.flatnonzero(self.leads[lead][ids])
+        if len(starts) != len(parts):
+            return self._alone([lead + x for x in parts])
+        data, at = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+        return [data[a:b] for a, b in zip(at, at[1:])]
+
+    def _alone(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x, "<u4").tobytes() for x in self._ids(texts)]
+
+    def _local(self, parts: list[str], rest: int) -> list[bytes]:
+        """The ids of these distinct parts, of which new ones are encoded and remembered.
+
+        rest 0: they start a text; 1: a blank precedes them, unless they start with a line feed.
+        """
+        known, old = self.known[rest], self.old[rest]
+        found = list(map(known.get, parts))
+        at = [k for k, ids in enumerate(found) if ids is None]
+        if not at:
+            return found
+        new = list(map(parts.__getitem__, at))
+        again = list(map(old.get, new))
+        known.update((x, ids) for x, ids in zip(new, again) if ids is not None)
+        words, lines, marked, odd = [], [], [], []
+        for x, ids in zip(new, again):
+            if ids is None:
+                if not rest:
+                    odd.append(x)
+                elif x.isalpha():
+                    words.append(x)
+                elif x[-1:] in MARKS and (x[:-1].isalpha() or x[0] == "\n" and x[1:-1].isalpha()) and (x.isascii() or max(x) < "\u0250"):
+                    marked.append(x)
+                elif not x or " " in x or "<" in x:
+                    odd.append(x)
+                elif x[0] == "\n":
+                    (lines if len(x) > 1 and not x[1].isspace() and "\n" not in x[1:] else odd).append(x)
+                else:
+                    (odd if x[0].isspace() else words).append(x)
+        bases = {x[:-1] for x in marked if x[:-1] not in known}
+        words += {x for x in bases if x[0] != "\n"}.difference(words)
+        lines += {x for x in bases if x[0] == "\n"}.difference(lines)
+        for some, encode in ((words, lambda x: self._together(x, " ")), (lines, lambda x: self._together([y[1:] for y in x], "\n")), (odd, lambda x: self._alone([y if not rest or y[:1] == "\n" else " " + y for y in x]))):
+            for begin in range(0, len(some), ENCODED_AT_ONCE):  # what the library returns is many times larger than the ids
+                own = some[begin : begin + ENCODED_AT_ONCE]
+                known.update(zip(own, encode(own)))
+        known.update((x, known[x[:-1]] + self.marks[x[-1]]) for x in marked)
+        self.chars += sum(map(len, new))
+        for k, x in zip(at, new):
+            found[k] = known[x]
+        return found
 
     def encode(self, texts: list[str], end: bytes = b"") -> list[bytes]:
         """The ids of each text, followed by end."""
         gc.disable()  # nothing here is cyclic, and the collector would walk all remembered parts
         try:
-            return self._encode(texts, end)
+            plain = [not has_runs(text) for text in texts]
+            made = iter(self._split_at_blanks([x for x, p in zip(texts, plain) if p], end))
+            out = [next(made) if p else self._with_runs(x, end) for x, p in zip(texts, plain)]
+            if sum(map(len, self.known)) > CACHE_ENTRIES or self.chars > CACHE_CHARS:
+                self.old, self.known = self.known, ({}, {})
+                self.chars = 0
+            return out
         finally:
             gc.enable()
 
-    def _encode(self, texts: list[str], end: bytes) -> list[bytes]:
-        rows: list[list] = []
-        new_firsts: dict[str, list] = {}
-        new_rests: dict[str, list] = {}
-        get = self.rests.get
-        for text in texts:
-            parts = cuts(text)
-            row = list(map(get, parts))
-            row[0] = self.firsts.get(parts[0])
-            row.append(end)
-            if row[0] is None:
-                new_firsts.setdefault(parts[0], []).append((row, 0))
-            if None in row:
-                for k, x in enumerate(row):
-                    if x is None and k:
-                        new_rests.setdefault(parts[k], []).append((row, k))
-            rows.append(row)
-        self._learn(self.firsts, self.old_firsts, "", new_firsts)
-        self._learn(self.rests, self.old_rests, " ", new_rests)
-        out = [b"".join(row) for row in rows]
-        if len(self.rests) + len(self.firsts) > CACHE_ENTRIES or self.chars > CACHE_CHARS:
-            self.old_firsts, self.old_rests = self.firsts, self.rests
-            self.firsts, self.rests = {}, {}
-            self.chars = 0
-        return out
+    def _with_runs(self, text: str, end: bytes) -> bytes:
+        head, *row = _CUT.split(text)
+        distinct = list(set(row))
+        ids = dict(zip(distinct, self._local(distinct, 1)))
+        return b"".join((*self._local([head], 0), *map(ids.__getitem__, row), end))
+
+    def _split_at_blanks(self, texts: list[str], end: bytes) -> list[bytes]:
+        """Texts in which no blank follows a blank: Arrow splits them and numbers the parts, whose ids are then gathered."""
+        if not texts:
+            return []
+        # a line feed between words starts a part as well
+        rows = pc.split_pattern(pa.array([x if has_line_runs(x) else x.replace("\n", " \n") for x in texts], pa.string()), " ")
+        offsets = rows.offsets.to_numpy()
+        numbered = rows.values.dictionary_encode()
+        n = len(numbered.dictionary)
+        parts = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), numbered.dictionary), " ")[0].as_py().split(" ")
+        first = rows.values.take(pa.array(offsets[:-1])).to_pylist()
+        distinct = list(set(first))
+        at = dict(zip(distinct, range(n, n + len(distinct))))
+        index = numbered.indices.to_numpy().copy()
+        index[offsets[:-1]] = list(map(at.__getitem__, first))
+        ids = self._local(parts, 1) + self._local(distinct, 0)
+        pool = np.frombuffer(b"".join(ids), "<u4")
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        begins, of_part = np.cumsum(sizes) - sizes, sizes[index]
+        ends = np.cumsum(of_part)
+        source = np.repeat(begins[index] - (ends - of_part), of_part)
+        source += np.arange(len(source))
+        data = pool[source].tobytes()
+        bounds = (4 * np.r_[0, ends[offsets[1:] - 1]]).tolist()
+        return [data[a:b] + end for a, b in zip(bounds, bounds[1:])]
 
 
 _ENCODERS: dict[str, Encoder] = {}

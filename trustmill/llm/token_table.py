@@ -9,6 +9,7 @@ text; a null doc_id comes first; an empty table gives an empty table; clashing e
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import encoding
+from .shared import materialize
 
 #: Encodings of the id column. The dictionary of a 50k vocabulary fits in its page, so ids take 16 bits or less.
 ENCODINGS = {
@@ -58,31 +60,39 @@ def read(spark: SparkSession, path: str, columns: tuple[str, ...] = ("doc_id", "
     return spark.read.parquet(path).select(*columns)
 
 
-def starts(spark: SparkSession, path: str) -> DataFrame:
-    """For each row of the files its doc_id, place in its file, and the ids in all rows before it, `start`.
+def digests(spark: SparkSession, path: str) -> DataFrame:
+    """For each row of the files: doc_id, file, row, start (the ids in all rows before it), n_tokens and ids_crc32.
 
-    A file's part number gives its place. Sums run within blocks of a file's rows, and over the files' totals.
+    The files are read once. A task adds up the ids of each run of rows of one file that it reads; the runs' totals, a row
+    for each split of a file, are then added up in the order of the files' part numbers, and rows get what is before their run.
+    ids_crc32 is of the ids as little-endian unsigned 32-bit integers.
     """
-    rows = spark.read.parquet(path).select("doc_id", "n_tokens", F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long").alias("file"), F.col("_metadata.row_index").alias("row"))
-    # files hold a bounded number of rows, so a file is a window; their totals are few and small
-    totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"))
-    blocks = totals.withColumn("block", F.floor(F.col("file") / 1024))
-    block_start = blocks.groupBy("block").agg(F.sum("total").alias("t")).withColumn("block_start", F.coalesce(F.sum("t").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    file_start = blocks.join(block_start.drop("t"), "block").withColumn("file_start", F.col("block_start") + F.coalesce(F.sum("total").over(Window.partitionBy("block").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("file", "file_start")
-    before = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("before", before).join(file_start, "file").select("file", "row", "doc_id", "n_tokens", (F.col("file_start") + F.col("before")).alias("start"))
-
-
-def id_digests(spark: SparkSession, path: str) -> DataFrame:
-    """For each row of the files: file, row, n_tokens and the crc32 of its ids as little-endian unsigned 32-bit integers."""
-    import zlib
+    names = ["file", "run", "row", "doc_id", "before", "n_tokens", "ids_crc32"]
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, run, after, before = -1, 0, -1, 0
         for batch in batches:
-            ids = batch.column(3)
+            ids, files, rows = batch.column(3), batch.column(0).to_numpy(), batch.column(1).to_numpy()
             flat, offsets = np.ascontiguousarray(ids.values.to_numpy(), "<u4"), ids.offsets.to_numpy()
+            sizes = np.diff(offsets).astype(np.int64)
             crc = [zlib.crc32(flat[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
-            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], ["file", "row", "doc_id", "n_tokens", "ids_crc32"])
+            cut = np.flatnonzero((np.diff(files) != 0) | (np.diff(rows) != 1)) + 1
+            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows]):
+                if a == b:
+                    continue
+                if (files[a], rows[a]) != (file, after):
+                    file, run, before = int(files[a]), int(rows[a]), 0
+                total = np.cumsum(sizes[a:b])
+                after, n = int(rows[b - 1]) + 1, b - a
+                columns = [batch.column(0).slice(a, n), pa.array(np.full(n, run)), batch.column(1).slice(a, n), batch.column(2).slice(a, n), pa.array(before + total - sizes[a:b]), pa.array(sizes[a:b]), pa.array(crc[a:b], pa.int64())]
+                before += int(total[-1])
+                yield pa.record_batch(columns, names)
 
     rows = spark.read.parquet(path).select(F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long").alias("file"), F.col("_metadata.row_index").alias("row"), "doc_id", "ids")
-    return rows.mapInArrow(digest, "file long, row long, doc_id long, n_tokens long, ids_crc32 long")
+    found = materialize(rows.mapInArrow(digest, "file long, run long, row long, doc_id long, before long, n_tokens long, ids_crc32 long"), "digests")
+    # a row for each split of a file; sums run within blocks of 1024 files and over the blocks
+    runs = found.groupBy("file", "run").agg(F.sum("n_tokens").alias("total")).withColumn("block", F.floor(F.col("file") / 1024))
+    ahead = lambda by, *order: F.coalesce(F.sum("total").over(by.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = runs.groupBy("block").agg(F.sum("total").alias("total")).select("block", ahead(Window, "block").alias("block_start"))
+    runs = materialize(runs.withColumn("in_block", ahead(Window.partitionBy("block"), "file", "run")).join(blocks, "block").select("file", "run", (F.col("block_start") + F.col("in_block")).alias("run_start")), "runs")
+    return found.join(runs, ["file", "run"]).select("doc_id", "file", "row", (F.col("run_start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
