@@ -5,14 +5,17 @@ mixed-character strings, endpoints. An interval join brings parts of one documen
 `SCOPE` code points. A weak part is reported only where its complements stand in its scope: a weak secret near an
 identifier, a weak identifier near a secret, an endpoint near both.
 
-Defined results: null and empty texts have no spans; positions are code points, ends exclusive; repeated rows are judged
+Defined results: null and empty texts have no spans; very long texts take time in proportion to their length, even as one
+unbroken run; positions are code points, ends exclusive; repeated rows are judged
 separately; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +30,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: Weak parts.
 WEAK_ID = re.compile(r"""(?:user(?:name)?|login|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,})""", re.I | re.A)
 WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{24,}={0,2}(?![A-Za-z0-9+/=])")
-ENDPOINT = re.compile(r"[a-z][a-z0-9+.-]*://[^\s\"'<>]+|(?:endpoint|host)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]+(?::[0-9]+)?", re.A)
+HOST = re.compile(r"(?:endpoint|host)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]+(?::[0-9]+)?", re.A)
+_AFTER_SCHEME = re.compile(r"[^\s\"'<>]+", re.A)
+_SCHEME = frozenset("abcdefghijklmnopqrstuvwxyz0123456789+.-")
 #: Words of which one must be there before a slow pattern runs.
 _ASSIGN_CUES = re.compile("passw|secret|token|api_?key", re.I | re.A)
 _ID_CUES = re.compile("user|login|client|access", re.I | re.A)
@@ -36,6 +41,36 @@ KINDS = ("assign", "access", "hex", "weak_secret", "weak_id", "endpoint")
 SCOPE = 400
 
 
+def urls(text: str) -> list[tuple[int, int]]:
+    """scheme://rest: each `://` is expanded to its left and right, so that every character is looked at a bounded number of times."""
+    found, floor = [], 0
+    at = text.find("://")
+    while at >= 0:
+        run = at
+        while run > floor and text[run - 1] in _SCHEME:
+            run -= 1
+        start = next((k for k in range(run, at) if "a" <= text[k] <= "z"), at)
+        rest = _AFTER_SCHEME.match(text, at + 3)
+        if start < at and rest:
+            found.append((start, rest.end()))
+        floor = rest.end() if start < at and rest else at + 3
+        at = text.find("://", floor)
+    return found
+
+
+class Taken:
+    """Whether a span meets one of many, which may overlap each other."""
+
+    def __init__(self, spans: list[tuple[int, int]]) -> None:
+        spans = sorted(spans)
+        self.starts = [a for a, _ in spans]
+        self.reach = list(accumulate((b for _, b in spans), max))
+
+    def free(self, a: int, b: int) -> bool:
+        before = bisect_left(self.starts, b)
+        return not before or self.reach[before - 1] <= a
+
+
 def parts(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of strong and weak parts, in order."""
     found = []
@@ -44,16 +79,18 @@ def parts(text: str) -> list[tuple[int, int, int]]:
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    strong = sorted(found)
-    free = lambda a, b: not any(s < b and a < e for s, _, e in strong)
+    free = Taken([(a, b) for a, _, b in found]).free
     for m in WEAK_SECRET.finditer(text):
         x = m[0]
         if any(map(str.isdigit, x)) and any(map(str.isupper, x)) and any(map(str.islower, x)) and free(*m.span()):
             found.append((m.start(), 3, m.end()))
     if _ID_CUES.search(text):
         found += [(m.start(), 4, m.end()) for m in WEAK_ID.finditer(text) if free(*m.span())]
-    if "://" in text or "host" in text or "endpoint" in text:
-        found += [(m.start(), 5, m.end()) for m in ENDPOINT.finditer(text)]
+    links = urls(text)
+    found += [(a, 5, b) for a, b in links]
+    if "host" in text or "endpoint" in text:
+        unlinked = Taken(links).free
+        found += [(m.start(), 5, m.end()) for m in HOST.finditer(text) if unlinked(*m.span())]
     return sorted(found)
 
 
