@@ -1,11 +1,12 @@
 """Language identification: known words by log frequency, unseen words by ever shorter character n-grams.
 
-A model is fitted on a sample of labelled rows of at most about `TRAIN_ROWS`; counting runs on Spark, and only the
-`MAX_WORDS` commonest words and `MAX_GRAMS` commonest n-grams come to the driver, so what is broadcast is bounded.
+A model is fitted on a sample of labelled rows of at most about `TRAIN_ROWS`, with all their languages; counting runs on
+Spark. All words and n-grams that the sample holds `MIN_COUNT` times come to the driver, so what is broadcast is bounded by
+the sample.
 
 Defined results: `und` with score 0 for null texts and texts without a letter; ties go to the alphabetically first language;
 a null doc_id reads as the empty string where rows are held out; repeated rows count and are judged separately; extra
-columns pass through; without labelled rows every text is `und`.
+columns pass through, whatever their names; without labelled rows every text is `und`; of very long texts all words count.
 """
 
 from __future__ import annotations
@@ -20,18 +21,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .encoding import slices
-from .shared import materialize
+from .shared import materialize, with_plain_names
 
 UNDETERMINED = "und"
 #: Bound on the labelled rows, on average, that a model is fitted on.
 TRAIN_ROWS = 10_000
-MAX_WORDS = 60_000
-MAX_GRAMS = 60_000
-MAX_LANGUAGES = 200
+#: Words and n-grams that the sample holds less often are left to shorter n-grams.
+MIN_COUNT = 2
 LONGEST_GRAM = 4
 SMOOTHING = 0.5
 #: Words and their scores that a worker remembers.
 CACHE_WORDS = 300_000
+#: Bytes of text that are scored at once, but for a longer text.
+SLICE_BYTES = 1_000_000
 
 #: ASCII letters stay, other ASCII characters part words, all beyond ASCII stays.
 _TABLE = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
@@ -112,7 +114,7 @@ class Scorer:
         """The best language of each text and its posterior."""
         if not self.model.languages:
             return [(UNDETERMINED, 0.0)] * len(texts)
-        if len(self.index) > CACHE_WORDS:
+        if len(self.index) > len(self.model.words) + CACHE_WORDS:
             self._reset()
         index, new, numbers, counts = self.index, [], [], []
         for text in texts:
@@ -146,74 +148,70 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """Fits on (doc_id, text, lang). Which rows are sampled depends on doc_id's hash alone."""
-    spark = labelled.sparkSession
     labelled = labelled.filter(F.col("lang").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     n = labelled.count()
     share = min(1.0, train_rows / max(1, n))
     sample = labelled if share == 1 else labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < math.ceil(1_000_000 * share))
-    languages = sorted(r[0] for r in sample.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect())
-
-    n_languages = len(languages)
+    languages = sorted(r[0] for r in sample.select("lang").distinct().collect())
     number = {lang: k for k, lang in enumerate(languages)}
-    columns = [f"l{k}" for k in range(n_languages)]
-    schema = ", ".join(f"{c} long" for c in columns)
 
-    def batch_of(found: dict[str, list[int]]) -> pa.RecordBatch:
-        counts = np.array(list(found.values()), np.int64).reshape(-1, n_languages)
-        return pa.record_batch([pa.array(found, pa.string()), *(pa.array(np.ascontiguousarray(counts[:, k])) for k in range(n_languages))], ["key", *columns])
+    def batch_of(found: dict[tuple[str, int], int]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([k for k, _ in found], pa.string()), pa.array([lang for _, lang in found], pa.int32()), pa.array(list(found.values()), pa.int64())], ["key", "lang", "n"])
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: dict[str, list[int]] = {}
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                k = number.get(lang)
-                if k is not None:
-                    for w, n in Counter(words(text or "")).items():
-                        found.setdefault(w.decode("utf-8", "replace"), [0] * n_languages)[k] += n
-            yield batch_of(found)
+            for own, texts in slices(batch, 0):
+                found: dict[int, Counter[bytes]] = {}
+                for text, lang in zip(texts, own.column(1).to_pylist()):
+                    found.setdefault(number[lang], Counter()).update(words(text))
+                yield batch_of({(w.decode("utf-8", "replace"), lang): n for lang, counts in found.items() for w, n in counts.items()})
 
     def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = np.stack([batch.column(1 + k).to_numpy() for k in range(n_languages)], axis=1)
-            rows: list[int] = []
-            ids: dict[str, int] = {}
-            keys: list[int] = []
-            for row, w in enumerate(batch.column(0).to_pylist()):
-                own = [g for n in range(1, LONGEST_GRAM + 1) for g in grams(w.encode("utf-8", "replace"), n)]
-                keys += [ids.setdefault(g, len(ids)) for g in own]
-                rows += [row] * len(own)
-            total = np.zeros((len(ids), n_languages), np.int64)
-            np.add.at(total, keys, counts[rows])
-            yield batch_of(dict(zip(ids, total.tolist())))
+            found: dict[tuple[str, int], int] = {}
+            for w, lang, count in zip(*(c.to_pylist() for c in batch.columns)):
+                for n in range(1, LONGEST_GRAM + 1):
+                    for g in grams(w.encode("utf-8", "replace"), n):
+                        found[g, lang] = found.get((g, lang), 0) + count
+            yield batch_of(found)
 
     def summed(df: DataFrame) -> DataFrame:
-        return df.groupBy("key").agg(*(F.sum(c).alias(c) for c in columns))
-
-    def top(df: DataFrame, most: int) -> list[tuple[str, list[int]]]:
-        total = sum((F.col(c) for c in columns), F.lit(0))
-        return [(r[0], list(r[1:])) for r in df.orderBy(F.desc(total), "key").limit(most).collect()]
+        return df.groupBy("key", "lang").agg(F.sum("n").alias("n"))
+
+    def repeated(df: DataFrame) -> list[tuple[str, list[int]]]:
+        """Keys with their counts for each language: at most as many as the sample has."""
+        rows = df.groupBy("key").agg(F.collect_list("lang").alias("langs"), F.collect_list("n").alias("counts"), F.sum("n").alias("total")).filter(F.col("total") >= MIN_COUNT).orderBy("key").toArrow()
+        out = []
+        for key, langs, counts in zip(*(rows.column(c).to_pylist() for c in ("key", "langs", "counts"))):
+            of = [0] * len(languages)
+            for lang, n in zip(langs, counts):
+                of[lang] = n
+            out.append((key, of))
+        return out
 
     if not languages:
         return Model([], [], [])
-    counted = materialize(summed(sample.select("text", "lang").mapInArrow(count_words, f"key string, {schema}")), "words")
-    gram_counts = summed(counted.mapInArrow(count_grams, f"key string, {schema}"))
-    return Model(languages, top(counted, MAX_WORDS), top(gram_counts, MAX_GRAMS))
+    schema = "key string, lang int, n long"
+    counted = materialize(summed(sample.select("text", "lang").mapInArrow(count_words, schema)), "words")
+    return Model(languages, repeated(counted), repeated(summed(counted.mapInArrow(count_grams, schema))))
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs with `_tm_lang`, the predicted language, and `_tm_score`, its posterior with equal priors."""
+def predict(docs: DataFrame, model: Model, lang: str = "_tm_lang", score: str = "_tm_score") -> DataFrame:
+    """All columns of docs and behind them the predicted language and its posterior with equal priors, by the names given."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    columns = docs.columns
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
+    plain, names = with_plain_names(docs)
+    columns = list(names.values())
+    text = columns.index(names["text"])
+    schema = ", ".join(f"{c} {t}" for c, t in plain.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            for own, texts in slices(batch, columns.index("text")):
+            for own, texts in slices(batch, text, SLICE_BYTES):
                 got = scorer.predict(texts)
-                yield pa.record_batch([*own.columns, pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], [*columns, "_tm_lang", "_tm_score"])
+                yield pa.record_batch([*own.columns, pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], [*columns, "lang", "score"])
 
-    return docs.mapInArrow(run, f"{schema}, _tm_lang string, _tm_score double")
+    return plain.mapInArrow(run, f"{schema}, lang string, score double").toDF(*docs.columns, lang, score)
 
 
 def identify(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
