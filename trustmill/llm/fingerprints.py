@@ -5,12 +5,14 @@ summed two bits to a long: of each hash, bit j in the low half, bit j + 32 in th
 
 Defined results: a null or empty text has no term and the fingerprint 0; fewer words than a shingle count as one shingle; a
 tie of votes gives 0; equal texts have equal fingerprints; repeated rows are neighbours like others, in order of their
-text; a null doc_id counts as smaller than all others; an empty table gives an empty result; extra columns are ignored.
+text; a null doc_id counts as smaller than all others and doesn't search; an empty table gives an empty result; extra columns
+are ignored; of very long texts all terms vote.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +22,9 @@ from .shared import ascii_lower, materialize
 
 SHINGLE = 5
 BITS = 128
+#: Bits that fingerprints found by a search may differ in, and which rows search: those whose doc_id this divides.
+RADIUS = 3
+QUERY_EVERY = 50
 #: Documents of a neighbourhood, on average, and the most neighbourhoods: their bounds go to all executors.
 BUCKET_ROWS = 256
 MAX_BUCKETS = 1 << 16
@@ -116,10 +121,12 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.length(text) - cut), F.substring(following, F.lit(1), cut))
 
 
-def fingerprint_edits(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row.
+def fingerprint_edits(docs: DataFrame, radius: int = RADIUS, every: int = QUERY_EVERY) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_within for each row.
 
-    All steps after the exchange by neighbourhood keep its partitioning: texts move once.
+    n_within is a search in the block tables: for rows whose doc_id is divisible by `every`, how many other fingerprints of
+    all rows lie within the radius; null for other rows. All steps after the exchange by neighbourhood keep its
+    partitioning: texts move once.
     """
     rows = with_next(docs).withColumn("edited", edited(F.col("text"), F.col("next_text")))
     keyed = rows.select("bucket", "place", "doc_id", "guest", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.explode(F.when(F.col("guest"), F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")))).otherwise(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t"))))).alias("x"))
@@ -127,32 +134,45 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     both = each.groupBy("bucket", "place").agg(*(F.max(c).alias(c) for c in ("doc_id", "guest", "n_chars")), F.max(F.when(F.col("kind") == 1, F.col("edited_sha256"))).alias("edited_sha256"), F.max(F.when(F.col("kind") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("kind") == 1, F.col("fp"))).alias("fp_edited"))
     with_lag = both.withColumn("fp_next", F.lag("fp").over(Window.partitionBy("bucket").orderBy("place")))
     own = with_lag.filter(~F.col("guest"))
-    return own.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("fp_edited")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("fp_edited")).alias("near_edited"), likeness(F.col("fp"), F.col("fp_next")).alias("near_next"))
+    made = materialize(own.select("doc_id", "n_chars", "edited_sha256", "fp", as_text(F.col("fp_edited")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("fp_edited")).alias("near_edited"), likeness(F.col("fp"), F.col("fp_next")).alias("near_next")), "fingerprints")
+    asks = F.coalesce(F.pmod("doc_id", F.lit(every)) == 0, F.lit(False))
+    asking = made.filter(asks)
+    found = within_radius(asking, made, radius).filter("distance > 0").groupBy(F.col("query_fp.lo").alias("lo"), F.col("query_fp.hi").alias("hi")).agg(F.count("*").alias("n_within"))
+    answered = asking.withColumns({"lo": F.col("fp.lo"), "hi": F.col("fp.hi")}).join(found, ["lo", "hi"], "left").select(*made.columns, F.coalesce("n_within", F.lit(0)).alias("n_within"))
+    out = made.filter(~asks).withColumn("n_within", F.lit(None).cast("long")).unionByName(answered)
+    return out.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("fp")).alias("fingerprint"), "edited_fingerprint", "near_edited", "near_next", "n_within")
 
 
 # ---------------------------------------------------------------- search by permuted block tables
 
 
-def block_keys(fp: Column, radius: int, chosen: int = 3) -> Column:
-    """One key of the low half for each choice of `chosen` of radius + chosen blocks: fingerprints within the radius share one."""
-    from itertools import combinations
-
+def block_masks(radius: int, chosen: int = 1) -> list[tuple[int, int]]:
+    """The bits of the low and of the high half that a table is keyed by: a table for each choice of `chosen` of radius + chosen blocks."""
     blocks = radius + chosen
-    edges = [64 * k // blocks for k in range(blocks + 1)]
-    keys = []
-    for number, some in enumerate(combinations(range(blocks), chosen)):
-        mask = sum(((1 << edges[b + 1]) - (1 << edges[b])) for b in some)
-        signed = mask - (1 << 64) if mask >> 63 else mask
-        keys.append(F.struct(F.lit(number).alias("table"), fp["lo"].bitwiseAND(F.lit(signed)).alias("key")))
-    return F.array(*keys)
+    edges = [BITS * k // blocks for k in range(blocks + 1)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    whole = [sum((1 << edges[b + 1]) - (1 << edges[b]) for b in some) for some in combinations(range(blocks), chosen)]
+    return [(signed(x & ((1 << 64) - 1)), signed(x >> 64)) for x in whole]
+
+
+def _in_tables(df: DataFrame, fp: str, masks: list[tuple[int, int]]) -> DataFrame:
+    """A row for each table, with its number and key."""
+    key = lambda k, lo, hi: F.struct(F.lit(k).alias("table"), F.col(fp)["lo"].bitwiseAND(F.lit(lo)).alias("key_lo"), F.col(fp)["hi"].bitwiseAND(F.lit(hi)).alias("key_hi"))
+    return df.withColumn("x", F.explode(F.array(*(key(k, lo, hi) for k, (lo, hi) in enumerate(masks))))).select(fp, "x.*")
 
 
-def within_radius(queries: DataFrame, index: DataFrame, radius: int = 3) -> DataFrame:
+def within_radius(queries: DataFrame, index: DataFrame, radius: int = RADIUS, chosen: int = 1) -> DataFrame:
     """Exactly the pairs (query_fp, fp, distance) of distinct fingerprints at most radius bits apart, itself included.
 
-    queries and index have a column `fp`; equal fingerprints of the index count as one, so copies make no pairs.
+    Fingerprints at most radius bits apart agree in `chosen` of radius + chosen blocks, so they share a key of some table; a
+    pair comes from the first such table alone. queries and index have a column `fp`; equal fingerprints count as one, so
+    copies make no pairs.
     """
-    q = queries.select(F.col("fp").alias("query_fp")).distinct().withColumn("x", F.explode(block_keys(F.col("query_fp"), radius))).select("query_fp", "x.table", "x.key")
-    i = materialize(index.select("fp").distinct(), "fingerprints").withColumn("x", F.explode(block_keys(F.col("fp"), radius))).select("fp", "x.table", "x.key")
+    masks = block_masks(radius, chosen)
+    q = _in_tables(queries.select(F.col("fp").alias("query_fp")).distinct(), "query_fp", masks)
+    i = _in_tables(index.select("fp").distinct(), "fp", masks)
     apart = distance(F.col("query_fp"), F.col("fp"))
-    return q.join(i, ["table", "key"]).filter(apart <= radius).select("query_fp", "fp", apart.alias("distance")).distinct()
+    low, high = (F.col("query_fp")[half].bitwiseXOR(F.col("fp")[half]) for half in ("lo", "hi"))
+    agree = [(low.bitwiseAND(F.lit(lo)) == 0) & (high.bitwiseAND(F.lit(hi)) == 0) for lo, hi in masks]
+    earlier = reduce(lambda a, b: a | b, ((F.col("table") > k) & x for k, x in enumerate(agree)))
+    return q.join(i, ["table", "key_lo", "key_hi"]).filter((apart <= radius) & ~earlier).select("query_fp", "fp", apart.alias("distance"))
