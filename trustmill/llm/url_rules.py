@@ -1,12 +1,12 @@
 """URL filters: written rules, and rules that FP-growth mines from labelled URLs.
 
 A URL's tokens are its host suffixes and labels, the words of its path, its file extension, query names and fragment. FP-growth
-mines token combinations that go with the label; rules pruned by support, confidence and lift are looked up in an
-inverted index by their rarest token and hold where all their tokens are there.
+mines token combinations that go with the label, tokens of exactly the same pages as one item; rules pruned by support,
+confidence and lift are looked up in an inverted index by their rarest item and hold where all their items are there.
 
 Defined results: a null URL or one without `://` has an empty host and path, no rule and no tokens, and is allowed; repeated
 rows are judged separately; pages without label only take part in matching; without labels no rule is mined; extra columns
-are ignored.
+are ignored; very long URLs are read whole.
 """
 
 from __future__ import annotations
@@ -64,9 +64,27 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(suffixes, words, folders, extension, names)))
 
 
+def token_classes(labelled: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """token, class from (row, tokens): tokens that exactly the same labelled pages hold are one class, named by its first token.
+
+    Host suffixes and host words always go together; as items of their own they would make a rule of every subset.
+    Tokens of fewer pages than a rule needs have no class.
+    """
+    held = labelled.select("row", F.explode("tokens").alias("token"))
+    same = [F.bit_xor(F.xxhash64(F.lit(k), "row")).alias(f"same{k}") for k in (0, 1)]
+    marked = held.groupBy("token").agg(F.count("*").alias("n"), *same).filter(F.col("n") >= min_pages)
+    return marked.join(marked.groupBy("n", "same0", "same1").agg(F.min("token").alias("class")), ["n", "same0", "same1"]).select("token", "class")
+
+
+def in_classes(pages: DataFrame, classes: DataFrame, key: str) -> DataFrame:
+    """key, tokens: the distinct classes of each page that has any."""
+    held = pages.select(key, F.explode("tokens").alias("token")).join(classes, "token")
+    return held.groupBy(key).agg(F.array_sort(F.collect_set("class")).alias("tokens"))
+
+
 def mine(labelled: DataFrame, min_pages: int = MIN_PAGES, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
     """Rules from (tokens, bad): rule_id, tokens, confidence, lift, support."""
-    baskets = labelled.filter(F.size("tokens") > 0).select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
+    baskets = labelled.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
     spark = labelled.sparkSession
     schema = T.StructType.fromDDL("rule_id long, tokens array<string>, confidence double, lift double, support double")
     n = baskets.count()
@@ -100,9 +118,12 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], min
     """
     parts = with_parts(pages)
     parts = materialize(parts.withColumn("tokens", tokens(F.coalesce("url", F.lit("")), F.col("host"), F.col("path"))).drop("url").withColumn("row", F.monotonically_increasing_id()), "urls")
-    labelled = parts.join(labels.groupBy("doc_id").agg((F.max("toxic") > 0).alias("bad")), F.col("page_id") == F.col("doc_id")).select("tokens", "bad")
-    mined = materialize(mine(labelled, min_pages), "mined")
-    best = matched(parts, mined, "row")
+    labelled = materialize(parts.join(labels.groupBy("doc_id").agg((F.max("toxic") > 0).alias("bad")), F.col("page_id") == F.col("doc_id")).select("row", "tokens", "bad"), "labelled")
+    classes = materialize(token_classes(labelled, min_pages), "classes")
+    baskets = labelled.filter(F.size("tokens") > 0).select("row", "bad").join(in_classes(labelled, classes, "row"), "row", "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
+    mined = materialize(mine(baskets, min_pages), "mined")
+    needed = classes.join(mined.select(F.explode("tokens").alias("class")).distinct(), "class", "left_semi")
+    best = matched(materialize(in_classes(parts, needed, "row"), "page_classes"), mined, "row")
     rule, verdict = written_rule(F.col("host"), F.col("path"), rules)
     found = parts.join(best, "row", "left")
     by_mined = F.when(F.col("rule_id").isNotNull(), "block").otherwise("allow")
