@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import drop_tables, materialize
 
 
 def large_star(edges: DataFrame) -> DataFrame:
@@ -30,9 +30,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     x, y = F.col(a), F.col(b)
     state = edges.filter(x != y).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct()
-    round_no = 0
+    round_no, made, earlier = 0, [], []
     while True:
-        state = materialize(small_star(large_star(state)), f"stars{round_no}")
+        made, earlier = [], made
+        state = materialize(small_star(large_star(state)), f"stars{round_no}", made)
+        drop_tables(edges.sparkSession, earlier)
         # done when every edge leads from a node of one edge to a node that has none upwards
         upward = state.groupBy("a").count()
         if state.join(upward.select(F.col("a").alias("b")), "b", "left_semi").isEmpty() and upward.filter("count > 1").isEmpty():

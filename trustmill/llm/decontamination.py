@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .encoding import slices
-from .shared import materialize
+from .shared import materialize, with_plain_names
 
 #: Word characters: ASCII letters and digits, and all others than ASCII. A-Z are lower-cased.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -144,7 +144,10 @@ def _search_pass(docs: DataFrame, probe: Broadcast, out_columns: list[str], firs
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, carry: list[str], window: int = 10) -> DataFrame:
-    """The carried columns of docs, `_tm_words` (number of words) and `_tm_matches`: the longest verbatim matches."""
+    """The carried columns of docs, `_tm_words` (number of words) and `_tm_matches`: the longest verbatim matches.
+
+    No carried column may have a name that starts with `_tm_`, or a dot in it.
+    """
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -177,5 +180,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The documents, all columns, that hold no window of the benchmark."""
-    found = find_matches(docs, benchmark, docs.columns, window)
-    return found.filter(F.size("_tm_matches") == 0).select(*docs.columns)
+    plain, names = with_plain_names(docs)
+    own = list(names.values())
+    found = find_matches(plain.withColumn("text", F.col(names["text"])), benchmark, own, window)
+    return found.filter(F.size("_tm_matches") == 0).select(*own).toDF(*docs.columns)

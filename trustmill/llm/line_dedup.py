@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, hash128, materialize
+from .shared import ascii_lower, hash128, materialize, with_plain_names
 
 BLANKS = " \t\n\x0b\x0c\r"
 MIN_KEY = 10
@@ -36,9 +36,9 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(BLANKS)))
 
 
-def _identity(docs: DataFrame) -> DataFrame:
+def _identity(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The document a row belongs to, and what tells its rows apart."""
-    return docs.withColumns({"_tm_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_tm_text": F.xxhash64(F.col("text").cast("string"))})
+    return docs.withColumns({"_tm_doc": F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))), "_tm_text": F.xxhash64(F.col(text).cast("string"))})
 
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,6 +93,7 @@ def keep_bitmaps(docs: DataFrame, min_key: int = MIN_KEY) -> DataFrame:
     h1, h2 = hash128(F.col("key"))
     hashed = keys.select(h1.alias("h1"), h2.alias("h2"), "_tm_doc", "_tm_text", "n_lines", "pos")
     order = ["h1", "h2", "_tm_doc", "_tm_text", "pos"]
+    hashed = materialize(hashed, "hashes")  # the ranges are cut on a sample of them, which would split all texts once more
     ranged = hashed.repartitionByRange("h1", "h2", "_tm_doc").sortWithinPartitions(*order)
     found = materialize(ranged.mapInArrow(_stream, "kind int, part int, h1 long, h2 long, doc long, text long, n_lines int, pos int"), "lines")
     ends = found.filter("kind = 2").groupBy("h1", "h2").agg(F.min("part").alias("began"))
@@ -109,19 +110,28 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), batch.column(1), batch.column(3), pa.array(rows, pa.list_(pa.bool_()))], ["_tm_doc", "_tm_text", "_tm_dropped", "_tm_keep"])
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """All columns of docs with the kept text, and `_tm_lines`, `_tm_dropped`."""
+def _applied(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """docs by plain names with the kept text, and behind them the numbers of lines and of dropped ones."""
     bitmaps = materialize(bitmaps, "bitmaps")
     size = bitmaps.agg(F.sum(F.octet_length("keep") + F.col("n_lines") + 64)).first()[0] or 0
     keep = bitmaps.mapInArrow(_unpacked, "_tm_doc long, _tm_text long, _tm_dropped int, _tm_keep array<boolean>")
-    found = _identity(docs).join(F.broadcast(keep) if size <= BROADCAST_BYTES else keep, ["_tm_doc", "_tm_text"], "left")
-    lines = lines_of(F.col("text"))
+    plain, names = with_plain_names(docs)
+    text = names["text"]
+    found = _identity(plain, names["doc_id"], text).join(F.broadcast(keep) if size <= BROADCAST_BYTES else keep, ["_tm_doc", "_tm_text"], "left")
+    lines = lines_of(F.col(text))
     kept = F.array_join(F.filter(lines, lambda line, k: F.get(F.col("_tm_keep"), k)), "\n")
-    columns = [F.when(F.col("_tm_keep").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return found.select(*columns, F.size(lines).alias("_tm_lines"), F.coalesce("_tm_dropped", F.lit(0)).alias("_tm_dropped"))
+    columns = [F.when(F.col("_tm_keep").isNull(), F.col(text)).otherwise(kept).alias(text) if c == text else F.col(c) for c in names.values()]
+    return found.select(*columns, F.size(lines).alias("n_lines"), F.coalesce("_tm_dropped", F.lit(0)).alias("n_dropped"))
+
+
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """All columns of docs with the kept text, and `_tm_lines`, `_tm_dropped` behind them."""
+    return _applied(docs, bitmaps).toDF(*docs.columns, "_tm_lines", "_tm_dropped")
 
 
 def dedup_lines(docs: DataFrame, min_key: int = MIN_KEY) -> DataFrame:
     """The documents, all columns, without repeated lines; n_chars follows the text where there is such a column."""
-    out = apply_bitmaps(docs, keep_bitmaps(docs, min_key)).select(*docs.columns)
-    return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
+    names = with_plain_names(docs)[1]
+    length = F.length(names["text"]).cast(dict(docs.dtypes).get("n_chars", "long"))
+    out = _applied(docs, keep_bitmaps(docs, min_key))
+    return out.select(*(length if name == "n_chars" else F.col(c) for name, c in names.items())).toDF(*docs.columns)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import connected_components
-from .shared import give_back, materialize
+from .shared import drop_tables, give_back, materialize, with_plain_names
 
 #: Keys of each of the two collections, and minhashes of a key. At similarity 0.8 a collection has no common key for a
 #: share of 0.36 ** 8 of the pairs, so 0.06 % of the pairs that are just similar enough share no table key.
@@ -188,28 +188,29 @@ def _full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
+    made: list[str] = []  # tables that the result doesn't read
     rows = materialize(_identified(docs).mapInArrow(_sketches(shingle), "doc_id long, n_shingles long, s1 long, s2 long, bits1 long, bits2 long, keys1 array<long>, keys2 array<long>"), "sketches")
     # a set's smallest doc_id stands for it; copies are combined before rows move
     of_set = F.first(F.struct("n_shingles", "bits1", "bits2", "keys1", "keys2")).alias("x")
     sets = rows.filter("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), of_set)
-    sets = materialize(sets.select("id", "s1", "s2", "x.*"), "sets")
+    sets = materialize(sets.select("id", "s1", "s2", "x.*"), "sets", made)
 
     table_keys = F.flatten(F.transform("keys1", lambda u, i: F.transform("keys2", lambda v, j: F.xxhash64(u, v, i, j))))
     keyed = sets.select("id", F.explode(table_keys).alias("key"))
     turned = keyed.select("key", F.xxhash64("key", "id").alias("turn"), "id")
-    members = materialize(turned.repartitionByRange("key", "turn").sortWithinPartitions("key", "turn", "id").mapInArrow(_runs, "key long, center long, id long"), "members")
+    members = materialize(turned.repartitionByRange("key", "turn").sortWithinPartitions("key", "turn", "id").mapInArrow(_runs, "key long, center long, id long"), "members", made)
 
     about = sets.select("id", "n_shingles", "bits1", "bits2")
-    taking_part = materialize(members.groupBy("id").agg(F.lit(1).alias("one")).select("id").join(about, "id"), "about")
+    taking_part = materialize(members.groupBy("id").agg(F.lit(1).alias("one")).select("id").join(about, "id"), "about", made)
     stars = members.filter("center <> id").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct()
     scored = _with_about(stars, taking_part).filter(_likely("x", "y", percent))
     agree = F.bit_count(F.col("x.bits1").bitwiseXOR(F.col("y.bits1")).bitwiseOR(F.col("x.bits2").bitwiseXOR(F.col("y.bits2"))))
-    scored = materialize(scored.select("a", "b", agree.alias("apart")), "stars")
-    ties = materialize(_ties_in_runs(members, scored, taking_part, percent), "ties")
+    scored = materialize(scored.select("a", "b", agree.alias("apart")), "stars", made)
+    ties = materialize(_ties_in_runs(members, scored, taking_part, percent), "ties", made)
     scored = scored.unionByName(_with_about(ties, taking_part).select("a", "b", agree.alias("apart")))
     first = scored.withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy("apart", "b"))).filter(F.col("n") <= FIRST_PARTNERS).select("a", "b")
-    full = materialize(_full_sets(docs, taking_part, shingle), "full")
-    edges = materialize(_verified(first, full, percent), "edges1")
+    full = materialize(_full_sets(docs, taking_part, shingle), "full", made)
+    edges = materialize(_verified(first, full, percent), "edges1", made)
     labels = _labels(edges)
 
     # sets that are tied together but by no confirmed link yet: all pairs of a group's blocks, but those of one component
@@ -217,11 +218,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     ids = scored.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     grouped = ids.join(tied, "id", "left").join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("group", "id").alias("group"), F.coalesce("root", "id").alias("root"))
     several = grouped.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("group")
-    apart = materialize(grouped.join(several, "group", "left_semi").join(taking_part, "id"), "apart")
-    edges = edges.unionByName(materialize(_links_between_blocks(apart, full, percent, BLOCK), "edges2"))
+    apart = materialize(grouped.join(several, "group", "left_semi").join(taking_part, "id"), "apart", made)
+    edges = edges.unionByName(materialize(_links_between_blocks(apart, full, percent, BLOCK), "edges2", made))
 
     roots = _labels(edges).withColumnRenamed("node", "id")
     classes = materialize(sets.select("id", "s1", "s2").join(roots, "id", "left").select("s1", "s2", F.coalesce("root", "id").alias("component_id")), "classes")
+    drop_tables(docs.sparkSession, made)
     found = rows.select("doc_id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias(c)
     return found.select(real("doc_id"), "n_shingles", real("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
@@ -347,6 +349,7 @@ def _links_between_blocks(apart: DataFrame, sets: DataFrame | None, percent: int
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The documents, all columns, of which each group keeps the one with the smallest doc_id."""
-    gone = materialize(near_duplicates(docs, shingle, percent).filter(~F.col("kept")).select("doc_id").distinct(), "gone")
+    gone = materialize(near_duplicates(docs.select("doc_id", "text"), shingle, percent).filter(~F.col("kept")).select("doc_id").distinct(), "gone")
     gone = gone.withColumnRenamed("doc_id", "_tm_gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, F.col("doc_id").eqNullSafe(F.col("_tm_gone")), "left_anti").select(*docs.columns)
+    plain, names = with_plain_names(docs)
+    return plain.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, F.col(names["doc_id"]).eqNullSafe(F.col("_tm_gone")), "left_anti").toDF(*docs.columns)

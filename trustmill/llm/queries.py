@@ -33,7 +33,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"))
     base = pii.KINDS[:4]
     of = lambda *kinds: F.filter("spans", lambda s: s.kind.isin(*kinds))
-    return found.select("doc_id", *(F.size(of(k)).cast("long").alias(f"n_{k}") for k in base), joined_sha256(_spans(of(*base))).alias("base_sha256"), F.array_join(_spans(F.col("spans")), ",").alias("spans"))
+    return found.select("doc_id", *(F.size(of(k)).cast("long").alias(f"n_{k}") for k in base), joined_sha256(_spans(of(*base))).alias("base_sha256"), F.array_join(_spans(F.col("spans")), ",").alias("spans"), (F.size("spans") > 0).alias("personal"))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,12 +45,12 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.lit(list(secrets.KINDS))
     base = F.filter("spans", lambda s: s.kind < 3)
     counts = [F.size(F.filter("spans", lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{secrets.KINDS[k]}") for k in range(3)]
-    return found.select("doc_id", *counts, joined_sha256(_spans(base, kinds)).alias("base_sha256"), F.array_join(_spans(F.col("spans"), kinds), ",").alias("spans"))
+    return found.select("doc_id", *counts, joined_sha256(_spans(base, kinds)).alias("base_sha256"), F.array_join(_spans(F.col("spans"), kinds), ",").alias("spans"), (F.size("spans") > 0).alias("secret"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    kept = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
+    kept = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))  # with the numbers of lines behind the columns
     return kept.select("doc_id", F.col("_tm_lines").cast("long").alias("n_lines"), F.col("_tm_dropped").cast("long").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
@@ -61,9 +61,7 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_table_path(spark, "tokens")
     token_table.write(table(spark, sf_dir, "documents"), path, end_id=2)
-    digests = token_table.id_digests(spark, path)
-    starts = token_table.starts(spark, path).select("file", "row", "start")
-    return digests.join(starts, ["file", "row"]).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return token_table.digests(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 
@@ -14,9 +15,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. A local session (tests) may do with a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="trustmill-")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -28,23 +31,35 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/trustmill/{uuid.uuid4().hex}/{name}"
 
 
-def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Cuts the lineage: writes df as a table in the shared folder and reads it again.
+def materialize(df: DataFrame, name: str, made: list[str] | None = None, **options: str) -> DataFrame:
+    """Cuts the lineage: writes df as a table in the shared folder and reads it again; made gets its path.
 
     Unlike a checkpoint the table is columnar and compressed, so later steps read only the columns they need.
     """
     spark = df.sparkSession
     path = new_table_path(spark, name)
     df.write.options(**{"compression": "zstd", **options}).parquet(path)
+    if made is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_table(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes the files of a materialized table that nothing lazy refers to any more."""
-    jvm = spark.sparkContext._jvm
-    for file in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def drop_tables(spark: SparkSession, made: list[str]) -> None:
+    """Deletes materialized tables that nothing lazy refers to any more, and empties the list."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for x in made:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x).getParent()
+        path.getFileSystem(conf).delete(path, True)
+    made.clear()
+
+
+def with_plain_names(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns c0, c1, ..., and the new name of each column: no name, with dots or like an operator's own, can clash.
+
+    `toDF(*docs.columns)` brings the names back.
+    """
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
 
 
 def ascii_lower(col: Column) -> Column:
