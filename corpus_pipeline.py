@@ -19,8 +19,9 @@ MIN_LANGUAGE_SCORE = 0.3
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, and those for which no language stands out, go."""
     model = language.fit(docs.filter(~language.held_out(F.col("doc_id"))))
-    found = language.predict(docs, model)
-    return found.filter((F.col("_tm_lang") != language.UNDETERMINED) & (F.col("_tm_score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    names = [f"c{k}" for k in range(len(docs.columns))]  # whatever the columns are called, they can't clash
+    found = language.predict(docs, model).toDF(*names, "predicted", "posterior")
+    return found.filter((F.col("predicted") != language.UNDETERMINED) & (F.col("posterior") >= MIN_LANGUAGE_SCORE)).select(*names).toDF(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
