@@ -1,11 +1,8 @@
 """Benchmark decontamination with suffix arrays of training shards.
 
-A shard is a slice of a partition's documents. Its words become numbers of the benchmark's vocabulary, 0 for others.
-The suffixes that can hold a window are sorted; each benchmark suffix is binary-searched in that array for the range of
-suffixes that start with its window; neighbouring hits on one diagonal join to the longest verbatim matches.
-
-A suffix is left out of the array only where it can't match: where its chain of word pairs that the benchmark also has
-is shorter than the shortest window that starts with its word.
+A shard is a slice of a partition's documents. Its words become numbers of the benchmark's vocabulary; a suffix array of all
+its positions is built by doubling. Each benchmark suffix that holds a whole window is binary-searched for the range of
+shard suffixes that start with that window; neighbouring hits on one diagonal join to the longest verbatim matches.
 
 Defined results: null or empty texts have no words and no hits; a benchmark item without words never matches; items with
 one id count once and their windows add up; a null item_id reads as the empty string; repeated document rows are judged
@@ -27,72 +24,100 @@ from .shared import materialize, with_plain_names
 
 #: Word characters: ASCII letters and digits, and all others than ASCII. A-Z are lower-cased.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-_BITS = 24
 MATCHES = "array<struct<item_id:string,doc_start:int,item_start:int,length:int>>"
 #: Benchmark text sent to the executors at once; a larger benchmark is searched block by block.
 BLOCK_BYTES = 24 << 20
 #: Text of a training shard, which gets a suffix array of its own.
 SHARD_BYTES = 8_000_000
+#: Benchmark suffixes that are searched together.
+KEYS_AT_ONCE = 1 << 16
 
 
 def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
-def _pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return ((a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - _BITS)).astype(np.int64)
+def suffix_array(words: np.ndarray, depth: int) -> np.ndarray:
+    """All positions in the order of their suffixes, compared over `depth` words at least: by doubling, and only where suffixes are still equal."""
+    n = len(words)
+    order = np.argsort(words, kind="stable").astype(np.int32)
+    new = np.ones(n, bool)
+    new[1:] = words[order[1:]] != words[order[:-1]]
+    rank = np.empty(n, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    at = np.flatnonzero(~(new & np.append(new[1:], True)))
+    known = 1
+    while known < depth and len(at):
+        own = order[at]
+        after = own.astype(np.int64) + known
+        key = rank[own] * np.int64(n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)], -1) + 1
+        by = np.argsort(key, kind="stable")
+        own, key = own[by], key[by]
+        order[at] = own
+        new = np.ones(len(at), bool)
+        new[1:] = key[1:] != key[:-1]
+        rank[own] = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+        at = at[~(new & np.append(new[1:], True))]
+        known *= 2
+    return order
+
+
+def bounds(words: np.ndarray, order: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each key (a row of words) the range of the suffix array whose suffixes start with it, by binary search."""
+    n, size = len(order), keys.shape[1]
+    padded = np.concatenate([words, np.full(size, -1, words.dtype)])
+    found = []
+    for right in (False, True):
+        ends = []
+        for begin in range(0, len(keys), KEYS_AT_ONCE):
+            some = keys[begin : begin + KEYS_AT_ONCE]
+            low, high = np.zeros(len(some), np.int64), np.full(len(some), n, np.int64)
+            for _ in range(n.bit_length()):
+                middle = (low + high) >> 1
+                here = padded[order[np.minimum(middle, n - 1)].astype(np.int64)[:, None] + np.arange(size)]
+                differs = here != some
+                first = differs.argmax(1)[:, None]
+                a, b = np.take_along_axis(here, first, 1)[:, 0], np.take_along_axis(some, first, 1)[:, 0]
+                up = (low < high) & ((a <= b) if right else (a < b))
+                low, high = np.where(up, middle + 1, low), np.where(up, high, np.maximum(np.minimum(middle, high), low))
+            ends.append(low)
+        found.append(np.concatenate(ends))
+    return found[0], found[1]
 
 
 class Probe:
-    """Windows of one block of the benchmark, by number of words, and what shows that a suffix can't match."""
+    """The suffixes of one block of the benchmark that hold a whole window, by the window's number of words."""
 
     def __init__(self, items: list[tuple[str, str]], window: int) -> None:
-        self.window, self.items = window, [x[0] for x in items]
+        self.items = [x[0] for x in items]
         self.vocabulary: dict[bytes, int] = {}
         coded = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)], np.int64) for _, text in items]
-        self.least = np.full(len(self.vocabulary) + 1, 1 << 30, np.int64)
-        self.pairs = np.zeros(1 << _BITS, bool)
-        by_length: dict[int, list[tuple[bytes, int, int]]] = {}
+        self.depth = max([window, *map(len, coded)])
+        by_length: dict[int, list[tuple[int, np.ndarray]]] = {}
         for k, x in enumerate(coded):
-            if len(x) > 1:
-                self.pairs[_pair_hash(x[:-1], x[1:])] = True
-            size = min(window, len(x))
-            for q in range(len(x) - size + 1 if size else 0):
-                self.least[x[q]] = min(self.least[x[q]], size)
-                by_length.setdefault(size, []).append((x[q : q + size].astype(">u4").tobytes(), k, q))
+            if len(x):
+                by_length.setdefault(min(window, len(x)), []).append((k, x))
         self.suffixes = []
-        for size, found in by_length.items():
-            pad = 4 * (window - size)
-            keys = [x[0] for x in found]
-            low, high = (np.array([x + fill * pad for x in keys], f"S{4 * window}") for fill in (b"\0", b"\xff"))
-            self.suffixes.append((size, low, high, np.array([x[1] for x in found]), np.array([x[2] for x in found])))
+        for size, some in by_length.items():
+            keys = np.concatenate([np.lib.stride_tricks.sliding_window_view(x, size) for _, x in some])
+            counts = [len(x) - size + 1 for _, x in some]
+            self.suffixes.append((size, keys, np.repeat([k for k, _ in some], counts), np.concatenate([np.arange(n) for n in counts])))
 
     def search(self, coded: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Positions, items, places in the item and lengths of all windows found in a shard."""
+        """Positions, items, places in the item and lengths of all windows found in a shard; words that no item has are 0."""
         none = np.zeros(0, np.int64)
-        n = len(coded)
-        padded = np.concatenate([coded, np.zeros(self.window, coded.dtype)])
-        chained = np.zeros(n + 1, bool)
-        at = np.flatnonzero((padded[:n] > 0) & (padded[1 : n + 1] > 0))
-        chained[at] = self.pairs[_pair_hash(padded[at], padded[at + 1])]
-        breaks = np.flatnonzero(~chained)
-        starts = np.flatnonzero(self.least[padded[:n]] <= self.window)
-        if not len(starts):
-            return none, none, none, none
-        chain = breaks[np.searchsorted(breaks, starts)] - starts + 1
-        starts = starts[chain >= self.least[padded[starts]]]
-        if not len(starts):
+        if not coded.any() or not self.suffixes:
             return none, none, none, none
-        keys = np.ascontiguousarray(padded[starts[:, None] + np.arange(self.window)].astype(">u4")).view(f"S{4 * self.window}").ravel()
-        order = np.argsort(keys, kind="stable")
-        array, starts = keys[order], starts[order]
+        # each word that no item has is one of its own: no match runs over it
+        shard = np.where(coded > 0, coded, len(self.vocabulary) + 1 + np.arange(len(coded)))
+        order = suffix_array(shard, self.depth)
         out = []
-        for size, low, high, item, place in self.suffixes:
-            a, b = np.searchsorted(array, low, "left"), np.searchsorted(array, high, "right")
+        for size, keys, item, place in self.suffixes:
+            a, b = bounds(shard, order, keys)
             hit = np.flatnonzero(b > a)
             count = (b - a)[hit]
             which = np.repeat(hit, count)
-            position = starts[np.repeat(a[hit] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
+            position = order[np.repeat(a[hit] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))].astype(np.int64)
             out.append((position, item[which], place[which], np.full(len(which), size, np.int64)))
         return tuple(np.concatenate(x) for x in zip(*out))
 
