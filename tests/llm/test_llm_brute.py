@@ -8,6 +8,7 @@ from collections import Counter
 from itertools import combinations
 
 import duckdb
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -232,3 +233,26 @@ def test_small_languages_keep_their_words(spark):
     assert len(model.languages) == 221
     got = {x.doc_id: x._tm_lang for x in language.predict(docs, model).collect()}
     assert got == {k: lang for k, _, lang in rows}
+
+
+# ---------------------------------------------------------------- what near-dedup and line dedup leave out
+
+
+def test_recall_of_sketches_and_table_keys():
+    """Pairs of similarity 0.8, the least that counts: nearly all pass the sketch filter and share a table key."""
+    r = np.random.default_rng(12)
+    passed = shared = 0
+    pairs = 600
+    for _ in range(pairs):
+        both, own = r.integers(0, 1 << 63, 160, dtype=np.uint64), r.integers(0, 1 << 63, 40, dtype=np.uint64)
+        a, b = (minhash.minhashes(np.concatenate([both, x])) for x in (own[:20], own[20:]))
+        x, y = a[-64:], b[-64:]
+        passed += int(((x & np.uint64(3)) == (y & np.uint64(3))).sum()) >= minhash.SKETCH_AGREE
+        same = (a == b)[: minhash._MINHASHES - minhash.MORE].reshape(2, minhash.COLLECTION, minhash.PER_KEY).all(2).any(1)
+        shared += bool(same.all())
+    assert passed >= 0.995 * pairs and shared >= 0.99 * pairs
+
+
+def test_emptied_documents_go(spark):
+    docs = docs_of(spark, [(1, "a line that both of them hold"), (2, "a line that both of them hold"), (3, ""), (4, None), (5, "a line that both of them hold\nand its own line")])
+    assert sorted(x.doc_id for x in line_dedup.dedup_lines(docs, drop_emptied=True).collect()) == [1, 3, 4, 5]

@@ -129,9 +129,14 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     return _applied(docs, bitmaps).toDF(*docs.columns, "_tm_lines", "_tm_dropped")
 
 
-def dedup_lines(docs: DataFrame, min_key: int = MIN_KEY) -> DataFrame:
-    """The documents, all columns, without repeated lines; n_chars follows the text where there is such a column."""
+def dedup_lines(docs: DataFrame, min_key: int = MIN_KEY, drop_emptied: bool = False) -> DataFrame:
+    """The documents, all columns, without repeated lines; n_chars follows the text where there is such a column.
+
+    drop_emptied: documents go that lost lines and of which only blanks are left.
+    """
     names = with_plain_names(docs)[1]
     length = F.length(names["text"]).cast(dict(docs.dtypes).get("n_chars", "long"))
     out = _applied(docs, keep_bitmaps(docs, min_key))
+    if drop_emptied:
+        out = out.filter((F.col("n_dropped") == 0) | (F.btrim(names["text"], F.lit(BLANKS)) != ""))
     return out.select(*(length if name == "n_chars" else F.col(c) for name, c in names.items())).toDF(*docs.columns)
