@@ -215,8 +215,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     # sets that are tied together but by no confirmed link yet: all pairs of a group's blocks, but those of one component
     tied = connected_components(scored.select("a", "b")).withColumnsRenamed({"node": "id", "root": "group"})
-    ids = scored.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    grouped = ids.join(tied, "id", "left").join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("group", "id").alias("group"), F.coalesce("root", "id").alias("root"))
+    every = tied.unionByName(tied.select(F.col("group").alias("id"), "group").distinct())
+    grouped = every.join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", "group", F.coalesce("root", "id").alias("root"))
     several = grouped.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("group")
     apart = materialize(grouped.join(several, "group", "left_semi").join(taking_part, "id"), "apart", made)
     edges = edges.unionByName(materialize(_links_between_blocks(apart, full, percent, BLOCK), "edges2", made))
