@@ -209,23 +209,25 @@ def src22_content_hashes(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("sha256"))
 
 
-@query("SELECT doc_id, k::BIGINT AS line_no, trim(line) AS line FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS k, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> ''")
+@query("SELECT doc_id, k::BIGINT AS line_no, p::BIGINT AS part, substr(trim(line), p * 40 + 1, 40) AS line FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS k, unnest(string_split(text, chr(10))) AS line FROM documents), unnest(range(0, (length(trim(line)) + 39) // 40)) AS t(p) WHERE trim(line) <> ''")
 def arr02_regions(spark, sf_dir):
-    d = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("k", "line"))
-    return d.filter(F.trim("line") != "").select("doc_id", (F.col("k") + 1).alias("line_no"), F.trim("line").alias("line"))
+    """Parts of 40 characters, so that lines of these texts do part."""
+    return _docs(spark, sf_dir).select("doc_id", F.explode(inputs.regions(F.col("text"), 40)).alias("r")).select("doc_id", "r.line_no", "r.part", F.col("r.text").alias("line"))
 
 
 @query("SELECT doc_id, k::BIGINT AS page_no, floor((k - 1) / 3)::BIGINT AS page_window FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents)")
 def arr03_page_windows(spark, sf_dir):
     """Pages lie in one array of a document, so their places give the windows without an exchange."""
-    d = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("k", "line"))
-    return d.select("doc_id", (F.col("k") + 1).alias("page_no"), F.floor(F.col("k") / 3).alias("page_window"))
+    return _docs(spark, sf_dir).select("doc_id", F.inline(inputs.page_windows(F.split("text", "\n", -1))))
 
 
-@query("SELECT doc_id, k::BIGINT AS page_no FROM (SELECT doc_id, len(string_split(text, chr(10))) AS n, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents) WHERE k <= 3 OR k > n - 2")
+@query("""WITH p AS (SELECT doc_id, len(string_split(text, chr(10))) AS n, generate_subscripts(string_split(text, chr(10)), 1) AS k, unnest(string_split(text, chr(10))) AS page FROM documents),
+h AS (SELECT doc_id, k FROM p WHERE contains(page, 'tion') OR contains(page, 'heit'))
+SELECT doc_id, k::BIGINT AS page_no FROM p WHERE k <= 3 OR k > n - 2 UNION SELECT p.doc_id, p.k FROM p JOIN h ON h.doc_id = p.doc_id AND p.k BETWEEN h.k - 1 AND h.k + 2""")
 def arr04_routing_sample(spark, sf_dir):
-    d = _docs(spark, sf_dir).select("doc_id", F.size(F.split("text", "\n", -1)).alias("n"), F.posexplode(F.split("text", "\n", -1)).alias("k", "line"))
-    return d.filter((F.col("k") < 3) | (F.col("k") >= F.col("n") - 2)).select("doc_id", (F.col("k") + 1).alias("page_no"))
+    """Two word ends stand for the headings of statements."""
+    sample = inputs.routing_sample(F.split("text", "\n", -1), ("tion", "heit"))
+    return _docs(spark, sf_dir).select("doc_id", F.explode(sample).alias("page_no"))
 
 
 @query("""SELECT c_custkey, '["a","' || c_mktsegment || '"]' AS json, c_mktsegment AS second FROM customer""")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,6 +75,29 @@ def merged_text(layer: Column, recognized: Column) -> Column:
     return F.when(F.contains(layer, recognized), layer).when(F.contains(recognized, layer), recognized).otherwise(F.concat_ws("\n", layer, recognized))
 
 
+def regions(text: Column, longest: int = 4000) -> Column:
+    """(line_no, part, text) of the lines that aren't blank, stripped, in parts of bounded length."""
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda line, k: F.struct((k + 1).alias("line_no"), F.trim(line).alias("text")))
+    starts = lambda x: F.sequence(F.lit(0), F.floor((F.length(x.text) - 1) / longest).cast("int"))
+    cut = lambda x: F.transform(starts(x), lambda p: F.struct(x.line_no.alias("line_no"), p.alias("part"), F.substring(x.text, p * longest + 1, F.lit(longest)).alias("text")))
+    return F.flatten(F.transform(F.filter(lines, lambda x: x.text != ""), cut))
+
+
+def page_windows(pages: Column, size: int = 3) -> Column:
+    """(page_no, page_window) of an array of pages: windows of so many pages, by place."""
+    return F.transform(pages, lambda _, k: F.struct((k + 1).alias("page_no"), F.floor(k / size).alias("page_window")))
+
+
+def routing_sample(pages: Column, headings: tuple[str, ...], first: int = 3, last: int = 2) -> Column:
+    """Numbers of the pages that show what a document is: the first and last ones, and from each page with one of the
+    headings the page before to the second page after it."""
+    n = F.size(pages)
+    held = lambda page: reduce(lambda a, b: a | b, (F.contains(page, F.lit(h)) for h in headings))
+    near = F.transform(F.filter(F.transform(pages, lambda page, k: F.when(held(page), k + 1)), lambda k: k.isNotNull()), lambda k: F.sequence(F.greatest(k - 1, F.lit(1)), F.least(k + 2, n)))
+    ends = F.concat(F.sequence(F.lit(1), F.least(n, F.lit(first))), F.sequence(F.greatest(n - last + 1, F.lit(1)), n))
+    return F.when(n > 0, F.array_sort(F.array_distinct(F.concat(ends, F.flatten(near))))).otherwise(F.array().cast("array<int>"))
+
+
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:
     """path, extension, length, sha256 of the files below a folder; hashes are made where the files are read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
