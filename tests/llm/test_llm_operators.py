@@ -351,9 +351,10 @@ def test_near_duplicates_of_odd_tables(spark):
     assert minhash.near_duplicates(table(spark, [])).count() == 0
 
 
-def test_blocks_of_a_large_loose_group(spark, monkeypatch):
-    """Members that no star links, in several blocks."""
-    monkeypatch.setattr(minhash, "BLOCK", 8)
+@pytest.mark.parametrize(("bound", "value"), [("BLOCK", 8), ("BLOCK_SHINGLES", 600)])
+def test_blocks_of_a_large_loose_group(spark, monkeypatch, bound, value):
+    """Members that no star links, in several blocks, bounded by their number or by their shingles."""
+    monkeypatch.setattr(minhash, bound, value)
     monkeypatch.setattr(minhash, "FIRST_PARTNERS", 0)
     r = random.Random(4)
     base = [f"w{k}" for k in range(80)]

@@ -45,6 +45,8 @@ FIRST_PARTNERS = 2
 #: Sets of a block, and members of a block where only sizes and sketches are compared.
 BLOCK = 256
 SKETCH_BLOCK = 1024
+#: Shingles of the sets of a block (8 bytes each), so that blocks of long documents hold fewer of them.
+BLOCK_SHINGLES = 1 << 20
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _RNG = np.random.default_rng(20240229)
@@ -312,9 +314,9 @@ def _common(a: list[np.ndarray], b: list[np.ndarray], width: int = 16384) -> np.
 def _links_between_blocks(apart: DataFrame, sets: DataFrame | None, percent: int, size: int) -> DataFrame:
     """Links between sets of one group (group, root, id, sizes, sketches) that have different roots.
 
-    A group is dealt to blocks of about `size` sets, those of a large component to blocks of their own; every pair of blocks
-    that isn't of one component meets in one row, whose sets are multiplied there. So the rows are few, and no group is
-    ever in one task.
+    A group is dealt to blocks of about `size` sets and at most about `BLOCK_SHINGLES` shingles, those of a large component to
+    blocks of their own; every pair of blocks that isn't of one component meets in one row, whose sets are multiplied there.
+    So the rows are few and of bounded size, and no group is ever in one task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,10 +330,11 @@ def _links_between_blocks(apart: DataFrame, sets: DataFrame | None, percent: int
             yield pa.record_batch([pa.array([p for p, _ in out], pa.int64()), pa.array([q for _, q in out], pa.int64())], ["a", "b"])
 
     small = F.lit(-(1 << 62))
-    of_root = apart.groupBy("group", "root").agg(F.count("*").alias("n"))
-    kinds = of_root.select("group", "root", F.when(F.col("n") >= size, F.col("root")).otherwise(small).alias("kind"), "n")
-    of_kind = kinds.groupBy("group", "kind").agg(F.ceil(F.sum("n") / size).alias("blocks"))
-    placed = apart.join(kinds.drop("n"), ["group", "root"]).join(of_kind, ["group", "kind"]).withColumn("part", F.xxhash64("kind", F.pmod(F.xxhash64("id"), "blocks")))
+    share = F.count("*") / size if sets is None else F.greatest(F.count("*") / size, F.sum("n_shingles") / BLOCK_SHINGLES)
+    of_root = apart.groupBy("group", "root").agg(share.alias("load"))  # in blocks
+    kinds = of_root.select("group", "root", F.when(F.col("load") >= 1, F.col("root")).otherwise(small).alias("kind"), "load")
+    of_kind = kinds.groupBy("group", "kind").agg(F.ceil(F.sum("load")).alias("blocks"))
+    placed = apart.join(kinds.drop("load"), ["group", "root"]).join(of_kind, ["group", "kind"]).withColumn("part", F.xxhash64("kind", F.pmod(F.xxhash64("id"), "blocks")))
     member = F.struct("id", "root", "n_shingles", "bits1", "bits2", *([] if sets is None else ["shingles"]))
     placed = placed if sets is None else placed.join(sets, "id")
     blocks = materialize(placed.groupBy("group", "kind", "part").agg(F.collect_list(member).alias("members")), "blocks")
