@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -385,6 +386,29 @@ def test_similar_sets_among_many_with_their_keys(spark):
     assert found == want
 
 
+@pytest.mark.parametrize("at_once", [1, 40, 1 << 17])
+def test_forest_keeps_components(monkeypatch, at_once):
+    """Few edges at a time or all of them: the components stay, and many edges become at most one for each node."""
+    monkeypatch.setattr(components, "FOREST_EDGES", at_once)
+    r = random.Random(3)
+    edges = [(10**12 + r.randint(0, 40), r.choice([-5, 7, 9])) for _ in range(500)] + [(k, k + 1) for k in range(100, 160)] + [(-(1 << 63), 3)]
+    batches = [pa.record_batch([pa.array([a for a, _ in edges[k : k + 16]]), pa.array([b for _, b in edges[k : k + 16]])], ["a", "b"]) for k in range(0, len(edges), 16)]
+    found = [tuple(x.values()) for b in components.forest(iter(batches)) for x in b.to_pylist()]
+    assert all(a > b for a, b in found)
+
+    def least(pairs):
+        top = {}
+        find = lambda k: k if top.get(k, k) == k else find(top[k])
+        for a, b in pairs:
+            x, y = sorted((find(a), find(b)))
+            top[y] = x
+        return {k: find(k) for e in pairs for k in e}
+
+    assert least(found) == least(edges)
+    assert at_once == 1 or len(found) < len(edges) / 2
+    assert list(components.forest(iter([]))) == []
+
+
 def test_connected_components(spark):
     r = random.Random(8)
     edges = [(k, k + 1) for k in range(0, 60)] + [(100 + k, 100) for k in range(1, 50)] + [(r.randint(200, 260), r.randint(200, 260)) for _ in range(40)]

@@ -2,11 +2,55 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import drop_tables, materialize
 
+#: Edges that a task ties together at a time before any are shuffled.
+FOREST_EDGES = 1 << 17
+
+
+def roots_of(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """The least node of its component for each of n nodes, given edges between x and y."""
+    root = np.arange(n)
+    while len(x):
+        p, q = root[x], root[y]
+        apart = p != q
+        x, y = x[apart], y[apart]
+        np.minimum.at(root, np.maximum(p, q)[apart], np.minimum(p, q)[apart])
+        while (root[root] != root).any():
+            root = root[root]
+    return root
+
+
+def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) to stars (node, least node) with the same components, some edges at a time.
+
+    Many edges between few nodes become at most one for each node, where they are read.
+    """
+
+    def tie(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        a, b = (np.concatenate([x.column(k).to_numpy() for x in held]) for k in (0, 1))
+        nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = roots_of(place[: len(a)], place[len(a) :], len(nodes))
+        other = np.flatnonzero(root != np.arange(len(nodes)))
+        return pa.record_batch([pa.array(nodes[other]), pa.array(nodes[root[other]])], ["a", "b"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= FOREST_EDGES:
+            yield tie(held)
+            held, n = [], 0
+    if n:
+        yield tie(held)
+
 
 def large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is tied to the least node around it. Edges have a > b."""
@@ -29,7 +73,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     The number of rounds grows with the logarithm of the longest path. Only counts come to the driver.
     """
     x, y = F.col(a), F.col(b)
-    state = edges.filter(x != y).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct()
+    state = edges.filter(x != y).select(x.cast("long").alias("a"), y.cast("long").alias("b")).mapInArrow(forest, "a long, b long").distinct()
     round_no, made, earlier = 0, [], []
     while True:
         made, earlier = [], made
