@@ -31,7 +31,7 @@ def roots_of(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
 def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges (a, b) to stars (node, least node) with the same components, some edges at a time.
 
-    Many edges between few nodes become at most one for each node, where they are read.
+    Many edges between few nodes become at most one for each node.
     """
 
     def tie(held: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -70,11 +70,14 @@ def small_star(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root for every node with an edge that isn't the least of its component; root is that least node.
 
-    The number of rounds grows with the logarithm of the longest path. Only counts come to the driver.
+    All edges of a node at end a meet in one task, but for those of hot nodes, which are dealt to several; there they are
+    tied to stars before the first round. The number of rounds grows with the logarithm of the longest path. Only counts
+    come to the driver.
     """
     x, y = F.col(a), F.col(b)
-    state = edges.filter(x != y).select(x.cast("long").alias("a"), y.cast("long").alias("b")).mapInArrow(forest, "a long, b long").distinct()
     round_no, made, earlier = 0, [], []
+    met = edges.filter(x != y).select(x.cast("long").alias("a"), y.cast("long").alias("b")).hint("rebalance", "a")
+    state = materialize(met.mapInArrow(forest, "a long, b long"), "forest", made).distinct()  # every round reads it several times
     while True:
         made, earlier = [], made
         state = materialize(small_star(large_star(state)), f"stars{round_no}", made)
