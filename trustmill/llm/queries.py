@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, language, line_dedup, minhash, packing, pii, secrets, token_table, url_rules
+from . import conversations, decontamination, fingerprints, language, line_dedup, minhash, negatives, packing, pii, secrets, token_table, url_rules
 from .shared import joined_sha256, new_table_path, table
 
 #: The written rules, (verdict, host with path).
@@ -72,7 +72,32 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_decontamination, op3_pii, op4_language_id, op5_secrets, op6_line_dedup, op7_minhash_near_dedup, op8_token_table, op9_simhash, op10_url_rules)}
+def damaged(turns: DataFrame) -> DataFrame:
+    """What op12 repairs: by the checksum of `conv_id:turn` some turns go, lose their text or its ends, come twice or change their role."""
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    x = turns.select("conv_id", "turn", name("role").alias("role"), name("text").alias("text"), (F.crc32(F.concat(name("conv_id"), F.lit(":"), name("turn"))) % 20).alias("harm")).filter("harm <> 0")
+    x = x.withColumn("text", F.when(F.col("harm") == 1, "").when(F.col("harm") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")))
+    x = x.withColumn("role", F.when(F.col("harm") == 4, "user").otherwise(F.col("role")))
+    return x.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.when(F.col("harm") == 3, 2).otherwise(1)))).select("conv_id", "turn", "role", "text")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    edits, report = conversations.repair(damaged(turns))
+    piece = F.concat(F.coalesce("role", F.lit("")), F.lit(":"), F.coalesce("text", F.lit("")))
+    hashes = conversations.text_hashes(edits.filter("edit <> 'D'"), F.col("key"), ["pos", "nth"], piece)
+    key = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit(""))
+    found = turns.select("conv_id", key.alias("key")).distinct().join(report.drop("conv_id"), "key", "left").join(hashes, "key", "left")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return found.select("conv_id", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts), F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return negatives.mine(vectors, F.col("vec_id") % 100 == 0, id_col="vec_id").drop("anchor_row")
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_decontamination, op3_pii, op4_language_id, op5_secrets, op6_line_dedup, op7_minhash_near_dedup, op8_token_table, op9_simhash, op10_url_rules, op12_conversation_repair, op13_hard_negatives)}
 
 _WORDS2 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -112,5 +137,13 @@ r AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT sym.b, r
 c AS (SELECT node, min(root) AS component_id FROM r GROUP BY node)
 SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM documents LEFT JOIN n USING (doc_id) JOIN c ON c.node = doc_id
+""",
+    "op13_hard_negatives": """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id AS id, a.label = c.label AS same, CAST(list_dot_product(a.q, c.q) AS BIGINT) AS score FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10
 """,
 }
