@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, decontamination, fingerprints, language, line_dedup, minhash, negatives, packing, pii, secrets, token_table, url_rules
+from . import conversations, decontamination, fingerprints, language, line_dedup, minhash, negatives, packing, pii, secrets, token_table, url_rules, warc
 from .shared import joined_sha256, new_table_path, table
 
 #: The written rules, (verdict, host with path).
@@ -72,6 +72,12 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES)
 
 
+def op11_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_table_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to_page").alias("refers_to"), "fault")
+
+
 def damaged(turns: DataFrame) -> DataFrame:
     """What op12 repairs: by the checksum of `conv_id:turn` some turns go, lose their text or its ends, come twice or change their role."""
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
@@ -97,7 +103,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(vectors, F.col("vec_id") % 100 == 0, id_col="vec_id").drop("anchor_row")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_decontamination, op3_pii, op4_language_id, op5_secrets, op6_line_dedup, op7_minhash_near_dedup, op8_token_table, op9_simhash, op10_url_rules, op12_conversation_repair, op13_hard_negatives)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_decontamination, op3_pii, op4_language_id, op5_secrets, op6_line_dedup, op7_minhash_near_dedup, op8_token_table, op9_simhash, op10_url_rules, op11_warc_reassembly, op12_conversation_repair, op13_hard_negatives)}
 
 _WORDS2 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 

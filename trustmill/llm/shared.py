@@ -80,6 +80,17 @@ def joined_sha256(parts: Column) -> Column:
     return F.sha2(F.array_join(parts, ","), 256)
 
 
+def looked_up(rows: DataFrame, keys: list[str], found: DataFrame, spread: Column, salts: int = 64) -> DataFrame:
+    """rows left-joined with found, which has each key once, where a key may hold a large part of the rows.
+
+    Rows are dealt to salts by `spread`; a row of found is copied only to the salts in which its key occurs, which is counted
+    before the join and combined where rows are read, so a hot key is in `salts` tasks and a rare one costs nothing.
+    """
+    salted = rows.withColumn("_tm_salt", F.pmod(spread, F.lit(salts)).cast("int"))
+    places = salted.select(*keys, "_tm_salt").distinct().join(found, keys)
+    return salted.join(places, [*keys, "_tm_salt"], "left").drop("_tm_salt")
+
+
 def give_back() -> None:
     """Freed memory goes back to the system: Python workers stay for later tasks, and what they hold adds up."""
     pa.default_memory_pool().release_unused()
