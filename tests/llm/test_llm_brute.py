@@ -109,8 +109,10 @@ def test_fingerprints_and_search_against_brute_force(spark):
 # ---------------------------------------------------------------- URL rules
 
 
-def test_mined_rules_against_brute_force(spark):
-    """A page is blocked where some set of its tokens has the support, confidence and lift of a rule."""
+@pytest.mark.parametrize("widest", [10, 1])
+def test_mined_rules_against_brute_force(spark, monkeypatch, widest):
+    """A page is blocked where some set of its tokens has the support, confidence and lift of a rule, with and without implied tokens."""
+    monkeypatch.setattr(url_rules, "WIDEST", widest)
     r = random.Random(17)
     rows = []
     for k in range(700):
@@ -142,6 +144,18 @@ def test_many_host_labels_make_no_explosion(spark):
     assert got == {k: "block" if k < 100 else "allow" for k in got}
 
 
+def test_nested_folders_make_no_explosion(spark):
+    """Twenty levels with 25 pages each, half of them bad below the tenth: one rule for a level at most."""
+    rows = [(level * 25 + k, "http://x.org" + "".join(f"/a{i}x" for i in range(level + 1)) + f"/{k}", int(level >= 10 and k % 25 < 20)) for level in range(20) for k in range(25)]
+    pages = spark.createDataFrame([(k, u) for k, u, _ in rows], "page_id long, url string")
+    labels = spark.createDataFrame([(k, t) for k, _, t in rows], "doc_id long, toxic int")
+    began = time.time()
+    found = url_rules.judge(pages, labels, []).collect()
+    assert time.time() - began < 60
+    assert {x.page_id: x.verdict for x in found} == {k: "block" if k >= 250 else "allow" for k, _, _ in rows}
+    assert len({x.mined_rule for x in found}) <= 20
+
+
 def test_written_rules_equal_sql(spark, sf_dir):
     con = duckdb.connect()
     fits = " ".join(f"WHEN (host = '{h}' OR suffix(host, '.{h}')) AND starts_with(path, '/{p}') THEN '{h}/{p}'" for _, x in sorted(queries.URL_RULES, key=lambda x: -len(x[1])) for h, p in [x.split("/", 1)])
@@ -163,7 +177,7 @@ def test_edits_equal_sql(spark, sf_dir):
 
 # ---------------------------------------------------------------- very long texts
 
-LONG = {"letters": "a" * 300_000, "scheme": "a" * 100_000 + "://" + "b" * 100_000, "digits": "1" * 200_000, "key": "Ab1/" * 60_000, "hosts": "host " * 40_000, "plus": "+1 " * 60_000, "lines": "\n" * 100_000, "words": "same words again " * 20_000}
+LONG = {"letters": "a" * 300_000, "scheme": "a" * 100_000 + "://" + "b" * 100_000, "digits": "1" * 200_000, "key": "Ab1/" * 60_000, "hosts": "host " * 40_000, "plus": "+1 " * 60_000, "lines": "\n" * 100_000, "words": "same words again " * 20_000, "cues": "account-" * 40_000, "numbers": "ssn-" * 40_000}
 
 
 @pytest.mark.parametrize("scan", [secrets.parts, lambda t: pii.spans(t, pii.automaton())], ids=["secrets", "personal data"])
@@ -174,6 +188,21 @@ def test_scans_take_time_in_proportion(scan):
         assert time.time() - began < 10, name
 
 
+def test_hits_of_equal_items_and_words_are_few():
+    """A position is hit once, however many items, or places of one, hold its window."""
+    r = np.random.default_rng(2)
+    passage = " ".join(f"w{k}" for k in r.integers(0, 1 << 30, 51))
+    probe = decontamination.Probe([(str(k), passage) for k in range(500)] + [("same", "again " * 2000)], 10)
+    code = lambda text: np.array([probe.vocabulary.get(w, 0) for w in decontamination.words(text)] + [0], np.int64)
+    began = time.time()
+    position, size, _, hit, held = probe.search(np.concatenate([code(f"x {passage} y")] * 400))
+    assert len(hit) == 400 * 42 and len(position) == 400 and set(size.tolist()) == {51}
+    assert len(probe.items_of(tuple(np.unique(held).tolist()))) == 500
+    position, size, _, hit, held = probe.search(code("again " * 10_000))
+    assert len(hit) == 9991 and size.tolist()[:4] == [2000] * 4 and probe.items_of(tuple(np.unique(held).tolist())) == ["same"]
+    assert time.time() - began < 20
+
+
 def test_operators_take_very_long_texts(spark, tmp_path):
     rows = [(k, t) for k, t in enumerate(LONG.values())]
     docs = docs_of(spark, rows)

@@ -6,7 +6,7 @@ shard suffixes that start with that window; neighbouring hits on one diagonal jo
 
 Defined results: null or empty texts have no words and no hits; a benchmark item without words never matches; items with
 one id count once and their windows add up; a null item_id reads as the empty string; repeated document rows are judged
-separately; extra columns pass through `carry`; an empty benchmark leaves every document clean.
+separately; extra columns pass through `carry`; an empty benchmark leaves every document clean; a very long text is a shard of its own.
 """
 
 from __future__ import annotations
@@ -85,52 +85,96 @@ def bounds(words: np.ndarray, order: np.ndarray, keys: np.ndarray) -> tuple[np.n
     return found[0], found[1]
 
 
+class Windows:
+    """The different windows of one length, where they occur in the benchmark, and the sets of texts that hold them."""
+
+    def __init__(self, size: int, texts: list[tuple[int, np.ndarray]], begins: np.ndarray, sets: dict[bytes, int]) -> None:
+        keys = np.concatenate([np.lib.stride_tricks.sliding_window_view(x, size) for _, x in texts])
+        place = np.concatenate([begins[k] + np.arange(len(x) - size + 1) for k, x in texts])
+        _, first, which = np.unique(np.ascontiguousarray(keys).view(np.dtype((np.void, 8 * size)))[:, 0], return_index=True, return_inverse=True)
+        by = np.lexsort((place, which))
+        self.size, self.keys, self.places = size, keys[first], place[by]
+        self.ends = np.searchsorted(which[by], np.arange(len(first) + 1))
+        count = np.diff(self.ends)
+        #: The only place of a window, or -1.
+        self.only = np.where(count == 1, self.places[self.ends[:-1]], -1)
+        text = np.searchsorted(begins, self.places, "right") - 1
+        self.set_of = text[self.ends[:-1]]  # sets of one text have its number
+        for k in np.flatnonzero(count > 1).tolist():
+            own = np.unique(text[self.ends[k] : self.ends[k + 1]])
+            self.set_of[k] = own[0] if len(own) == 1 else sets.setdefault(own.tobytes(), len(begins) + len(sets))
+
+    def join(self, position: np.ndarray, window: np.ndarray) -> list[tuple[int, int, int]]:
+        """(position, length, place) of the matches that hits, by rising position, make up."""
+        at, only, out, i, n = position.tolist(), self.only[window].tolist(), [], 0, len(position)
+        of = lambda k: self.places[self.ends[window[k]] : self.ends[window[k] + 1]]
+        while i < n:
+            here, j = only[i] if only[i] >= 0 else of(i), i + 1
+            while j < n and at[j] == at[j - 1] + 1:
+                if isinstance(here, int) and only[j] >= 0:
+                    if here + 1 != only[j]:
+                        break
+                    here += 1
+                else:
+                    both = np.intersect1d(np.atleast_1d(here) + 1, of(j), assume_unique=True)
+                    if not len(both):
+                        break
+                    here = int(both[0]) if len(both) == 1 else both
+                j += 1
+            last = here if isinstance(here, int) else int(here[0])
+            out.append((at[i], self.size + j - 1 - i, last - (j - 1 - i)))
+            i = j
+        return out
+
+
 class Probe:
-    """The suffixes of one block of the benchmark that hold a whole window, by the window's number of words."""
+    """The suffixes of one block of the benchmark that hold a whole window, by the window's number of words.
+
+    Items of the same words are one text. A place is a word's number in all texts, one apart from each other.
+    """
 
     def __init__(self, items: list[tuple[str, str]], window: int) -> None:
-        self.items = [x[0] for x in items]
         self.vocabulary: dict[bytes, int] = {}
-        coded = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)], np.int64) for _, text in items]
-        self.depth = max([window, *map(len, coded)])
+        named: dict[bytes, tuple[np.ndarray, set[str]]] = {}
+        for item_id, text in items:
+            coded = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)], np.int64)
+            if len(coded):
+                named.setdefault(coded.tobytes(), (coded, set()))[1].add(item_id)
+        texts = [x for x, _ in named.values()]
+        self.items = [sorted(ids) for _, ids in named.values()]
+        self.begins = np.cumsum([0, *(len(x) + 1 for x in texts)], dtype=np.int64)[:-1]
+        self.depth = max([window, *map(len, texts)])
         by_length: dict[int, list[tuple[int, np.ndarray]]] = {}
-        for k, x in enumerate(coded):
-            if len(x):
-                by_length.setdefault(min(window, len(x)), []).append((k, x))
-        self.suffixes = []
-        for size, some in by_length.items():
-            keys = np.concatenate([np.lib.stride_tricks.sliding_window_view(x, size) for _, x in some])
-            counts = [len(x) - size + 1 for _, x in some]
-            self.suffixes.append((size, keys, np.repeat([k for k, _ in some], counts), np.concatenate([np.arange(n) for n in counts])))
+        for k, x in enumerate(texts):
+            by_length.setdefault(min(window, len(x)), []).append((k, x))
+        sets: dict[bytes, int] = {}
+        self.windows = [Windows(size, some, self.begins, sets) for size, some in by_length.items()]
+        self.sets = [np.frombuffer(x, np.int64) for x in sets]
+
+    def items_of(self, sets: tuple[int, ...]) -> list[str]:
+        texts = [np.array([k]) if k < len(self.begins) else self.sets[k - len(self.begins)] for k in sets]
+        return sorted({i for k in np.unique(np.concatenate(texts)).tolist() for i in self.items[k]})
 
     def search(self, coded: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Positions, items, places in the item and lengths of all windows found in a shard; words that no item has are 0."""
+        """Positions, lengths and places of all matches in a shard by rising position, and positions with the set of each hit; words that no item has are 0."""
         none = np.zeros(0, np.int64)
-        if not coded.any() or not self.suffixes:
-            return none, none, none, none
+        if not coded.any() or not self.windows:
+            return none, none, none, none, none
         # each word that no item has is one of its own: no match runs over it
         shard = np.where(coded > 0, coded, len(self.vocabulary) + 1 + np.arange(len(coded)))
         order = suffix_array(shard, self.depth)
-        out = []
-        for size, keys, item, place in self.suffixes:
-            a, b = bounds(shard, order, keys)
+        matches, hits = [], []
+        for windows in self.windows:
+            a, b = bounds(shard, order, windows.keys)
             hit = np.flatnonzero(b > a)
             count = (b - a)[hit]
-            which = np.repeat(hit, count)
+            window = np.repeat(hit, count)
             position = order[np.repeat(a[hit] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))].astype(np.int64)
-            out.append((position, item[which], place[which], np.full(len(which), size, np.int64)))
-        return tuple(np.concatenate(x) for x in zip(*out))
-
-
-def longest(doc: np.ndarray, position: np.ndarray, item: np.ndarray, place: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Joins windows that follow each other on a diagonal of the same document and item."""
-    by = np.lexsort((position, position - place, item, doc))
-    doc, position, item, place, size = (x[by] for x in (doc, position, item, place, size))
-    new = np.ones(len(by), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (position[1:] != position[:-1] + 1) | (place[1:] != place[:-1] + 1)
-    first = np.flatnonzero(new)
-    runs = np.diff(np.r_[first, len(by)])
-    return doc[first], position[first], item[first], place[first], size[first] + runs - 1
+            by = np.argsort(position, kind="stable")
+            position, window = position[by], window[by]
+            matches += windows.join(position, window)
+            hits.append((position, windows.set_of[window]))
+        return (*(np.array(x, np.int64) for x in (zip(*sorted(matches)) if matches else [()] * 3)), *(np.concatenate(x) for x in zip(*hits)))
 
 
 def _search_pass(docs: DataFrame, probe: Broadcast, out_columns: list[str], first: bool) -> DataFrame:
@@ -150,26 +194,34 @@ def _search_pass(docs: DataFrame, probe: Broadcast, out_columns: list[str], firs
                     parts.append(np.array([code(w, 0) for w in found], np.int32))
                     parts.append(np.zeros(1, np.int32))
                 begins = np.cumsum(counts + 1) - counts - 1
-                position, item, place, size = block.search(np.concatenate(parts))
+                position, size, place, hit, held = block.search(np.concatenate(parts))
                 doc = np.searchsorted(begins, position, "right") - 1
-                doc, position, item, place, size = longest(doc, position - begins[doc], item, place, size)
-                bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
-                before = None if first else own.column(columns.index("_tm_matches")).to_pylist()
-                rows = []
+                text = np.searchsorted(block.begins, place, "right") - 1
+                ranges = np.searchsorted(doc, np.arange(len(texts) + 1))
+                # the different sets of each document
+                pairs = np.unique((np.searchsorted(begins, hit, "right") - 1) * np.int64(1 << 32) + held)
+                owners = np.searchsorted(pairs, np.arange(len(texts) + 1) << 32)
+                known: dict[tuple[int, ...], list[str]] = {(): []}
+                old = None if first else [own.column(columns.index(c)).to_pylist() for c in ("_tm_matches", "_tm_items")]
+                rows, names = [], []
                 for k in range(len(texts)):
-                    at = slice(bounds[k], bounds[k + 1])
-                    new = [{"item_id": block.items[i], "doc_start": p, "item_start": q, "length": s} for i, p, q, s in zip(item[at].tolist(), position[at].tolist(), place[at].tolist(), size[at].tolist())]
-                    rows.append(new if first else before[k] + new)
+                    at = slice(ranges[k], ranges[k + 1])
+                    new = [{"item_id": block.items[t][0], "doc_start": p, "item_start": q, "length": n} for t, p, q, n in zip(text[at].tolist(), (position[at] - begins[k]).tolist(), (place[at] - block.begins[text[at]]).tolist(), size[at].tolist())]
+                    sets = tuple((pairs[owners[k] : owners[k + 1]] & 0xFFFFFFFF).tolist())
+                    if sets not in known:
+                        known[sets] = block.items_of(sets)
+                    rows.append(new if first else old[0][k] + new)
+                    names.append(known[sets] if first else sorted({*old[1][k], *known[sets]}))
                 kind = pa.list_(pa.struct([("item_id", pa.string()), ("doc_start", pa.int32()), ("item_start", pa.int32()), ("length", pa.int32())]))
-                made = {"_tm_words": pa.array(counts), "_tm_matches": pa.array(rows, kind)}
+                made = {"_tm_words": pa.array(counts), "_tm_matches": pa.array(rows, kind), "_tm_items": pa.array(names, pa.list_(pa.string()))}
                 yield pa.record_batch([made[c] if c in made else own.column(columns.index(c)) for c in out_columns], out_columns)
 
-    made = {"_tm_words": "long", "_tm_matches": MATCHES}
+    made = {"_tm_words": "long", "_tm_matches": MATCHES, "_tm_items": "array<string>"}
     return docs.mapInArrow(run, ", ".join(f"`{c}` {made.get(c) or types[c]}" for c in out_columns))
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, carry: list[str], window: int = 10) -> DataFrame:
-    """The carried columns of docs, `_tm_words` (number of words) and `_tm_matches`: the longest verbatim matches.
+    """The carried columns of docs, `_tm_words` (number of words), `_tm_matches` (longest verbatim matches, each with one item) and `_tm_items` (all items).
 
     No carried column may have a name that starts with `_tm_`, or a dot in it.
     """
@@ -182,7 +234,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, carry: list[str], window
         block = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         probe = spark.sparkContext.broadcast(Probe(sorted((r.item_id, r.text) for r in block.toLocalIterator()), window))
         last = k + 1 == blocks
-        df = _search_pass(df, probe, [*carry, *(["_tm_text"] if not last else []), "_tm_words", "_tm_matches"], k == 0)
+        df = _search_pass(df, probe, [*carry, *(["_tm_text"] if not last else []), "_tm_words", "_tm_matches", "_tm_items"], k == 0)
         if not last:  # one block's tables in a worker at a time
             df = materialize(df, f"matches{k}")
     return df
@@ -199,7 +251,7 @@ def covered(matches: Column) -> Column:
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """doc_id, n_words, n_hit, item_ids (sorted strings), matches, contaminated: a row for each document."""
     found = find_matches(docs, benchmark, ["doc_id"], window)
-    ids = F.array_sort(F.array_distinct(F.transform("_tm_matches", lambda m: m.item_id)))
+    ids = F.array_sort("_tm_items")
     return found.select("doc_id", F.col("_tm_words").alias("n_words"), covered(F.col("_tm_matches")).alias("n_hit"), ids.alias("item_ids"), F.col("_tm_matches").alias("matches"), (F.size("_tm_matches") > 0).alias("contaminated"))
 
 

@@ -120,11 +120,11 @@ def account_at(text: str, cue_end: int) -> tuple[int, int] | None:
             break
     while at < n and at < cue_end + 16 and text[at] in " .:=#":
         at += 1
-    end = at
-    while end < n and (text[end] in ALNUM or text[end] in "-" and end + 1 < n and text[end + 1] in ALNUM):
+    end, own = at, 0
+    while own <= 34 and end < n and (text[end] in ALNUM or text[end] in "-" and end + 1 < n and text[end + 1] in ALNUM):
+        own += text[end] in ALNUM
         end += 1
-    own = [c for c in text[at:end] if c in ALNUM]
-    return (at, end) if at > cue_end and 6 <= len(own) <= 34 and sum(c in DIGITS for c in own) >= 4 else None
+    return (at, end) if at > cue_end and 6 <= own <= 34 and sum(c in DIGITS for c in text[at:end]) >= 4 else None
 
 
 def address_at(text: str, at: int) -> tuple[int, int] | None:
@@ -145,7 +145,7 @@ def spans(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, int
     """(kind number, start, end), by kind, then start."""
     found: list[tuple[int, int, int]] = []
     after = [0] * len(KINDS)  # where the next match of a kind can start
-    digits_to = ip_to = 0
+    ip_to = 0
     for last, (sort, size) in anchors.iter(text):
         at = last - size + 1
         if sort == "d":
