@@ -282,12 +282,6 @@ def test_answer_texts(spark):
     assert dl.topn_text(rows, "net_profit", "净利润").first().answer == "乙：净利润 9.00，销售额同比 3.00%；甲：净利润 7.50，销售额同比 N/A。其中销售额同比涨幅最大的是 乙（3.00%）。"
 
 
-def test_company_resolution(spark):
-    companies = spark.createDataFrame([("600080", "金花股份", "金花企业股份公司"), ("000999", "华润三九", "华润三九医药")], "stock_code string, stock_abbr string, company_name string")
-    asked = spark.createDataFrame([("代码 600080 如何",), ("华润三九医药的利润",), ("没有公司",), ("x",)], "text string")
-    assert {r.text: r.stock_code for r in tx.resolve_companies(asked, companies).collect()} == {"代码 600080 如何": "600080", "华润三九医药的利润": "000999", "没有公司": None, "x": None}
-
-
 def test_stream_equals_batch(spark, tmp_path):
     rows = spark.range(100).selectExpr("id AS event_id", "timestamp_seconds(86400 + id * 60) AS ts", "id % 7 AS user_id", "concat('t', id % 3) AS event_type", "1.0D AS value", "'{}' AS props")
     rows.repartition(3).write.parquet(f"file://{tmp_path}/in")

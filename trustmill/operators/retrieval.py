@@ -227,7 +227,7 @@ def verified(citations: DataFrame, pages: DataFrame) -> DataFrame:
 
 def inferred_filters(questions: DataFrame, companies: DataFrame) -> DataFrame:
     """(query_id, company, industry): the company a question names, and the longest industry name that stands in it."""
-    from trustmill.functions.text import resolve_companies
+    from trustmill.operators.companies import resolve_companies
 
     industries = companies.select("industry").distinct().agg(F.array_sort(F.collect_list("industry")).alias("all"))
     named = resolve_companies(questions, companies, "query").withColumn("_all", industries.scalar())

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from trustmill.functions import numbers as nu
 from trustmill.functions import periods as pe
 from trustmill.functions import text as tx
+from trustmill.operators import companies as co
 from trustmill.operators import extraction as ex
 from trustmill.operators import retrieval as rt
 from trustmill.plans import dialogue as dl
@@ -289,15 +290,49 @@ def jon14_source_pages(spark, sf_dir):
     return ex.source_page(fields, pages).select("doc", "page_no")
 
 
-@query("SELECT p_partkey, lpad((600000 + p_partkey % (SELECT count(*) FROM supplier))::VARCHAR, 6, '0') AS stock_code FROM part")
+#: Company names of the test tables: numbers in Chinese digits, so short names are parts of others, and all full names end alike.
+_DIGITS = ("0123456789", "零一二三四五六七八九")
+_COMPANY = f"""c AS (SELECT lpad((s_suppkey + 1)::VARCHAR, 6, '0') AS stock_code, translate(lpad(s_suppkey::VARCHAR, 2, '0'), '{_DIGITS[0]}', '{_DIGITS[1]}') AS stock_abbr,
+      n_name || translate(lpad(s_suppkey::VARCHAR, 2, '0'), '{_DIGITS[0]}', '{_DIGITS[1]}') || '药业' || translate((s_suppkey * 7 % 1000)::VARCHAR, '{_DIGITS[0]}', '甲乙丙丁戊己庚辛壬癸') || '股份有限公司' AS company_name FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
+
+
+def named_companies(spark, sf_dir):
+    """stock_code, stock_abbr, company_name."""
+    number = F.translate(F.lpad(F.col("s_suppkey").cast("string"), 2, "0"), *_DIGITS)
+    town = F.translate((F.col("s_suppkey") * 7 % 1000).cast("string"), _DIGITS[0], "甲乙丙丁戊己庚辛壬癸")
+    s = testdata.table(spark, sf_dir, "supplier").join(testdata.table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return s.select(F.lpad((F.col("s_suppkey") + 1).cast("string"), 6, "0").alias("stock_code"), number.alias("stock_abbr"), F.concat("n_name", number, F.lit("药业"), town, F.lit("股份有限公司")).alias("company_name"))
+
+
+#: Ways to name a company, by a part's number modulo their count: SQL of a text about (stock_code, stock_abbr, company_name).
+_WAYS = (
+    "'请问 ' || stock_code || ' 的利润'", "'代码' || stock_code || '在汉字之间'", "'看 ' || right(stock_code, 3) || '，谢谢'", "stock_abbr || '2024年净利润'",
+    "'请问' || company_name || '的利润'", "'企业名称：' || substr(company_name, strpos(company_name, '药业'), 4) || '，利润'", "'业绩 ' || substr(company_name, strpos(company_name, '药业') + 1, 4)",
+    "'企业名称:不存在制药,利润'", "'有限公司 的 股份有限公司'", "'与 ' || right(stock_code, 3) || ' 相比，' || stock_abbr || '和000002如何'",
+)
+
+
+@query(rf"""WITH {_COMPANY}, n AS (SELECT count(*) AS n FROM supplier),
+t AS (SELECT p_partkey, CASE p_partkey % {len(_WAYS)} {" ".join(f"WHEN {k} THEN {way}" for k, way in enumerate(_WAYS))} END AS text FROM part, n JOIN c ON c.stock_code = lpad((p_partkey % n.n + 1)::VARCHAR, 6, '0')),
+w AS (SELECT p_partkey, unnest(x) AS word, generate_subscripts(x, 1) AS nth FROM (SELECT p_partkey, regexp_split_to_array(text, '[^0-9A-Za-z_\x{{4e00}}-\x{{9fff}}]+') AS x FROM t)),
+p AS (SELECT p_partkey, -1 AS rank, trim(regexp_extract(text, '企业名称[:：]([^，,]*)', 1)) AS part FROM t WHERE regexp_matches(text, '企业名称[:：]')
+      UNION ALL SELECT p_partkey, row_number() OVER (PARTITION BY p_partkey ORDER BY -length(x), nth), x FROM (SELECT p_partkey, unnest(r) AS x, generate_subscripts(r, 1) AS nth FROM (SELECT p_partkey, regexp_extract_all(text, '[\x{{4e00}}-\x{{9fff}}]{{2,}}') AS r FROM t))),
+hit AS (SELECT p_partkey, 0 AS rule, nth AS place, stock_code FROM w JOIN c ON word = stock_code WHERE regexp_full_match(word, '[0-9]{{6}}')
+  UNION ALL SELECT p_partkey, 1, nth, stock_code FROM w JOIN c ON '000' || word = stock_code WHERE regexp_full_match(word, '[0-9]{{3}}')
+  UNION ALL SELECT p_partkey, 2, 0, min(stock_code) FROM t JOIN c ON contains(text, stock_abbr) GROUP BY p_partkey
+  UNION ALL SELECT p_partkey, 3, 0, min(stock_code) FROM t JOIN c ON contains(text, company_name) GROUP BY p_partkey
+  UNION ALL SELECT p_partkey, 4, rank, min(stock_code) FROM p JOIN c ON contains(stock_abbr, part) OR contains(company_name, part) WHERE part <> '' GROUP BY p_partkey, rank HAVING count(*) = 1)
+SELECT t.p_partkey, x.stock_code, x.rule IS NOT NULL AS named FROM t LEFT JOIN (SELECT p_partkey, arg_min(stock_code, (rule, place)) AS stock_code, min(rule) AS rule FROM hit GROUP BY p_partkey) x USING (p_partkey)""")
 def jon13_rag06_company_match(spark, sf_dir):
-    """Questions that name a company by its code, short or full name."""
-    companies = testdata.companies(spark, sf_dir)
+    """Questions that name a company by six or three digits, a short or full name, a part of one, or not at all."""
+    companies = named_companies(spark, sf_dir)
     n = companies.count()
-    p = testdata.table(spark, sf_dir, "part").select("p_partkey", testdata.code(F.col("p_partkey") % n).alias("stock_code")).join(companies, "stock_code")
-    k = F.col("p_partkey") % 3
-    asked = p.select("p_partkey", F.concat(F.lit("请问 "), F.when(k == 0, F.col("stock_code")).when(k == 1, F.col("stock_abbr")).otherwise(F.col("company_name")), F.lit(" 的利润")).alias("text"))
-    return tx.resolve_companies(asked, companies).select("p_partkey", "stock_code")
+    p = testdata.table(spark, sf_dir, "part").select("p_partkey", F.lpad((F.col("p_partkey") % n + 1).cast("string"), 6, "0").alias("stock_code")).join(companies, "stock_code")
+    way = F.lit(None).cast("string")
+    for k, text in enumerate(_WAYS):
+        way = F.when(F.col("p_partkey") % len(_WAYS) == k, F.expr(text.replace("strpos(company_name, '药业')", "instr(company_name, '药业')"))).otherwise(way)
+    found = co.resolve_companies(p.select("p_partkey", way.alias("text")), companies)
+    return found.select("p_partkey", "stock_code", F.col("stock_code").isNotNull().alias("named"))
 
 
 # ---------------------------------------------------------------- retrieval

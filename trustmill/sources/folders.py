@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -17,3 +18,10 @@ def shared_folder(spark: SparkSession) -> str:
         found = "file://" + tempfile.mkdtemp(prefix="trustmill-")
         spark.sparkContext.setCheckpointDir(found)
     return found
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: its rows are made once, and outlive the executors that made them."""
+    path = f"{shared_folder(df.sparkSession)}/trustmill-{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
