@@ -237,37 +237,6 @@ def test_evaluation(spark):
     assert [r.failure for r in facts.orderBy("record_id").collect()] == [None, "missing_prediction"]
 
 
-def find(question):
-    return next(({"stock_code": c, "stock_abbr": a} for c, a in (("600080", "金花股份"), ("000999", "华润三九")) if a in question or c in question), None)
-
-
-def test_dialogue_keeps_and_clears_slots():
-    one = dl.analyze("金花股份利润总额是多少", {}, find)
-    assert one["clarify"] == dl.CLARIFY["period"] and one["spec"] is None
-    two = dl.analyze("2025年第三季度的", one["slots"], find)
-    assert two["spec"]["metric"] == "total_profit" and two["spec"]["report_period"] == "2025Q3" and two["spec"]["stock_code"] == "600080"
-    chart = dl.analyze("绘制折线图", two["slots"], find)
-    assert chart["spec"]["chart_request"] == "line" and chart["spec"]["metric"] == "total_profit"
-    three = dl.analyze("华润三九呢", two["slots"], find)
-    assert three["clarify"] == dl.CLARIFY["metric"] and "report_period" not in three["slots"]
-    assert "report_period" in two["slots"]
-
-
-def test_dialogue_specs():
-    slots = dl.analyze("2024年哪些公司净利润和经营性现金流量净额且", {}, find)
-    assert [(f["field"], f["op"]) for f in slots["spec"]["filters"]] == [("net_profit", ">"), ("operating_cf_net_amount", "<")]
-    ratio = dl.analyze("金花股份2024年存货与营业总收入的比值", {}, find)["spec"]
-    assert ratio["post_compute"] == "ratio" and ratio["calculation"]["numerator"] == "asset_inventory"
-    both = dl.analyze("2024年利润总额和营业总收入均排名前5的企业", {}, find)["spec"]
-    assert both["analysis_type"] == "intersection_topn" and both["post_compute"] == "intersection_topn"
-
-
-def test_conversations_fold_in_order(spark):
-    turns = spark.createDataFrame([(1, 2, "2024年"), (1, 1, "金花股份净利润"), (2, 1, "2024年净利润最高的公司")], "conv_id long, turn long, question string")
-    got = {(r.conv_id, r.turn): (r.intent, r.clarify, r.spec is not None) for r in dl.analyze_conversations(turns, [("600080", "金花股份")]).collect()}
-    assert got == {(1, 1): ("single_metric", dl.CLARIFY["period"], False), (1, 2): ("single_metric", "", True), (2, 1): ("topn_metric", "", True)}
-
-
 def test_subtasks():
     got = dl.subtasks("2024年净利润多少？下降的原因？总结一下")
     assert [(t["id"], t["kind"], t["depends_on"]) for t in got] == [("s1", "sql", []), ("s2", "retrieval", ["s1"]), ("s3", "reason", ["s2"])]

@@ -294,12 +294,70 @@ def src07_research_metadata(spark, sf_dir):
 
 @query("SELECT conv_id, turn, role, last_value(q IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS last_question FROM (SELECT *, CASE WHEN role = 'user' THEN text END AS q FROM conversations)")
 def nlq01_carry_slots(spark, sf_dir):
-    from trustmill.plans.dialogue import carry_slots
+    from trustmill.plans.turns import carry_slots
 
     t = testdata.table(spark, sf_dir, "conversations").withColumn("last_question", F.when(F.col("role") == "user", F.col("text")))
     return carry_slots(t, ["last_question"]).select("conv_id", "turn", "role", "last_question")
 
 
+#: What a turn asks, by a number from its conversation and turn: SQL of a text from code, year and label.
+TURN_STYLES = (
+    "'（' || code || '）' || year || '年' || label || '是多少'", "label || '呢'", "year || '年第三季度的'", "'（' || code || '）呢'", "'绘制柱状图'", "'去年的' || label",
+    "year || '年' || label || '排名前五的公司'", "label || '的变化趋势'", "'谢谢'", "'（' || code || '）' || label", "'（' || code || '）' || year || '年至' || (year + 2) || '年' || label", "year || '年' || label || '超过100亿元的公司有哪些'",
+)
+_LABELS = "'营业总收入', '利润总额', '净利润', '存货'"
+_KEYS = "'total_operating_revenue', 'total_profit', 'net_profit', 'asset_inventory'"
+
+
+def asked_turns(spark, sf_dir):
+    """conv_id, turn, question: the turns of the conversations table, as questions about companies."""
+    n = testdata.table(spark, sf_dir, "supplier").count()
+    t = testdata.table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    x = t.withColumns({"style": (F.col("conv_id") * 7 + F.col("turn") * 5) % len(TURN_STYLES), "code": F.lpad(((F.col("conv_id") + F.floor(F.col("turn") / 3)) % n + 1).cast("string"), 6, "0"), "year": 2020 + (F.col("conv_id") + F.col("turn")) % 5, "label": F.element_at(F.expr(f"array({_LABELS})"), ((F.col("conv_id") + F.col("turn")) % 4 + 1).cast("int"))})
+    question = F.lit(None).cast("string")
+    for k, style in enumerate(TURN_STYLES):
+        question = F.when(F.col("style") == k, F.expr(style)).otherwise(question)
+    return x.select("conv_id", "turn", question.alias("question"))
+
+
+#: The transitions of a turn, by its style: which slots it fills, in SQL over the slots before (p.) and what it names (q.).
+_TURN_SQL = f"""
+WITH RECURSIVE n AS (SELECT count(*) AS n FROM supplier),
+q AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth, (conv_id * 7 + turn * 5) % {len(TURN_STYLES)} AS s, lpad(((conv_id + turn // 3) % n.n + 1)::VARCHAR, 6, '0') AS code, 2020 + (conv_id + turn) % 5 AS y, list_extract([{_KEYS}], (conv_id + turn) % 4 + 1) AS m FROM conversations, n),
+f AS (SELECT *, s IN (0, 3, 9, 10) AS says_code, s NOT IN (2, 3, 4, 8) AS says_metric, CASE s WHEN 6 THEN 'topn_metric' WHEN 7 THEN 'trend' WHEN 11 THEN 'filter' ELSE 'single_metric' END AS k FROM q),
+w AS (SELECT conv_id, 0::BIGINT AS nth, 0::BIGINT AS turn, NULL::VARCHAR AS code, NULL::VARCHAR AS m, NULL::VARCHAR AS rp, NULL::VARCHAR AS sp, NULL::VARCHAR AS ep, NULL::VARCHAR AS chart, false AS anchor, NULL::VARCHAR AS last_kind, NULL::VARCHAR AS intent, NULL::VARCHAR AS ask FROM conversations GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, nth, turn, code, m, rp, sp, ep, chart, anchor, CASE WHEN drawn OR ask <> '' THEN last_kind ELSE intent END, intent, ask FROM (
+    SELECT *, CASE WHEN drawn THEN '' WHEN anchor THEN 'anchor' WHEN code IS NULL AND intent IN ('single_metric', 'trend') THEN 'company' WHEN m IS NULL THEN 'metric' WHEN rp IS NULL AND sp IS NULL AND intent IN ('single_metric', 'filter', 'topn_metric') THEN 'period' ELSE '' END AS ask FROM (
+      SELECT conv_id, nth, turn, code, m, drawn, last_kind,
+        CASE WHEN drawn THEN rp WHEN s IN (0, 6, 11) THEN y || 'FY' WHEN s = 2 THEN y || 'Q3' WHEN s = 10 THEN NULL WHEN s = 5 AND coalesce(rp, ep) IS NOT NULL THEN (left(coalesce(rp, ep), 4)::INT - 1) || 'FY' ELSE rp END AS rp,
+        CASE WHEN s = 10 THEN y || 'Q1' WHEN s IN (0, 2, 6, 11) OR s = 5 AND coalesce(rp, ep) IS NOT NULL THEN NULL ELSE sp END AS sp, CASE WHEN s = 10 THEN (y + 2) || 'FY' WHEN s IN (0, 2, 6, 11) OR s = 5 AND coalesce(rp, ep) IS NOT NULL THEN NULL ELSE ep END AS ep,
+        CASE WHEN s = 4 THEN 'bar' ELSE chart END AS chart, CASE WHEN s IN (0, 2, 6, 10, 11) THEN false WHEN s = 5 THEN coalesce(rp, ep) IS NULL ELSE anchor END AS anchor, CASE WHEN drawn THEN last_kind ELSE k END AS intent FROM (
+        SELECT f.conv_id, f.nth, f.turn, f.s, f.y, f.k, f.s = 4 AND w.last_kind IS NOT NULL AS drawn, f.says_code AND w.code <> f.code AS moved, CASE WHEN f.says_code THEN f.code ELSE w.code END AS code,
+          CASE WHEN f.says_metric THEN f.m WHEN f.says_code AND w.code <> f.code THEN NULL ELSE w.m END AS m, CASE WHEN f.says_code AND w.code <> f.code THEN NULL ELSE w.rp END AS rp, CASE WHEN f.says_code AND w.code <> f.code THEN NULL ELSE w.sp END AS sp, CASE WHEN f.says_code AND w.code <> f.code THEN NULL ELSE w.ep END AS ep,
+          CASE WHEN f.says_code AND w.code <> f.code THEN NULL ELSE w.chart END AS chart, coalesce(w.anchor AND NOT (f.says_code AND w.code <> f.code), w.anchor) AS anchor, CASE WHEN f.says_code AND w.code <> f.code THEN NULL ELSE w.last_kind END AS last_kind
+        FROM w JOIN f ON f.conv_id = w.conv_id AND f.nth = w.nth + 1))))
+"""
+
+
+@query(_TURN_SQL + "SELECT conv_id, turn, intent, ask, coalesce(code, '') AS stock_code, coalesce(m, '') AS metric, coalesce(rp, '') AS report_period, coalesce(sp, '') AS start_period, coalesce(ep, '') AS end_period, coalesce(chart, '') AS chart, ask = '' AS has_spec FROM w WHERE nth > 0")
+def nlq01_turn_analysis(spark, sf_dir):
+    """Every turn of the conversations: company switches, slots that are carried on, drawings asked for again, questions back."""
+    from trustmill.plans.dialogue import CLARIFY
+    from trustmill.plans.turns import analyze_conversations
+
+    from .texts import named_companies
+
+    found = analyze_conversations(asked_turns(spark, sf_dir), named_companies(spark, sf_dir))
+    slot = lambda name, alias: F.coalesce(F.get_json_object("slots", f"$.{name}"), F.lit("")).alias(alias)
+    asks = {"period_anchor": "anchor"}
+    ask = F.lit("")
+    for key, text in CLARIFY.items():
+        ask = F.when(F.col("clarify") == text, asks.get(key, key)).otherwise(ask)
+    slots = (("stock_code", "stock_code"), ("metric", "metric"), ("report_period", "report_period"), ("start_period", "start_period"), ("end_period", "end_period"), ("chart_request", "chart"))
+    return found.select("conv_id", "turn", "intent", ask.alias("ask"), *(slot(*x) for x in slots), F.col("spec").isNotNull().alias("has_spec"))
+
+
 @query("SELECT s_nationkey::BIGINT AS nation, s_name AS name, s_acctbal AS balance FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_name) AS n FROM supplier) WHERE n = 1")
 def agg13_best_of_group(spark, sf_dir):
     s = testdata.table(spark, sf_dir, "supplier")
