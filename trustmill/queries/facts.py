@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from trustmill.model import AMOUNT
 from trustmill.operators import lifecycle as life
 from trustmill.plans.compiler import trusted_facts
-from trustmill.sources import inputs, testdata
+from trustmill.sources import inputs, promotion, testdata, versions
+from trustmill.sources.folders import shared_folder
 from trustmill.streaming import events as stream
+from trustmill.streaming import ingest
 
 from .registry import catalog, query
 
@@ -252,24 +256,45 @@ def set04_symmetric_difference(spark, sf_dir):
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def stm01_available_counts(spark, sf_dir):
-    import uuid
-
     name = f"counts_{uuid.uuid4().hex}"
     schema = testdata.table(spark, sf_dir, "events").schema
-    found = stream.counts(spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(_events_folder(spark, sf_dir)))
-    from trustmill.sources.folders import shared_folder
-
+    found = stream.counts(ingest.table_stream(spark, f"{sf_dir}/events.parquet", schema))
     return stream.run_available(found, name, f"{shared_folder(spark)}/{name}")
 
 
-def _events_folder(spark, sf_dir):
-    """The events table alone in a folder, which a file stream needs."""
-    from trustmill.sources.folders import shared_folder
-    import uuid
-
-    path = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
-    testdata.table(spark, sf_dir, "events").write.parquet(path)
-    return path
+@query("""WITH e AS (SELECT 'f' || user_id AS path, event_id AS seq, event_type AS sha256, CAST(floor(value / 50) AS BIGINT) AS size FROM events),
+o AS (SELECT *, lag(sha256) OVER w AS s0, lag(size) OVER w AS z0 FROM e WINDOW w AS (PARTITION BY path ORDER BY seq))
+SELECT path, max(seq) AS seq, arg_max(sha256, seq) AS sha256, arg_max(size, seq) AS size, count(*) FILTER (s0 IS NULL OR s0 <> sha256 OR z0 IS DISTINCT FROM size) AS changes, count(*) FILTER (s0 = sha256 AND z0 IS NOT DISTINCT FROM size) AS skipped FROM o GROUP BY path""")
+def stm05_dml11_incremental_ingestion(spark, sf_dir):
+    """Sightings of files, one for each event, merged as they come; then the whole stream again, as after a lost checkpoint."""
+    e = testdata.table(spark, sf_dir, "events")
+    folder = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
+    for run in ("first", "again"):
+        events = ingest.table_stream(spark, f"{sf_dir}/events.parquet", e.schema)
+        seen = events.select(F.concat(F.lit("f"), "user_id").alias("path"), F.col("event_id").alias("seq"), F.col("event_type").alias("sha256"), F.floor(F.col("value") / 50).alias("size"), F.lit(0).alias("mtime"), F.lit("c").alias("context"), F.lit(4).alias("extractor_version"))
+        ingest.run(seen, f"{folder}/state", "events", f"{folder}/{run}")
+    return versions.read(spark, f"{folder}/state").select("path", "seq", "sha256", "size", "changes", "skipped")
+
+
+@query("""+ base AS (SELECT fact_key, stock_code::INT AS n, normalized_value, validation_status FROM fact WHERE stock_code::INT % 3 <> 0 AND source_key NOT LIKE '%:foreign'),
+one AS (SELECT fact_key, stock_code::INT AS n, normalized_value * 2 AS v FROM fact WHERE stock_code::INT % 5 = 0 AND source_key NOT LIKE '%:foreign'), two AS (SELECT fact_key, stock_code::INT AS n, normalized_value * 3 AS v FROM fact WHERE stock_code::INT % 7 = 0 AND source_key NOT LIKE '%:foreign')
+SELECT fact_key, coalesce(two.v, one.v, base.normalized_value)::DOUBLE AS normalized_value, coalesce(base.validation_status, 'NEEDS_REVIEW') AS validation_status FROM base FULL JOIN one USING (fact_key) FULL JOIN two USING (fact_key)""", facts=True)
+def dml08_snk06_src20_promotion(spark, sf_dir):
+    """Two jobs promote from one version: the second finds its base replaced, checks again and commits behind the first."""
+    facts, sources = testdata.facts(spark, sf_dir).filter("source_key NOT LIKE '%:foreign'"), testdata.sources(spark, sf_dir)
+    root, code = f"{shared_folder(spark)}/authority-{uuid.uuid4().hex}", F.col("stock_code").cast("int")
+    versions.commit(facts.filter(code % 3 != 0), f"{root}/facts")
+    for name, every, factor in (("one", 5, 2), ("two", 7, 3)):
+        staged = facts.filter(code % every == 0).withColumns({"normalized_value": (F.col("normalized_value") * factor).cast(AMOUNT), "validation_status": F.lit("NEEDS_REVIEW")})
+        versions.commit(staged, f"{root}/{name}")
+    base = versions.current(spark, f"{root}/facts")
+    promotion.promote(spark, f"{root}/facts", f"{root}/one", sources)
+    try:  # a writer that still holds the first version
+        versions.commit(facts, f"{root}/facts", base=base)
+        raise AssertionError("a lost update")
+    except versions.Conflict:
+        promotion.promote(spark, f"{root}/facts", f"{root}/two", sources)
+    return versions.read(spark, f"{root}/facts").select("fact_key", "normalized_value", "validation_status")
 
 
 @query("SELECT user_id, event_type AS last_event, 'INTERRUPTED' AS status FROM (SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(ts) AS ts FROM events GROUP BY user_id) WHERE ts < (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")

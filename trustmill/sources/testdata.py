@@ -91,6 +91,11 @@ def derived_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(key.alias("source_key"), F.concat(key, F.lit(".pdf")).alias("source_file"), F.sha2(key, 256).alias("content_sha256"), "x.stock_code", "period", F.lit("BATCH").alias("source_owner"), F.col("x.status").alias("authority_status"), F.when(F.col("x.status") == "CURRENT", "CURRENT").alias("current_slot"))
 
 
+def in_years(facts: DataFrame) -> DataFrame:
+    """Facts as they are written: by year, sorted by metric; a year with much data is split over tasks, and gets as many files."""
+    return facts.hint("rebalance", "report_year").sortWithinPartitions("report_year", "metric", "stock_code")
+
+
 _STORES: dict[tuple, str] = {}
 
 
@@ -101,7 +106,7 @@ def _store(spark: SparkSession, sf_dir: str) -> str:
     key = (spark.sparkContext.applicationId, sf_dir, found.getLen(), found.getModificationTime())
     if key not in _STORES:
         root = f"{shared_folder(spark)}/facts-{uuid.uuid4().hex}"
-        versions.commit(derived_facts(spark, sf_dir).repartition("report_year").sortWithinPartitions("metric", "stock_code"), f"{root}/facts", partition_by=("report_year",))
+        versions.commit(in_years(derived_facts(spark, sf_dir)), f"{root}/facts", partition_by=("report_year",))
         versions.commit(derived_sources(spark, sf_dir), f"{root}/sources")
         _STORES[key] = root
     return _STORES[key]

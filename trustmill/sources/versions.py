@@ -1,12 +1,28 @@
-"""Versioned tables: a new directory for each version, and a small pointer file that names the valid one."""
+"""Versioned tables: a folder for each version, and a numbered log entry for each commit, which only one writer can make.
+
+A commit writes its folder, checks it, and then makes the entry behind the one it has read. If another writer has made that
+entry meanwhile, the commit fails as a whole with `Conflict`, so no update is lost; `update` then starts again from what the
+other one has left. Entries appear at once with their content: by a hard link on a local disk, elsewhere by a rename that
+doesn't replace, which Hadoop file systems do in one step. A version never changes, so a reader that has begun stays with it.
+"""
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
+from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
+LOG = "_log"
+DIGITS = 12
+
+
+class Conflict(RuntimeError):
+    """Another writer has committed behind the version that this one has read."""
+
 
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -14,44 +30,101 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
 
-def current(spark: SparkSession, root: str) -> dict | None:
-    """What the pointer says, or None."""
-    fs, p, _ = _fs(spark, f"{root}/CURRENT")
+def current(spark: SparkSession, root: str, number: int | None = None) -> dict[str, Any] | None:
+    """The last log entry, or that of a number: number, version (a folder) and streams; None if there is none."""
+    fs, p, _ = _fs(spark, f"{root}/{LOG}")
     if not fs.exists(p):
         return None
-    return json.loads(spark.sparkContext.wholeTextFiles(str(p)).first()[1])
+    names = [x.getPath().getName() for x in fs.listStatus(p)]
+    numbers = [int(n[:DIGITS]) for n in names if n.endswith(".json") and n[:DIGITS].isdigit()]
+    number = max(numbers, default=None) if number is None else number
+    if number not in numbers:
+        return None
+    stream = fs.open(_fs(spark, f"{root}/{LOG}/{number:0{DIGITS}d}.json")[1])
+    try:
+        text = bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+    return json.loads(text) | {"number": number}
 
 
-def read(spark: SparkSession, root: str) -> DataFrame:
-    found = current(spark, root)
+def read(spark: SparkSession, root: str, number: int | None = None) -> DataFrame:
+    """The table as of its last version, or of an earlier one."""
+    found = current(spark, root, number)
     if found is None:
         raise FileNotFoundError(f"{root} has no valid version")
     return spark.read.parquet(f"{root}/{found['version']}")
 
 
-def commit(df: DataFrame, root: str, violations: dict[str, DataFrame] | None = None, partition_by: tuple[str, ...] = ()) -> str:
-    """Writes a version, checks it, then swaps the pointer by a rename; a failed check leaves the old version valid."""
+def _claimed(spark: SparkSession, root: str, number: int, entry: dict[str, Any]) -> bool:
+    """Makes a log entry unless it is there."""
+    fs, target, jvm = _fs(spark, f"{root}/{LOG}/{number:0{DIGITS}d}.json")
+    fs.mkdirs(target.getParent())
+    temporary = jvm.org.apache.hadoop.fs.Path(f"{root}/{LOG}/.{uuid.uuid4().hex}.tmp")
+    out = fs.create(temporary, True)
+    out.write(bytearray(json.dumps(entry).encode()))
+    out.hsync()
+    out.close()
+    try:
+        if fs.getScheme() == "file":
+            local = lambda p: jvm.java.nio.file.Paths.get(p.toUri().getPath(), spark.sparkContext._gateway.new_array(jvm.java.lang.String, 0))
+            jvm.java.nio.file.Files.createLink(local(target), local(temporary))
+        else:
+            files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+            files.rename(temporary, target, spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in str(e.java_exception.getClass().getName()):
+            return False
+        raise
+    finally:
+        fs.delete(temporary, False)
+    return True
+
+
+def commit(df: DataFrame, root: str, violations: dict[str, DataFrame] | None = None, partition_by: tuple[str, ...] = (), base: dict[str, Any] | None | str = "last", batch: tuple[str, int] | None = None) -> int:
+    """Writes a version, checks it, and makes the log entry behind base: what `current` said when the work began, or the last one now.
+
+    A failed check or a `Conflict` leaves nothing behind. batch: the stream and number of a micro-batch, kept in the entry.
+    """
     spark = df.sparkSession
+    if base == "last":
+        base = current(spark, root)
     version = f"v-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(f"{root}/{version}")
-    for name, bad in (violations or {}).items():
-        if not bad.isEmpty():
-            fs, p, _ = _fs(spark, f"{root}/{version}")
-            fs.delete(p, True)
-            raise ValueError(f"violation: {name}")
-    fs, target, jvm = _fs(spark, f"{root}/CURRENT")
-    temporary = jvm.org.apache.hadoop.fs.Path(f"{root}/.CURRENT-{version}")
-    out = fs.create(temporary, True)
-    out.write(bytearray(json.dumps({"version": version}).encode()))
-    out.hsync()
-    out.close()
-    # one rename that replaces the old pointer: readers see the old or the new one, never none
-    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
-    files.rename(temporary, target, overwrite)
-    return version
+    try:
+        for name, bad in (violations or {}).items():
+            if not bad.isEmpty():
+                raise ValueError(f"violation: {name}")
+        streams = dict((base or {}).get("streams", {})) | ({batch[0]: batch[1]} if batch else {})
+        number = base["number"] + 1 if base else 0
+        if not _claimed(spark, root, number, {"version": version, "streams": streams}):
+            raise Conflict(f"{root} has a version {number} by now")
+    except Exception:
+        fs, p, _ = _fs(spark, f"{root}/{version}")
+        fs.delete(p, True)
+        raise
+    return number
+
+
+Build = Callable[[DataFrame | None], tuple[DataFrame, dict[str, DataFrame]]]
+
+
+def update(spark: SparkSession, root: str, build: Build, partition_by: tuple[str, ...] = (), batch: tuple[str, int] | None = None, attempts: int = 10) -> int | None:
+    """Commits what build makes of the table (None if there is none yet) with its violations; again, from the newer version, after a `Conflict`.
+
+    With a batch that the table already has, nothing is done and None returned: a micro-batch that is repeated counts once.
+    """
+    for _ in range(attempts):
+        base = current(spark, root)
+        if batch and base and base["streams"].get(batch[0], -1) >= batch[1]:
+            return None
+        df, violations = build(None if base is None else spark.read.parquet(f"{root}/{base['version']}"))
+        try:
+            return commit(df, root, violations, partition_by, base, batch)
+        except Conflict:
+            continue
+    raise Conflict(f"{root}: {attempts} attempts were overtaken")
 
 
 def write_report(df: DataFrame, path: str, kind: str = "json") -> None:
