@@ -130,26 +130,6 @@ def test_authority(spark):
     assert got == {"old": "superseded", "sum": "skipped_summary", "pre": "superseded", "late": "superseded", "rev": "selected", "x": "needs_review", "y": "needs_review", "z": "superseded", "out": "needs_review"}
 
 
-def test_reviews_fold(spark):
-    facts = spark.createDataFrame([("a", Decimal(5), "NEEDS_REVIEW", 1), ("b", Decimal(6), "NEEDS_REVIEW", 1), ("c", Decimal(7), "NEEDS_REVIEW", 1)], "fact_key string, normalized_value decimal(24,4), validation_status string, review_version int")
-    log = spark.createDataFrame([("a", 1, 1, "VALIDATE", None), ("a", 2, 2, "REJECT", None), ("b", 1, 3, "CORRECT", Decimal(60)), ("b", 1, 4, "REJECT", None), ("c", 9, 5, "VALIDATE", None)], "fact_key string, expected_version int, seq long, action string, new_value decimal(24,4)")
-    folded, conflicts = life.fold_reviews(facts, log)
-    got = sorted((r.normalized_value, r.validation_status, r.review_version) for r in folded.collect())
-    assert got == [(5, "REJECTED", 3), (6, "REJECTED", 2), (7, "NEEDS_REVIEW", 1), (60, "VALIDATED", 1)]
-    assert sorted(r.seq for r in conflicts.collect()) == [4, 5]
-
-
-def test_reviews_count_by_the_version_at_their_arrival(spark):
-    facts = spark.createDataFrame([(k, source, page, Decimal(5), "NEEDS_REVIEW", v) for k, source, page, v in (("stale", "s", 1, 3), ("early", "s", 1, 1), ("old", "gone", 1, 1), ("page", "s", 9, 1))], "fact_key string, source_key string, page_no int, normalized_value decimal(24,4), validation_status string, review_version int")
-    log = [("stale", 2, 1, "REJECT"), ("stale", 3, 2, "VALIDATE"), ("early", 2, 1, "REJECT"), ("early", 1, 2, "VALIDATE"), ("old", 1, 1, "VALIDATE"), ("page", 1, 1, "VALIDATE"), ("page", 1, 2, "REJECT"), ("unknown", 1, 1, "REJECT")]
-    events = spark.createDataFrame([(*x, None) for x in log], "fact_key string, expected_version int, seq long, action string, new_value decimal(24,4)")
-    current = spark.createDataFrame([("s",)], "source_key string")
-    documents = spark.createDataFrame([("s", 4)], "source_key string, page_count int")
-    folded, conflicts = life.fold_reviews(facts, events, current, documents)
-    assert {r.fact_key: (r.validation_status, r.review_version) for r in folded.collect()} == {"stale": ("VALIDATED", 4), "early": ("VALIDATED", 2), "old": ("NEEDS_REVIEW", 1), "page": ("REJECTED", 2)}
-    assert sorted((r.fact_key, r.seq) for r in conflicts.collect()) == [("early", 1), ("old", 1), ("page", 1), ("stale", 1), ("unknown", 1)]
-
-
 def test_regions_and_routing_sample(spark):
     df = spark.createDataFrame([(" ab cde \n\n" + "x" * 5, [f"p{k}" for k in range(1, 6)] + ["利润表"] + [f"p{k}" for k in range(7, 15)]), (None, [])], "text string, pages array<string>")
     got = df.select(inputs.regions(F.col("text"), 4).alias("r"), inputs.routing_sample(F.col("pages"), ("利润表",)).alias("s")).collect()

@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trustmill.functions.numbers import parse
-from trustmill.functions.text import key_of
+from trustmill.operators import reviews
 
-BUSINESS_KEY = ["stock_code", "period", "statement_scope", "period_type", "metric"]
+BUSINESS_KEY = reviews.CELL
 
 
 def from_candidates(candidates: DataFrame) -> DataFrame:
@@ -92,43 +92,6 @@ def upsert_wide(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return both.select(*keys, *(F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c) for c in old.columns if c not in keys))
 
 
-def fold_reviews(facts: DataFrame, events: DataFrame, current: DataFrame | None = None, documents: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(facts, conflicts) after a log of reviews (fact_key, expected_version, seq, action, new_value), in the order of seq.
-
-    An event counts if it expects the version that the fact has when it arrives; others, stale or early ones, conflict, as do
-    those of unknown facts. VALIDATE and REJECT set the status; CORRECT rejects the fact and adds a corrected one of version
-    1. With `current` (source_key), events of facts of other sources conflict; with `documents` (source_key, page_count), so
-    do VALIDATE and CORRECT of a fact whose page the document lacks. A fact's log is one ordered array.
-    """
-    kinds = dict(events.dtypes)
-    kind = f"struct<seq:{kinds['seq']},expected_version:{kinds['expected_version']},action:{kinds['action']},new_value:{kinds['new_value']}>"
-    log = events.groupBy("fact_key").agg(F.array_sort(F.collect_list(F.struct("seq", "expected_version", "action", "new_value"))).alias("_log"))
-    known = facts.join(log, "fact_key", "left")
-    open_to_review, on_page = F.lit(True), F.lit(True)
-    if current is not None:
-        known = known.join(current.select("source_key", F.lit(True).alias("_current")).distinct(), "source_key", "left")
-        open_to_review = F.col("_current").isNotNull()
-    if documents is not None:
-        known = known.join(documents.select("source_key", F.col("page_count").alias("_pages")), "source_key", "left")
-        on_page = F.coalesce(F.col("page_no") <= F.col("_pages"), F.lit(True))
-    known = known.withColumns({"_open": open_to_review, "_on_page": on_page})
-    start = F.struct(F.col("review_version").alias("version"), F.array().cast(f"array<{kind}>").alias("taken"))
-
-    def step(state: Column, event: Column) -> Column:
-        counts = F.col("_open") & (event.expected_version == state.version) & (F.col("_on_page") | (event.action == "REJECT"))
-        return F.struct((state.version + counts.cast("int")).alias("version"), F.when(counts, F.array_append(state.taken, event)).otherwise(state.taken).alias("taken"))
-
-    done = known.withColumn("_done", F.aggregate(F.coalesce("_log", F.array().cast(f"array<{kind}>")), start, step))
-    last = F.element_at("_done.taken", -1)["action"]
-    status = F.when(F.size("_done.taken") == 0, F.col("validation_status")).when(last == "VALIDATE", "VALIDATED").otherwise("REJECTED")
-    reviewed = done.withColumns({"validation_status": status, "review_version": F.col("_done.version")})
-    each = reviewed.withColumn("_e", F.explode(F.filter("_done.taken", lambda e: e.action == "CORRECT")))
-    corrected = each.withColumns({"fact_key": key_of(F.col("fact_key"), F.lit("correction"), F.col("_e.seq")), "normalized_value": F.col("_e.new_value").cast(dict(facts.dtypes)["normalized_value"]), "validation_status": F.lit("VALIDATED"), "review_version": F.lit(1).cast(dict(facts.dtypes)["review_version"])})
-    taken = done.select("fact_key", F.explode(F.transform("_done.taken", lambda e: F.struct(e.seq.alias("seq"), e.expected_version.alias("expected_version"), e.action.alias("action")))).alias("x")).select("fact_key", "x.*")
-    conflicts = events.join(taken, ["fact_key", "seq", "expected_version", "action"], "left_anti")
-    return reviewed.select(*facts.columns).unionByName(corrected.select(*facts.columns)), conflicts
-
-
 def latest(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key: one aggregate, so a key with many rows is combined before rows move."""
     rest = [c for c in log.columns if c not in keys]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from trustmill.model import AMOUNT
 from trustmill.operators import lifecycle as life
+from trustmill.operators import reviews
 from trustmill.plans.compiler import trusted_facts
 from trustmill.sources import inputs, promotion, testdata, versions
 from trustmill.sources.folders import shared_folder
@@ -136,29 +137,49 @@ def dml04_register_sources(spark, sf_dir):
     return life.register_sources(testdata.facts(spark, sf_dir), known)
 
 
-#: The log of reviews by a fact's number modulo 6: (seq, expected version, action). Early, stale, repeated and unknown versions among them.
-_REVIEWS = {0: [(1, 1, "VALIDATE")], 1: [(1, 2, "REJECT"), (2, 1, "VALIDATE"), (3, 2, "REJECT")], 2: [(1, 1, "CORRECT"), (2, 1, "VALIDATE")], 3: [(1, 1, "VALIDATE"), (2, 1, "VALIDATE"), (3, 2, "CORRECT"), (4, 3, "VALIDATE")], 5: [(1, 7, "REJECT")]}
-_REVIEW_ROWS = ", ".join(f"({m}, {seq}, {expected}, '{action}')" for m, log in _REVIEWS.items() for seq, expected, action in log)
+#: The log of reviews by a fact's number modulo 6: (seq, expected version, action, seqs of the corrections that lead to the fact
+#: it is of). Early, stale, repeated and unknown versions among them, chains of corrections, and cells with a validated fact.
+_REVIEWS = {
+    0: [(1, 1, "VALIDATE", ())], 1: [(1, 2, "REJECT", ()), (2, 1, "VALIDATE", ()), (3, 2, "REJECT", ())],
+    2: [(1, 1, "CORRECT", ()), (2, 1, "VALIDATE", ()), (4, 1, "CORRECT", (1,)), (5, 1, "REJECT", (1, 4)), (6, 2, "CORRECT", (1, 4)), (7, 2, "REJECT", (1,)), (8, 2, "VALIDATE", ())],
+    3: [(1, 1, "VALIDATE", ()), (2, 1, "VALIDATE", ()), (3, 2, "CORRECT", ()), (4, 3, "VALIDATE", ()), (5, 1, "REJECT", (3,)), (6, 3, "VALIDATE", ())], 5: [(1, 7, "REJECT", ()), (2, 1, "REJECT", ())],
+}
 
 
-@query(f"""+ f AS (SELECT fact_key, validation_status, normalized_value, source_key, period, stock_code, (stock_code::INT + period_ord + length(metric)) % 6 AS m FROM fact),
-l(m, seq, expected, action) AS (VALUES {_REVIEW_ROWS}),
-e AS (SELECT fact_key, seq, expected, action FROM f JOIN l USING (m) JOIN source s USING (source_key) WHERE s.authority_status = 'CURRENT'),
-w AS (SELECT fact_key, 0 AS seq, 1 AS version, validation_status, NULL::VARCHAR AS accepted FROM f
-  UNION ALL SELECT fact_key, e.seq, CASE WHEN e.expected = w.version THEN w.version + 1 ELSE w.version END, CASE WHEN e.expected <> w.version THEN w.validation_status WHEN e.action = 'VALIDATE' THEN 'VALIDATED' ELSE 'REJECTED' END, CASE WHEN e.expected = w.version THEN e.action END
-  FROM w JOIN e USING (fact_key) WHERE e.seq = w.seq + 1),
-z AS (SELECT fact_key, arg_max(validation_status, seq) AS validation_status, arg_max(version, seq) AS review_version FROM w GROUP BY fact_key)
-SELECT fact_key, z.validation_status, z.review_version::BIGINT AS review_version, normalized_value::DOUBLE AS normalized_value FROM z JOIN f USING (fact_key)
-UNION ALL SELECT sha256(concat_ws(chr(31), fact_key, 'correction', w.seq::VARCHAR)), 'VALIDATED', 1, (normalized_value * 2)::DOUBLE FROM w JOIN f USING (fact_key) WHERE w.accepted = 'CORRECT'""", facts=True)
+def _chained(key: str, chain: tuple[int, ...], sql: str) -> str:
+    for seq in chain:
+        key = sql.format(key=key, seq=seq)
+    return key
+
+
+_CORRECTED = "sha256(concat_ws(chr(31), {key}, 'correction', '{seq}'))"
+_REVIEW_ROWS = " UNION ALL ".join(f"SELECT cell, {seq} AS seq, {expected} AS expected, '{action}' AS action, {_chained('fact_key', chain, _CORRECTED)} AS k, normalized_value * {seq + 1} AS v FROM f WHERE m = {m}" for m, log in _REVIEWS.items() for seq, expected, action, chain in log)
+
+
+@query(f"""+ f AS (SELECT fact_key, validation_status, normalized_value, concat_ws('/', fact.stock_code, fact.period, statement_scope, period_type, metric) AS cell, coalesce(s.authority_status = 'CURRENT', false) AS ok, (fact.stock_code::INT + period_ord + length(metric) + length(source_key)) % 6 AS m FROM fact LEFT JOIN source s USING (source_key)),
+e AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY seq, k, expected, action) AS n FROM ({_REVIEW_ROWS})),
+w AS (SELECT cell, 0::BIGINT AS n, list({{'k': fact_key, 'st': validation_status, 'v': 1, 'ok': ok, 'val': normalized_value::DOUBLE}}) AS facts FROM f GROUP BY cell
+  UNION ALL SELECT w.cell, e.n, CASE WHEN len(list_filter(facts, lambda x: x.k = e.k AND x.ok AND x.v = e.expected)) > 0 AND (action = 'REJECT' OR len(list_filter(facts, lambda x: x.k <> e.k AND x.ok AND x.st = 'VALIDATED')) = 0)
+    THEN list_concat(list_transform(facts, lambda x: CASE WHEN x.k = e.k THEN {{'k': x.k, 'st': CASE WHEN action = 'VALIDATE' THEN 'VALIDATED' ELSE 'REJECTED' END, 'v': x.v + 1, 'ok': x.ok, 'val': x.val}} ELSE x END),
+      CASE WHEN action = 'CORRECT' THEN [{{'k': sha256(concat_ws(chr(31), e.k, 'correction', e.seq::VARCHAR)), 'st': 'VALIDATED', 'v': 1, 'ok': true, 'val': e.v::DOUBLE}}] ELSE [] END) ELSE facts END
+  FROM w JOIN e ON e.cell = w.cell AND e.n = w.n + 1),
+z AS (SELECT unnest(arg_max(facts, n)) AS x FROM w GROUP BY cell)
+SELECT x.k AS fact_key, x.st AS validation_status, x.v::BIGINT AS review_version, x.val AS normalized_value FROM z""", facts=True)
 def dml05_dml06_reviews(spark, sf_dir):
-    """An event counts if it expects the version that the fact has when it arrives, and the fact's source is current."""
-    f = testdata.facts(spark, sf_dir).withColumn("m", (F.col("stock_code").cast("int") + F.col("period_ord") + F.length("metric")) % 6)
+    """An event counts if it expects the fact's version when it arrives, the fact's source is current, and no other fact of the cell stands against it."""
+    f = testdata.facts(spark, sf_dir).withColumn("m", (F.col("stock_code").cast("int") + F.col("period_ord") + F.length("metric") + F.length("source_key")) % 6)
     events = F.lit(None)
     for m, log in _REVIEWS.items():
-        events = F.when(F.col("m") == m, F.array(*(F.struct(F.lit(seq).alias("seq"), F.lit(expected).alias("expected_version"), F.lit(action).alias("action")) for seq, expected, action in log))).otherwise(events)
-    log = f.select("fact_key", (F.col("normalized_value") * 2).cast(AMOUNT).alias("new_value"), F.explode(events).alias("e")).select("fact_key", "e.*", "new_value")
+        named = []
+        for seq, expected, action, chain in log:
+            key = F.col("fact_key")
+            for x in chain:
+                key = reviews.corrected_key(key, F.lit(x))
+            named.append(F.struct(F.lit(seq).alias("seq"), F.lit(expected).alias("expected_version"), F.lit(action).alias("action"), key.alias("fact_key"), (F.col("normalized_value") * (seq + 1)).cast(AMOUNT).alias("new_value")))
+        events = F.when(F.col("m") == m, F.array(*named)).otherwise(events)
+    log = f.select(F.explode(events).alias("e")).select("e.*")
     current = testdata.sources(spark, sf_dir).filter("authority_status = 'CURRENT'").select("source_key")
-    return life.fold_reviews(f.drop("m"), log, current)[0].select("fact_key", "validation_status", "review_version", "normalized_value")
+    return reviews.fold_reviews(f.drop("m"), log, current)[0].select("fact_key", "validation_status", "review_version", "normalized_value")
 
 
 @query("SELECT fact_key, CASE WHEN stock_code::INT % 5 = 0 THEN normalized_value * 2 ELSE normalized_value END::DOUBLE AS normalized_value, validation_status FROM fact UNION ALL SELECT fact_key || '+', normalized_value::DOUBLE, 'NEEDS_REVIEW' FROM fact WHERE stock_code::INT % 50 = 0", facts=True)
