@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
 from dataclasses import dataclass
 from datetime import date
 
-import numpy as np
-import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trustmill.functions.text import query_tokens
+from trustmill.sources.folders import shared_folder
 
 #: Weights of both scores, length of a quote, size of a chunk, caps of an index.
 KEYWORD, VECTOR = 0.7, 0.3
@@ -20,11 +17,6 @@ QUOTE = 240
 CHUNK = 280
 CHUNKS_OF_PAPER = 20
 CHUNKS = 5000
-#: Queries that meet the pages at once, on average, and pages that are scored together.
-QUERY_BLOCK = 1024
-PAGE_BLOCK = 2048
-#: Types of query ids; others become strings.
-ID = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
 
 @dataclass(frozen=True)
@@ -101,122 +93,14 @@ def quote(text: Column, tokens: Column, length: int = QUOTE) -> Column:
 ORDER = (("desc", "score"), ("desc", "keyword_score"), ("desc", "vector_score"), ("asc", "paper_path"), ("asc", "page_no"), ("asc", "title"))
 
 
-class Asked:
-    """One block of queries: their tokens and phrases as one automaton, and which query holds which token."""
-
-    def __init__(self, rows: list) -> None:
-        import ahocorasick
-
-        self.ids = [r.query_id for r in rows]
-        tokens: dict[str, int] = {}
-        pairs = [(tokens.setdefault(t, len(tokens)), k) for k, r in enumerate(rows) for t in r.tokens]
-        self.sizes = np.array([len(r.tokens) for r in rows], float)
-        self.holds = np.zeros((len(tokens), len(rows)), np.float32)
-        self.holds[tuple(np.array(pairs, int).reshape(-1, 2).T)] = 1
-        phrases: dict[str, list[int]] = {}
-        for k, r in enumerate(rows):
-            phrases.setdefault(r.phrase, []).append(k)
-        self.always = phrases.pop("", [])  # an empty phrase stands in every text
-        self.automaton = ahocorasick.Automaton()
-        for x in {*tokens, *phrases}:
-            self.automaton.add_word(x, (tokens.get(x, -1), phrases.get(x, [])))
-        if len(self.automaton):
-            self.automaton.make_automaton()
-        self.embeddings = [getattr(r, "embedding", None) for r in rows]
-
-    def keyword_scores(self, texts: list[str | None]) -> np.ndarray:
-        """A row for each text, a column for each query: share of its tokens in the text, 0.15 more for its phrase, at most 1."""
-        found = np.zeros((len(texts), len(self.holds)), np.float32)
-        phrase = np.zeros((len(texts), len(self.ids)))
-        for k, text in enumerate(texts):
-            phrase[k, self.always] = 0.15
-            for _, (token, queries) in self.automaton.iter(text or "") if len(self.automaton) else ():
-                if token >= 0:
-                    found[k, token] = 1
-                if queries:
-                    phrase[k, queries] = 0.15
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return np.where(self.sizes > 0, np.minimum(1.0, (found @ self.holds).astype(float) / self.sizes + phrase), 0.0)
-
-    def vector_scores(self, embeddings: list[list[float] | None]) -> np.ndarray:
-        """Cosines, 0 for other lengths or zero vectors, never below 0."""
-        out = np.zeros((len(embeddings), len(self.ids)))
-        by_length: dict[int, list[int]] = {}
-        for k, x in enumerate(self.embeddings):
-            by_length.setdefault(len(x or ()), []).append(k)
-        for n, queries in by_length.items():
-            pages = [k for k, x in enumerate(embeddings) if n and len(x or ()) == n]
-            if pages:
-                p, q = np.array([embeddings[k] for k in pages], float), np.array([self.embeddings[k] for k in queries], float)
-                norm = np.sqrt((p * p).sum(1))[:, None] * np.sqrt((q * q).sum(1))
-                out[np.ix_(pages, queries)] = np.divide(np.maximum(p @ q.T, 0), norm, out=np.zeros_like(norm), where=norm > 0)
-        return out
-
-
-def _scored(pages: DataFrame, asked: Broadcast, top_k: int, vectors: bool, kind: str) -> DataFrame:
-    """Of each batch of pages the best top_k for every query, with raw scores."""
-    columns = ["title", "paper_path", "page_no", "text"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: Asked = asked.value
-        for batch in batches:
-            for low in range(0, batch.num_rows, PAGE_BLOCK):
-                own = batch.slice(low, PAGE_BLOCK)
-                title, path, number = (own.column(c).to_pylist() for c in range(3))
-                place = np.empty(own.num_rows, int)
-                place[sorted(range(own.num_rows), key=lambda k: (path[k] or "", number[k], title[k] or ""))] = np.arange(own.num_rows)
-                kw = block.keyword_scores(own.column(4).to_pylist())
-                vec = block.vector_scores(own.column(5).to_pylist()) if vectors else np.zeros_like(kw)
-                score = np.round(KEYWORD * kw + VECTOR * vec, 8)
-                page, query = [], []
-                for q in range(len(block.ids)):
-                    some = np.flatnonzero((kw[:, q] > 0) | (vec[:, q] > 0))
-                    if len(some) > top_k:
-                        least = np.partition(score[some, q], -top_k)[-top_k]
-                        some = some[score[some, q] >= least - 2e-8]  # rounding may differ by a unit: the engine's order decides
-                        some = some[np.lexsort((place[some], -np.round(vec[some, q], 8), -np.round(kw[some, q], 8), -score[some, q]))][: 2 * top_k]
-                    page += some.tolist()
-                    query += [q] * len(some)
-                rows = own.take(pa.array(page, pa.int64()))
-                yield pa.record_batch([pa.array([block.ids[q] for q in query], ID[kind]), *(rows.column(c) for c in range(4)), pa.array(kw[page, query]), pa.array(vec[page, query])], ["query_id", *columns, "_k", "_v"])
-
-    read = [*columns, F.lower("text").alias("lowered"), *([F.col("embedding").cast("array<double>").alias("embedding")] if vectors else [])]
-    types = dict(pages.dtypes)
-    return pages.select(*read).mapInArrow(run, f"query_id {kind}, " + ", ".join(f"{c} {types[c]}" for c in columns) + ", _k double, _v double")
-
-
 def search(pages: DataFrame, queries: DataFrame, top_k: int = 3, filters: EvidenceFilter | None = None) -> DataFrame:
-    """The best pages for every query (query_id, query, and embedding if both sides have one), with scores, rank and quote.
+    """The best pages for every query, by an index of these pages alone; store one with `search_index.build` for more than one search."""
+    from trustmill.operators import search_index
 
-    Queries come to the pages in blocks of bounded size. One automaton finds all their tokens and phrases in a single pass
-    over a page; the scores of a batch of pages are matrix products, and only each batch's best pages go on to be ranked.
-    Pages without a number can't be cited and are left out.
-    """
     if top_k < 1:
         raise ValueError("top_k must be positive")
     spark = pages.sparkSession
-    vectors = "embedding" in pages.columns and "embedding" in queries.columns
-    p = (filters or EvidenceFilter()).apply(pages).filter("page_no IS NOT NULL")
-    kind = dict(queries.dtypes)["query_id"]
-    kind = kind if kind in ID else "string"
-    q = queries.select(F.col("query_id").cast(kind).alias("query_id"), "query", F.lower(F.trim("query")).alias("phrase"), query_tokens(F.col("query")).alias("tokens"), *([F.col("embedding").cast("array<double>").alias("embedding")] if vectors else []))
-    blocks = max(1, -(-q.count() // QUERY_BLOCK))
-    scored = None
-    for k in range(blocks):
-        block = q if blocks == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
-        one = _scored(p, spark.sparkContext.broadcast(Asked(block.orderBy("query_id").collect())), top_k, vectors, kind)
-        scored = one if scored is None else scored.unionByName(one)
-    scored = scored.withColumns({"score": F.round(KEYWORD * F.col("_k") + VECTOR * F.col("_v"), 8), "keyword_score": F.round("_k", 8), "vector_score": F.round("_v", 8)})
-    best = Window.partitionBy("query_id").orderBy(*(getattr(F, way)(c) for way, c in ORDER))
-    hits = scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top_k).join(q.select("query_id", "tokens"), "query_id")
-    return hits.select("query_id", "rank", "title", "paper_path", "page_no", "score", "keyword_score", "vector_score", quote(F.col("text"), F.col("tokens")).alias("quote"))
-
-
-def nearest(index: DataFrame, queries: DataFrame, top_k: int = 10) -> DataFrame:
-    """(query_id, rank, id, score): for every query (query_id, embedding) the rows of the index (id, embedding) with the highest cosine, ties by id."""
-    pages = index.select(F.lit("").alias("title"), F.lit("").alias("paper_path"), F.col("id").alias("page_no"), F.lit("").alias("text"), "embedding")
-    asked = queries.select("query_id", F.lit(" ").alias("query"), "embedding")
-    return search(pages, asked, top_k).select("query_id", "rank", F.col("page_no").alias("id"), F.col("vector_score").alias("score"))
+    return search_index.search(spark, search_index.build(pages, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"), queries, top_k, filters)
 
 
 def verified(citations: DataFrame, pages: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ One exchange, by company and year, makes all quarter sums; running sums within t
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,20 +97,31 @@ def in_years(facts: DataFrame) -> DataFrame:
     return facts.hint("rebalance", "report_year").sortWithinPartitions("report_year", "metric", "stock_code")
 
 
-_STORES: dict[tuple, str] = {}
+_INGESTED: dict[tuple, str] = {}
+
+
+def ingested(spark: SparkSession, sf_dir: str, table_name: str, make: Callable[[str], None]) -> str:
+    """The folder of what make writes from a table: made once by an application, and again when the table's files have changed."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{table_name}.parquet")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = fs.listStatus(path)
+    state = sorted((x.getPath().toString(), x.getLen(), x.getModificationTime()) for x in files)
+    key = (spark.sparkContext.applicationId, make.__qualname__, sf_dir, str(state))
+    if key not in _INGESTED:
+        root = f"{shared_folder(spark)}/ingested-{uuid.uuid4().hex}"
+        make(root)
+        _INGESTED[key] = root
+    return _INGESTED[key]
 
 
 def _store(spark: SparkSession, sf_dir: str) -> str:
-    """The folder of the fact store of an input: ingested once by an application, and again when the input has changed."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/lineitem.parquet")
-    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
-    key = (spark.sparkContext.applicationId, sf_dir, found.getLen(), found.getModificationTime())
-    if key not in _STORES:
-        root = f"{shared_folder(spark)}/facts-{uuid.uuid4().hex}"
+    """The folder of the fact store of an input."""
+
+    def make_store(root: str) -> None:
         versions.commit(in_years(derived_facts(spark, sf_dir)), f"{root}/facts", partition_by=("report_year",))
         versions.commit(derived_sources(spark, sf_dir), f"{root}/sources")
-        _STORES[key] = root
-    return _STORES[key]
+
+    return ingested(spark, sf_dir, "lineitem", make_store)
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
