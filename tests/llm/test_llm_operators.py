@@ -410,7 +410,9 @@ def test_forest_keeps_components(monkeypatch, at_once):
     assert list(components.forest(iter([]))) == []
 
 
-def test_connected_components(spark):
+@pytest.mark.parametrize("at_once", [components.AT_ONCE, 0])
+def test_connected_components(spark, monkeypatch, at_once):
+    monkeypatch.setattr(components, "AT_ONCE", at_once)
     r = random.Random(8)
     edges = [(k, k + 1) for k in range(0, 60)] + [(100 + k, 100) for k in range(1, 50)] + [(r.randint(200, 260), r.randint(200, 260)) for _ in range(40)]
     top = {}

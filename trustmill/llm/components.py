@@ -13,6 +13,8 @@ from .shared import drop_tables, materialize
 
 #: Edges that a task ties together at a time before any are shuffled.
 FOREST_EDGES = 1 << 17
+#: Edges that one task ties at once instead of in rounds: 8 MB of them.
+AT_ONCE = 1 << 19
 
 
 def roots_of(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
@@ -28,8 +30,8 @@ def roots_of(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
     return root
 
 
-def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (a, b) to stars (node, least node) with the same components, some edges at a time.
+def forest(batches: Iterator[pa.RecordBatch], at_once: int = FOREST_EDGES) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) to stars (node, least node) with the same components, so many edges at a time.
 
     Many edges between few nodes become at most one for each node.
     """
@@ -45,7 +47,7 @@ def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         held.append(batch)
         n += batch.num_rows
-        if n >= FOREST_EDGES:
+        if n >= at_once:
             yield tie(held)
             held, n = [], 0
     if n:
@@ -71,13 +73,17 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """node, root for every node with an edge that isn't the least of its component; root is that least node.
 
     All edges of a node at end a meet in one task, but for those of hot nodes, which are dealt to several; there they are
-    tied to stars before the first round. The number of rounds grows with the logarithm of the longest path. Only counts
-    come to the driver.
+    tied to stars before the first round. What is left is tied by one task if it is at most `AT_ONCE` edges, else by rounds,
+    whose number grows with the logarithm of the longest path; the result is the same. Only counts come to the driver.
     """
     x, y = F.col(a), F.col(b)
     round_no, made, earlier = 0, [], []
     met = edges.filter(x != y).select(x.cast("long").alias("a"), y.cast("long").alias("b")).hint("rebalance", "a")
-    state = materialize(met.mapInArrow(forest, "a long, b long"), "forest", made).distinct()  # every round reads it several times
+    state = materialize(met.mapInArrow(forest, "a long, b long"), "forest", made)  # every round reads it several times
+    if state.count() <= AT_ONCE:
+        whole = lambda batches: forest(batches, AT_ONCE + 1)
+        return materialize(state.coalesce(1).mapInArrow(whole, "a long, b long"), "trees").select(F.col("a").alias("node"), F.col("b").alias("root"))
+    state = state.distinct()
     while True:
         made, earlier = [], made
         state = materialize(small_star(large_star(state)), f"stars{round_no}", made)
