@@ -248,10 +248,34 @@ def _report_lines(spark, sf_dir):
     return o.select("o_orderkey", "o_totalprice", line.alias("text"))
 
 
-@query("SELECT o_orderkey, round(o_totalprice * 100, 2) AS revenue, -17.55::DOUBLE AS revenue_yoy, CASE WHEN o_totalprice >= 1000 THEN o_totalprice ELSE o_totalprice END AS total_profit, 3000.0::DOUBLE AS net_profit FROM orders")
+def _report_texts(spark, sf_dir):
+    """A passage of a report for each order, of one of six kinds: a full table line, names to fall back to with last year's
+    amounts, a passage about the industry before the company's own, implausibly small amounts, numbers without commas, nothing."""
+    o = testdata.table(spark, sf_dir, "orders").withColumn("p", F.col("o_totalprice").cast("decimal(18,2)"))
+    money = lambda k: F.format_number(F.col("p") * k, 2)
+    whole = lambda k: F.floor(F.col("p") * k).cast("string")
+    kinds = (
+        (F.lit("合并利润表 项目 营业收入 "), money(100), F.lit(" -17.55 利润总额 "), money(10), F.lit("\n35.31 归属于上市公司股东的净利润 "), money(5), F.lit(" 32.75 经营活动产生的现金流量净额  "), money(20), F.lit(" 4.5 资产负债率 41.2 基本每股收益 0.35")),
+        (F.lit("营业总收入 "), money(300), F.lit(" "), money(200), F.lit(" 净利润 "), money(30), F.lit(" "), money(24), F.lit(" 经营活动产生的现金流量净额 "), money(8), F.lit(" "), money(9)),
+        (F.lit("行业 营业收入 9,999,999,999.00 亿元 国家统计局 "), F.repeat(F.lit("文字"), 140), F.lit(" 本报告期 营业收入 "), money(100), F.lit(" 5.5")),
+        (F.lit("营业收入 500 1.5 利润总额 "), money(1), F.lit(" 2.5 利润总额 "), money(2), F.lit(" 3.5")),
+        (F.lit("营业收入"), whole(100), F.lit("元；利润总额"), F.repeat(F.lit("长"), 175), F.lit("："), money(1)),
+        (F.lit("无数据 营业收入 利润总额"),),
+    )
+    text = F.lit(None).cast("string")
+    for k, parts in enumerate(kinds):
+        text = F.when(F.col("o_orderkey") % len(kinds) == k, F.concat(*parts)).otherwise(text)
+    return o.select("o_orderkey", text.alias("text"))
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_orderkey % 6 AS k, CAST(o_totalprice AS DECIMAL(18,2)) AS p, CAST(floor(CAST(o_totalprice AS DECIMAL(18,2)) * 100) AS BIGINT)::VARCHAR AS w, format('{:,.2f}', o_totalprice) AS f FROM orders)
+SELECT o_orderkey, CASE k WHEN 0 THEN p * 100 WHEN 1 THEN p * 300 WHEN 2 THEN CASE WHEN p >= 10000 THEN p * 100 ELSE 9999999999 END WHEN 3 THEN 500 WHEN 4 THEN left(w, 3)::INT END::DOUBLE AS revenue,
+CASE k WHEN 0 THEN -17.55 WHEN 1 THEN 50 WHEN 2 THEN CASE WHEN p >= 10000 THEN 5.5 END WHEN 3 THEN 1.5 WHEN 4 THEN substr(w, 4, 3)::INT END::DOUBLE AS revenue_yoy,
+CASE k WHEN 0 THEN p * 10 WHEN 3 THEN p * 2 WHEN 4 THEN regexp_extract(f, '^[0-9]{1,3}', 0)::INT END::DOUBLE AS total_profit,
+CASE k WHEN 0 THEN 35.31 WHEN 3 THEN 3.5 WHEN 4 THEN CASE WHEN p < 10000 THEN substr(f, 3, 2)::INT WHEN p < 100000 THEN substr(f, 4, 1)::INT END END::DOUBLE AS total_profit_yoy, CASE k WHEN 0 THEN p * 5 WHEN 1 THEN p * 30 END::DOUBLE AS net_profit, CASE k WHEN 0 THEN 32.75 WHEN 1 THEN 25 END::DOUBLE AS net_profit_yoy,
+CASE k WHEN 0 THEN p * 20 WHEN 1 THEN p * 8 END::DOUBLE AS operating_cf, CASE k WHEN 0 THEN 4.5 END::DOUBLE AS operating_cf_yoy, CASE k WHEN 0 THEN 41.2 END::DOUBLE AS asset_liability_ratio, CASE k WHEN 0 THEN 0.35 END::DOUBLE AS asset_liability_ratio_yoy, CASE k WHEN 0 THEN 0.35 END::DOUBLE AS eps, NULL::DOUBLE AS eps_yoy FROM o""")
 def ext01_ext02_ext03_snapshot(spark, sf_dir):
-    s = ex.snapshot(_report_lines(spark, sf_dir))
-    return s.select("o_orderkey", "revenue", "revenue_yoy", "total_profit", "net_profit")
+    return ex.snapshot(_report_texts(spark, sf_dir)).drop("text")
 
 
 @query("SELECT o_orderkey, '利润表 营业总收入 净利润 1' || o_orderkey || ' ' AS section, 'income_sheet,balance_sheet' AS statements FROM orders")
