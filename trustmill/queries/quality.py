@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from trustmill.operators import audit
 from trustmill.operators import evaluation as ev
 from trustmill.operators import lifecycle as life
 from trustmill.operators import quality as ql
 from trustmill.plans.compiler import trusted_facts
 from trustmill.sources import testdata
 
+from .facts import _REPORTS, reports
 from .registry import catalog, query
 
 _METRICS = [m for m, _ in testdata.DERIVED]
@@ -139,3 +141,58 @@ def agg11_qlt10_report_audit(spark, sf_dir):
 @query("SELECT quality::BIGINT AS quality, toxic::BIGINT AS toxic, count(*) AS n FROM labels GROUP BY ALL")
 def qlt07_label_counts(spark, sf_dir):
     return testdata.table(spark, sf_dir, "labels").groupBy("quality", "toxic").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- the whole audit
+
+_NAMES = ("附件2/f{k}.pdf", "附件5/x{k}.PDF", "附件2/~$f{k}.xlsx", "master{k}.xlsx", "附件2/readme", ".hidden{k}.pdf", "data/{k}.tar.gz")
+_PATH = "CASE doc_id % 7 " + " ".join(f"WHEN {k} THEN '{name.split('{k}')[0]}' || " + ("doc_id || '" + name.split("{k}")[1] + "'" if "{k}" in name else "''") for k, name in enumerate(_NAMES)) + " END"
+_TABLES = ("core_performance_indicators_sheet", "balance_sheet", "cash_flow_sheet", "income_sheet")
+_QUESTIONS = "CASE conv_id % 8 WHEN 3 THEN 'no json {' WHEN 4 THEN '{\"Q\":\"x\"}' WHEN 5 THEN '[{\"Q\":\" \"},{\"Q\":5},{\"A\":\"b\"},7,{\"Q\":\"fine\"}]' WHEN 6 THEN '[]' ELSE '[' || repeat('{\"Q\":\"why\"},', n - 1) || '{\"Q\":\"end\"}]' END"
+_CODES = "SELECT lpad((600000 + s_suppkey % 50)::VARCHAR, 6, '0') AS stock_code, CASE WHEN s_suppkey % 9 = 0 THEN s_name ELSE 'n' || s_suppkey % 50 END AS stock_abbr FROM supplier WHERE s_suppkey % 50 < 45"
+
+
+def _count_sql(section: str, source: str, items: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{section}' AS section, '{item}' AS item, '' AS key, coalesce(({expr}), 0)::BIGINT AS n FROM {source}" for item, expr in items.items())
+
+
+@query(f"""WITH {_REPORTS}, f AS (SELECT {_PATH} AS path, n_chars AS length FROM documents), f1 AS (SELECT *, regexp_matches(path, '(^|/)(~[$]|[.])[^/]*$') AS tmp, lower(regexp_extract(regexp_extract(path, '[^/]*$'), '.[.]([^./]+)$', 1)) AS ext FROM f),
+m AS ({_CODES}), m1 AS (SELECT stock_code, count(DISTINCT stock_abbr) AS names, count(*) AS r FROM m GROUP BY 1),
+d AS (SELECT p_partkey % 5 AS t, p_name FROM part), q AS (SELECT conv_id, {_QUESTIONS} AS questions, conv_id % 8 AS k, n FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1)),
+s AS (SELECT *, stock_code IN (SELECT stock_code FROM m) AS known, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderkey % 300 END AS page_count, (o_orderkey % 200) AS head_length, CASE WHEN o_orderkey % 29 = 0 THEN 'broken' END AS read_error FROM r),
+s1 AS (SELECT *, CASE WHEN NOT known THEN 'needs_review:outside_company_master' WHEN is_summary THEN 'skipped_summary:summary_not_authoritative' WHEN is_english THEN 'superseded:english_translation' WHEN revision = 'pre_revision' THEN 'superseded:pre_revision' END AS out FROM s),
+c AS (SELECT *, rank() OVER (PARTITION BY stock_code, period ORDER BY (revision = 'revised') DESC, published_date DESC, copy_index) AS k FROM s1 WHERE out IS NULL), t AS (SELECT stock_code, period, count(*) AS n FROM c WHERE k = 1 GROUP BY ALL),
+dec AS (SELECT out AS key FROM s1 WHERE out IS NOT NULL UNION ALL SELECT CASE WHEN k = 1 AND n = 1 THEN 'selected:authoritative_version' WHEN k = 1 THEN 'needs_review:ambiguous_authoritative_version' WHEN n = 1 THEN 'superseded:higher_ranked_version_selected' ELSE 'superseded:higher_ranked_version_exists' END FROM c JOIN t USING (stock_code, period)),
+rf AS (SELECT c_custkey::VARCHAR AS title, CASE WHEN c_custkey % 3 = 0 THEN 'industry' ELSE 'stock' END AS kind FROM customer UNION ALL SELECT c_custkey::VARCHAR, 'stock' FROM customer WHERE c_custkey % 11 = 0),
+rm AS (SELECT CASE WHEN o_orderkey % 6 = 0 THEN o_custkey::VARCHAR WHEN o_orderkey % 6 = 1 THEN (1000000 + o_orderkey)::VARCHAR END AS title, CASE WHEN o_orderkey % 5 > 0 THEN o_orderstatus END AS context, CASE WHEN o_orderkey % 4 > 0 THEN '2024' END AS published FROM orders),
+rt AS (SELECT title, count(DISTINCT (coalesce(context, ''), coalesce(published, ''))) AS v FROM rm WHERE title IS NOT NULL GROUP BY 1), rp AS (SELECT title, count(*) AS n FROM rf GROUP BY 1),
+rx AS (SELECT CASE WHEN p.title IS NULL THEN 'missing' WHEN o.title IS NULL THEN 'orphan' ELSE 'matched' END AS key FROM rp p FULL JOIN (SELECT title FROM rt WHERE v = 1) o ON p.title = o.title),
+g AS (SELECT r_name || '/manifest.json' AS path FROM region WHERE r_regionkey = 0)
+{_count_sql("inventory", "f1", {"total_files": "count(*)", "usable_files": "count(*) FILTER (NOT tmp)", "temporary_files": "count(*) FILTER (tmp)", "total_bytes": "sum(length)", "usable_bytes": "sum(length) FILTER (NOT tmp)"})}
+UNION ALL SELECT 'inventory', 'category', CASE WHEN ext = 'pdf' AND path LIKE '附件2/%' THEN 'financial_report_pdf' WHEN ext = 'pdf' AND path LIKE '附件5/%' THEN 'research_report_pdf' WHEN ext IN ('xlsx', 'xlsm') THEN 'excel_workbook' ELSE 'other' END AS key, count(*) FROM f1 WHERE NOT tmp GROUP BY ALL
+UNION ALL SELECT 'inventory', 'extension', CASE WHEN ext = '' THEN '<none>' ELSE '.' || ext END AS key, count(*) FROM f1 GROUP BY ALL
+UNION ALL {_count_sql("company_master", "m1", {"company_count": "count(*)", "repeated_codes": "count(*) FILTER (r > 1)", "conflicting_codes": "count(*) FILTER (names > 1)"})} UNION ALL SELECT 'company_master', 'status', 'ok', 1
+UNION ALL SELECT 'database_schema', 'field_count', key, count(DISTINCT p_name) FROM (SELECT unnest({list(_TABLES)}) AS key, unnest([0, 1, 2, 3]) AS t) LEFT JOIN d USING (t) GROUP BY key UNION ALL SELECT 'database_schema', 'status', 'ok', 1
+UNION ALL {_count_sql("question_set", "q", {"case_count": "count(*)", "question_count": "sum(CASE WHEN k IN (3, 4, 6) THEN 0 WHEN k = 5 THEN 1 ELSE n END)", "no_json": "count(*) FILTER (k = 3)", "no_list": "count(*) FILTER (k = 4)", "no_question": "4 * count(*) FILTER (k = 5)"})}
+UNION ALL {_count_sql("financial_reports", "s", {"discovered": "count(*)", "read_errors": "count(read_error)", "known_page_counts": "count(*) FILTER (page_count > 0)", "pages": "sum(page_count) FILTER (page_count > 0)", "least_pages": "min(page_count) FILTER (page_count > 0)", "most_pages": "max(page_count) FILTER (page_count > 0)", "readable_heads": "count(*) FILTER (head_length >= 80)", "summaries": "count(*) FILTER (is_summary)", "english": "count(*) FILTER (is_english)", "outside_company_master": "count(*) FILTER (NOT known)", "codes_outside": "count(DISTINCT stock_code) FILTER (NOT known)"})}
+UNION ALL SELECT 'financial_reports', 'revision', revision, count(*) FROM s GROUP BY ALL UNION ALL SELECT 'financial_reports', 'decision', key, count(*) FROM dec GROUP BY ALL
+UNION ALL {_count_sql("research_reports", "rm", {"rows": "count(*)", "title_rows": "count(title)", "context_rows": "count(*) FILTER (title IS NOT NULL AND context IS NOT NULL)", "publication_date_rows": "count(*) FILTER (title IS NOT NULL AND published IS NOT NULL)"})}
+UNION ALL SELECT 'research_reports', 'conflicts', '', count(*) FILTER (v > 1) FROM rt UNION ALL SELECT 'research_reports', 'repeated_file_titles', '', count(*) FILTER (n > 1) FROM rp UNION ALL SELECT 'research_reports', 'discovered', '', count(*) FROM rf
+UNION ALL SELECT 'research_reports', 'kind', kind, count(*) FROM rf GROUP BY ALL UNION ALL SELECT 'research_reports', 'match', key, count(*) FROM rx GROUP BY ALL
+UNION ALL SELECT 'gold_readiness', 'blocker', unnest(['missing_annotation_files', 'manifest_requires_evaluation_loader_verification']), 1 FROM g""")
+def qlt10_src21_dataset_audit(spark, sf_dir):
+    """All seven sections: files, company master, schema, questions, financial and research reports, readiness of the golden set."""
+    t = lambda name: testdata.table(spark, sf_dir, name)
+    files = t("documents").select(F.expr(_PATH).alias("path"), F.col("n_chars").alias("length"))
+    s = F.col("s_suppkey")
+    companies = t("supplier").filter(s % 50 < 45).select(testdata.code(s % 50).alias("stock_code"), F.when(s % 9 == 0, F.col("s_name")).otherwise(F.concat(F.lit("n"), s % 50)).alias("stock_abbr"))
+    fields = t("part").select(F.get(F.lit(list(_TABLES)), (F.col("p_partkey") % 5).cast("int")).alias("table_name"), F.col("p_name").alias("field_name"))
+    questions = t("conversations").groupBy("conv_id").agg(F.count("*").cast("int").alias("n")).select(F.col("conv_id").alias("id"), F.expr(_QUESTIONS).alias("questions"))
+    k = F.col("o_orderkey")
+    found = reports(spark, sf_dir).drop("in_master").withColumns({"page_count": F.when(k % 13 != 0, k % 300), "head_length": k % 200, "read_error": F.when(k % 29 == 0, "broken")})
+    c = F.col("c_custkey")
+    pdf = t("customer").select(c.cast("string").alias("title_key"), F.when(c % 3 == 0, "industry").otherwise("stock").alias("kind"), c)
+    pdf = pdf.unionByName(pdf.filter(c % 11 == 0).withColumn("kind", F.lit("stock"))).drop("c_custkey")
+    metadata = t("orders").select(F.when(k % 6 == 0, F.col("o_custkey")).when(k % 6 == 1, 1000000 + k).cast("string").alias("title_key"), F.when(k % 5 > 0, F.col("o_orderstatus")).alias("context"), F.when(k % 4 > 0, "2024").alias("published"))
+    manifests = t("region").filter("r_regionkey = 0").select(F.concat("r_name", F.lit("/manifest.json")).alias("path"), F.to_json(F.struct(F.col("r_name").alias("dataset_kind"))).alias("json"))
+    return audit.dataset([audit.inventory(files, "附件2", "附件5"), audit.company_master(companies), audit.database_schema(fields), audit.question_set(questions), audit.financial_reports(found, companies), audit.research_reports(pdf, metadata), audit.gold_readiness(manifests)])
