@@ -422,6 +422,16 @@ def rag01_chunks(spark, sf_dir):
     return t.select("conv_id", "turn", F.explode(rt.chunks(F.col("text"))).alias("chunk"))
 
 
+@query(r"""WITH RECURSIVE s AS (SELECT conv_id, turn, list_filter(list_transform(regexp_split_to_array(replace(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')), '. ', '。'), '[。！？；]'), lambda x: trim(x)), lambda x: x <> '') AS parts FROM conversations),
+w AS (SELECT conv_id, turn, 1 AS k, parts[1] AS open, []::VARCHAR[] AS done, parts FROM s WHERE len(parts) > 0
+  UNION ALL SELECT conv_id, turn, k + 1, CASE WHEN length(open) + 1 + length(parts[k + 1]) <= 280 THEN open || '。' || parts[k + 1] ELSE parts[k + 1] END, CASE WHEN length(open) + 1 + length(parts[k + 1]) <= 280 THEN done ELSE list_append(done, open) END, parts FROM w WHERE k < len(parts))
+SELECT conv_id, turn, unnest(list_append(done, open)) AS chunk FROM w WHERE k = len(parts)""")
+def rag01_split_chunks(spark, sf_dir):
+    """Turns with the sentence ends of Chinese texts: most are several chunks."""
+    t = testdata.table(spark, sf_dir, "conversations")
+    return t.select("conv_id", "turn", F.explode(rt.chunks(F.replace(F.trim(F.regexp_replace("text", r"\s+", " ")), F.lit(". "), F.lit("。")))).alias("chunk"))
+
+
 @query("""SELECT paper_path, page_no::BIGINT AS page_no FROM (SELECT '/' || doc_id AS paper_path, generate_subscripts(string_split(text, chr(10)), 1) AS page_no FROM documents) WHERE page_no <= 20 ORDER BY paper_path, page_no LIMIT 5000""")
 def rag02_capped_index(spark, sf_dir):
     """The caps are the feature: an index of at most 20 chunks for a paper and 5000 in all."""

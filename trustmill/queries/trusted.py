@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trustmill.model import AMOUNT
 from trustmill.operators import post_compute
-from trustmill.plans.compiler import plan, trusted_facts
+from trustmill.plans.compiler import Catalog, plan, trusted_facts
 from trustmill.plans.spec import Filter, QuerySpec
 from trustmill.sources import testdata
 
@@ -211,3 +212,37 @@ def srt04_row_cap(spark, sf_dir):
     """The cap is the feature: one row more than allowed is enough to refuse."""
     rows = _rows(spark, sf_dir, QuerySpec("filter", "net_profit"))
     return rows.limit(101).agg(F.count("*").alias("taken"), (F.count("*") > 100).alias("refused"))
+
+
+# ---------------------------------------------------------------- rules at work on facts that break them
+
+#: Zero revenues, zero profits of earlier years, and cells with two facts, by the company's code.
+_BROKEN = """+ broken AS (SELECT * REPLACE (CASE WHEN metric = 'total_operating_revenue' AND period = '1999FY' AND stock_code::INT % 5 = 0 OR metric = 'net_profit' AND period IN ('1997FY', '1998FY') AND stock_code::INT % 7 = 0 THEN 0 ELSE normalized_value END AS normalized_value) FROM trusted
+  UNION ALL SELECT * FROM trusted WHERE metric = 'asset_inventory' AND stock_code::INT % 9 = 0)"""
+
+
+def _broken(spark: SparkSession, sf_dir: str) -> Catalog:
+    c = catalog(spark, sf_dir)
+    code, is_metric = F.col("stock_code").cast("int"), lambda m: F.col("metric") == m
+    zero = is_metric("total_operating_revenue") & (F.col("period") == "1999FY") & (code % 5 == 0) | is_metric("net_profit") & F.col("period").isin("1997FY", "1998FY") & (code % 7 == 0)
+    facts = c.facts.withColumn("normalized_value", F.when(zero, F.lit(0).cast(AMOUNT)).otherwise(F.col("normalized_value")))
+    twice = facts.filter(is_metric("asset_inventory") & (code % 9 == 0)).withColumn("fact_key", F.concat("fact_key", F.lit("+")))
+    return Catalog(facts.unionByName(twice), c.sources, c.companies)
+
+
+@query(f"{_BROKEN}, p AS (SELECT stock_code, period, period_ord, normalized_value AS v FROM broken JOIN company USING (stock_code) WHERE metric = 'net_profit' AND period IN ('1997FY', '1998FY', '1999FY')), l AS (SELECT *, lag(v) OVER (PARTITION BY stock_code ORDER BY period_ord) AS before FROM p) SELECT stock_code, period AS report_period, 'net_profit' AS metric, 'zero_base' AS reason FROM l WHERE before = 0", facts=True)
+def win01_zero_bases_found(spark, sf_dir):
+    spec = QuerySpec("comparison", "net_profit", periods=("1997FY", "1998FY", "1999FY"), post_compute="period_comparison")
+    return post_compute.zero_bases(plan(spec, _broken(spark, sf_dir))[0], ["net_profit"])
+
+
+@query(f"{_BROKEN} SELECT a.stock_code, 'undefined_ratio' AS rule FROM broken a JOIN broken b USING (stock_code, period) JOIN company USING (stock_code) WHERE a.metric = 'total_profit' AND b.metric = 'total_operating_revenue' AND period = '1999FY' AND b.normalized_value = 0", facts=True)
+def win06_undefined_ratios_found(spark, sf_dir):
+    spec = QuerySpec("filter", "total_profit", ("total_profit", "total_operating_revenue"), report_period="1999FY", post_compute="ratio", calculation={"numerator": "total_profit", "denominator": "total_operating_revenue", "output_field": "ratio"})
+    return plan(spec, _broken(spark, sf_dir))[1]["undefined_ratio"].select("stock_code", F.lit("undefined_ratio").alias("rule"))
+
+
+@query(f"{_BROKEN} SELECT stock_code, period, metric, count(*) AS n FROM broken GROUP BY ALL HAVING count(*) > 1", facts=True)
+def jon06_agg02_conflicts_found(spark, sf_dir):
+    c = _broken(spark, sf_dir)
+    return trusted_facts(c.facts, c.sources).groupBy("stock_code", "period", "metric").agg(F.count("*").alias("n")).filter("n > 1")
