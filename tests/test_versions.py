@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trustmill.model import AMOUNT
+from trustmill.plans.compiler import trusted_facts
 from trustmill.sources import promotion, testdata, versions
 from trustmill.streaming import ingest
 
@@ -145,14 +146,29 @@ def test_a_killed_run_goes_on_where_it_was(spark, tmp_path):
     assert versions.current(spark, root)["streams"] == {"in": 5, "more": 0}
 
 
-def test_a_large_year_is_split(spark, tmp_path):
-    """Facts of one year become several files when they are many, small years one each."""
-    rows = spark.range(400_000).select(F.when(F.col("id") % 50 == 0, 2000 + F.col("id") % 4).otherwise(1999).cast("int").alias("report_year"), F.concat(F.lit("m"), F.col("id") % 8).alias("metric"), F.sha2(F.col("id").cast("string"), 256).alias("stock_code"))
-    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.advisoryPartitionSizeInBytes",)}
-    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4m")
+def test_bucketed_facts_join_their_sources_without_a_shuffle(spark, tmp_path):
+    """Facts of one year are several files; the trust join reads facts and sources bucket by bucket, in a new session too."""
+    n, keys = 4, testdata.TRUST_KEY
+    code = F.lpad((F.col("id") % 50).cast("string"), 6, "0")
+    facts = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("source_key"), code.alias("stock_code"), F.lit("1999FY").alias("period"), F.when(F.col("id") % 50 == 0, 2000).otherwise(1999).alias("report_year"), F.concat(F.lit("m"), F.col("id") % 8).alias("metric"), F.lit("VALIDATED").alias("validation_status"), F.lit("consolidated").alias("statement_scope"), F.lit("duration").alias("period_type"), F.lit("income_sheet").alias("table_name"))
+    sources = facts.select(*keys).withColumn("authority_status", F.when(F.expr("substring(source_key, 2) % 3 = 0"), "CURRENT").otherwise("OLD"))
+    root = f"file://{tmp_path}"
+    versions.commit(facts, f"{root}/f", partition_by=("report_year",), buckets=versions.Buckets(n, keys, ("metric",)))
+    versions.commit(sources, f"{root}/s", buckets=versions.Buckets(n, keys))
+    assert len(list(tmp_path.glob("f/v-*/report_year=1999/*.parquet"))) == n
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        versions.commit(testdata.in_years(rows), f"file://{tmp_path}/t", partition_by=("report_year",))
+        for session in (spark, spark.newSession()):
+            session.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+            if session is not spark:  # as if another application had written them
+                for x in ("f", "s"):
+                    session.sql(f"DROP TABLE {versions._table_name(root + '/' + x + '/' + versions.current(session, root + '/' + x)['version'])}")
+            trusted = trusted_facts(versions.read(session, f"{root}/f"), versions.read(session, f"{root}/s"))
+            assert trusted.count() == 6667
+            plan = trusted._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange" not in plan
     finally:
-        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old["spark.sql.adaptive.advisoryPartitionSizeInBytes"])
-    files = {y: len(list(tmp_path.glob(f"t/v-*/report_year={y}/*.parquet"))) for y in (1999, 2000, 2002)}
-    assert files[1999] >= 4 and files[2000] == files[2002] == 1
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    with pytest.raises(ValueError, match="odd"):
+        versions.commit(facts, f"{root}/f", {"odd": facts}, buckets=versions.Buckets(n, keys))
+    assert len(list(tmp_path.glob("f/v-*"))) == 1

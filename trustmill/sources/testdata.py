@@ -92,9 +92,10 @@ def derived_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(key.alias("source_key"), F.concat(key, F.lit(".pdf")).alias("source_file"), F.sha2(key, 256).alias("content_sha256"), "x.stock_code", "period", F.lit("BATCH").alias("source_owner"), F.col("x.status").alias("authority_status"), F.when(F.col("x.status") == "CURRENT", "CURRENT").alias("current_slot"))
 
 
-def in_years(facts: DataFrame) -> DataFrame:
-    """Facts as they are written: by year, sorted by metric; a year with much data is split over tasks, and gets as many files."""
-    return facts.hint("rebalance", "report_year").sortWithinPartitions("report_year", "metric", "stock_code")
+#: The trust join's columns: facts and sources lie in buckets of them.
+TRUST_KEY = ("source_key", "stock_code", "period")
+#: Bytes of input for a bucket, and buckets at least.
+BUCKET_BYTES, BUCKETS = 128 << 20, 8
 
 
 _INGESTED: dict[tuple, str] = {}
@@ -118,14 +119,17 @@ def _store(spark: SparkSession, sf_dir: str) -> str:
     """The folder of the fact store of an input."""
 
     def make_store(root: str) -> None:
-        versions.commit(in_years(derived_facts(spark, sf_dir)), f"{root}/facts", partition_by=("report_year",))
-        versions.commit(derived_sources(spark, sf_dir), f"{root}/sources")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/lineitem.parquet")
+        size = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+        number = max(BUCKETS, -(-size // BUCKET_BYTES))
+        versions.commit(derived_facts(spark, sf_dir), f"{root}/facts", partition_by=("report_year",), buckets=versions.Buckets(number, TRUST_KEY, ("metric", "stock_code")))
+        versions.commit(derived_sources(spark, sf_dir), f"{root}/sources", buckets=versions.Buckets(number, TRUST_KEY))
 
     return ingested(spark, sf_dir, "lineitem", make_store)
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The facts of the store: a versioned table by year, sorted by metric, so that years prune folders and metrics row groups."""
+    """The facts of the store: a versioned table by year, in buckets of `TRUST_KEY`, sorted by metric: years prune folders, metrics row groups, and the trust join moves no fact."""
     return versions.read(spark, f"{_store(spark, sf_dir)}/facts")
 
 

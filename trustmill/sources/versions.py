@@ -4,14 +4,18 @@ A commit writes its folder, checks it, and then makes the entry behind the one i
 entry meanwhile, the commit fails as a whole with `Conflict`, so no update is lost; `update` then starts again from what the
 other one has left. Entries appear at once with their content: by a hard link on a local disk, elsewhere by a rename that
 doesn't replace, which Hadoop file systems do in one step. A version never changes, so a reader that has begun stays with it.
+
+A version may be bucketed: its entry tells the layout, and a reader's session gets an external table with it, so that tables of
+one layout are joined on their bucket columns without a shuffle.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from collections.abc import Callable
-from typing import Any
+from typing import Any, NamedTuple
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +24,14 @@ LOG = "_log"
 DIGITS = 12
 
 
+class Buckets(NamedTuple):
+    """How many files a version has in each partition, by the hash of which columns, and the order of rows in them."""
+
+    number: int
+    by: tuple[str, ...]
+    sort: tuple[str, ...] = ()
+
+
 class Conflict(RuntimeError):
     """Another writer has committed behind the version that this one has read."""
 
@@ -53,7 +65,26 @@ def read(spark: SparkSession, root: str, number: int | None = None) -> DataFrame
     found = current(spark, root, number)
     if found is None:
         raise FileNotFoundError(f"{root} has no valid version")
-    return spark.read.parquet(f"{root}/{found['version']}")
+    return _opened(spark, root, found)
+
+
+def _table_name(path: str) -> str:
+    return f"trustmill_{hashlib.sha256(path.encode()).hexdigest()[:24]}"
+
+
+def _opened(spark: SparkSession, root: str, entry: dict[str, Any]) -> DataFrame:
+    path, layout = f"{root}/{entry['version']}", entry.get("layout")
+    if not layout:
+        return spark.read.parquet(path)
+    name = _table_name(path)
+    if not spark.catalog.tableExists(name):
+        quoted = lambda columns: ", ".join(f"`{c}`" for c in columns)
+        partitions = f"PARTITIONED BY ({quoted(layout['partition_by'])}) " if layout["partition_by"] else ""
+        order = f"SORTED BY ({quoted(layout['sort'])}) " if layout["sort"] else ""
+        spark.sql(f"CREATE TABLE {name} ({layout['schema']}) USING parquet {partitions}CLUSTERED BY ({quoted(layout['by'])}) {order}INTO {layout['number']} BUCKETS LOCATION '{path}'")
+        if layout["partition_by"]:
+            spark.catalog.recoverPartitions(name)
+    return spark.table(name)
 
 
 def _claimed(spark: SparkSession, root: str, number: int, entry: dict[str, Any]) -> bool:
@@ -81,7 +112,7 @@ def _claimed(spark: SparkSession, root: str, number: int, entry: dict[str, Any])
     return True
 
 
-def commit(df: DataFrame, root: str, violations: dict[str, DataFrame] | None = None, partition_by: tuple[str, ...] = (), base: dict[str, Any] | None | str = "last", batch: tuple[str, int] | None = None) -> int:
+def commit(df: DataFrame, root: str, violations: dict[str, DataFrame] | None = None, partition_by: tuple[str, ...] = (), base: dict[str, Any] | None | str = "last", batch: tuple[str, int] | None = None, buckets: Buckets | None = None) -> int:
     """Writes a version, checks it, and makes the log entry behind base: what `current` said when the work began, or the last one now.
 
     A failed check or a `Conflict` leaves nothing behind. batch: the stream and number of a micro-batch, kept in the entry.
@@ -90,17 +121,27 @@ def commit(df: DataFrame, root: str, violations: dict[str, DataFrame] | None = N
     if base == "last":
         base = current(spark, root)
     version = f"v-{uuid.uuid4().hex}"
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(f"{root}/{version}")
+    entry: dict[str, Any] = {"version": version}
+    writer = (df if buckets is None else df.repartition(buckets.number, *buckets.by)).write
+    writer = writer.partitionBy(*partition_by) if partition_by else writer
+    if buckets is None:
+        writer.parquet(f"{root}/{version}")
+    else:  # a task holds one bucket, so a partition gets one file for each bucket at most
+        writer = writer.bucketBy(buckets.number, *buckets.by)
+        writer = writer.sortBy(*buckets.sort) if buckets.sort else writer
+        writer.format("parquet").option("path", f"{root}/{version}").saveAsTable(_table_name(f"{root}/{version}"))
+        entry["layout"] = buckets._asdict() | {"partition_by": partition_by, "schema": ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)}
     try:
         for name, bad in (violations or {}).items():
             if not bad.isEmpty():
                 raise ValueError(f"violation: {name}")
         streams = dict((base or {}).get("streams", {})) | ({batch[0]: batch[1]} if batch else {})
         number = base["number"] + 1 if base else 0
-        if not _claimed(spark, root, number, {"version": version, "streams": streams}):
+        if not _claimed(spark, root, number, entry | {"streams": streams}):
             raise Conflict(f"{root} has a version {number} by now")
     except Exception:
+        if buckets is not None:
+            spark.sql(f"DROP TABLE IF EXISTS {_table_name(f'{root}/{version}')}")
         fs, p, _ = _fs(spark, f"{root}/{version}")
         fs.delete(p, True)
         raise
@@ -110,7 +151,7 @@ def commit(df: DataFrame, root: str, violations: dict[str, DataFrame] | None = N
 Build = Callable[[DataFrame | None], tuple[DataFrame, dict[str, DataFrame]]]
 
 
-def update(spark: SparkSession, root: str, build: Build, partition_by: tuple[str, ...] = (), batch: tuple[str, int] | None = None, attempts: int = 10) -> int | None:
+def update(spark: SparkSession, root: str, build: Build, partition_by: tuple[str, ...] = (), batch: tuple[str, int] | None = None, attempts: int = 10, buckets: Buckets | None = None) -> int | None:
     """Commits what build makes of the table (None if there is none yet) with its violations; again, from the newer version, after a `Conflict`.
 
     With a batch that the table already has, nothing is done and None returned: a micro-batch that is repeated counts once.
@@ -119,9 +160,9 @@ def update(spark: SparkSession, root: str, build: Build, partition_by: tuple[str
         base = current(spark, root)
         if batch and base and base["streams"].get(batch[0], -1) >= batch[1]:
             return None
-        df, violations = build(None if base is None else spark.read.parquet(f"{root}/{base['version']}"))
+        df, violations = build(None if base is None else _opened(spark, root, base))
         try:
-            return commit(df, root, violations, partition_by, base, batch)
+            return commit(df, root, violations, partition_by, base, batch, buckets)
         except Conflict:
             continue
     raise Conflict(f"{root}: {attempts} attempts were overtaken")
