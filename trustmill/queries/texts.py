@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from trustmill.functions import issues as iss
 from trustmill.functions import numbers as nu
 from trustmill.functions import periods as pe
 from trustmill.functions import text as tx
@@ -239,6 +240,20 @@ def jsn02_issue_lists(spark, sf_dir):
     return c.select("c_custkey", "json", F.from_json("json", "array<string>")[1].alias("second"))
 
 
+@query("""WITH o AS (SELECT o_orderkey AS k, o_orderkey % 9 AS w, o_orderstatus AS st, o_orderpriority AS p FROM orders),
+t AS (SELECT k, w, st, p, CASE w WHEN 4 THEN '{"code":"' || st || '"}' WHEN 5 THEN '[' || k WHEN 6 THEN '[' || k || ']' WHEN 7 THEN '[{"code":"a","message":"b","level":' || k || '}]' WHEN 8 THEN '[{"code":"' || st || '","message":" "}]' WHEN 3 THEN '[]'
+  WHEN 2 THEN '[{"code":"' || st || '","field":null,"message":"' || p || '"},{"code":"late","field":"' || p || '","message":"m' || k || '"}]' ELSE '[{"code":"' || st || '","field":' || CASE w WHEN 0 THEN 'null' ELSE '"x"' END || ',"message":"' || p || '"}]' END AS text FROM o)
+SELECT k AS o_orderkey, CASE w WHEN 4 THEN 'not a list' WHEN 5 THEN 'not JSON' WHEN 6 THEN 'not an object' WHEN 7 THEN 'unknown field' WHEN 8 THEN 'code or message is missing' ELSE '' END AS fault, CASE w WHEN 3 THEN 0 WHEN 2 THEN 2 WHEN 0 THEN 1 WHEN 1 THEN 1 END::BIGINT AS n, CASE WHEN w < 4 THEN text END AS again FROM t""")
+def jsn02_issue_texts(spark, sf_dir):
+    """Issue lists as texts, sound and faulty ones; the sound ones are read and written again."""
+    w, st, p, key = F.col("o_orderkey") % 9, F.col("o_orderstatus"), F.col("o_orderpriority"), F.col("o_orderkey").cast("string")
+    one = lambda code, field, message: F.struct(code.alias("code"), field.cast("string").alias("field"), message.alias("message"))
+    sound = F.when(w == 3, F.array().cast(iss.ISSUES)).when(w == 2, F.array(one(st, F.lit(None), p), one(F.lit("late"), p, F.concat(F.lit("m"), key)))).otherwise(F.array(one(st, F.when(w == 1, F.lit("x")), p)))
+    text = F.when(w == 4, F.concat(F.lit('{"code":"'), st, F.lit('"}'))).when(w == 5, F.concat(F.lit("["), key)).when(w == 6, F.concat(F.lit("["), key, F.lit("]"))).when(w == 7, F.concat(F.lit('[{"code":"a","message":"b","level":'), key, F.lit("}]"))).when(w == 8, F.concat(F.lit('[{"code":"'), st, F.lit('","message":" "}]'))).otherwise(iss.write(sound))
+    t = testdata.table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"))
+    return t.select("o_orderkey", F.coalesce(iss.fault(F.col("text")), F.lit("")).alias("fault"), F.size(iss.read(F.col("text"))).alias("n"), F.when(iss.read(F.col("text")).isNotNull(), iss.write(iss.read(F.col("text")))).alias("again"))
+
+
 # ---------------------------------------------------------------- extraction
 
 def _report_lines(spark, sf_dir):
