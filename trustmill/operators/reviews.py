@@ -7,6 +7,7 @@ Corrections make new facts, which later events can name by the key that the corr
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trustmill.functions.text import key_of
-from trustmill.sources.folders import stored
+from trustmill.sources.folders import dealt, stored
 
 CELL = ["stock_code", "period", "statement_scope", "period_type", "metric"]
 #: Why an event has no effect, in the order in which it is told.
@@ -90,19 +91,21 @@ def _folded(rows: DataFrame) -> DataFrame:
         leave()
         yield ready()
 
-    ordered = rows.repartition("cell").sortWithinPartitions("cell", F.col("event").isNotNull(), "seq", "fact_key", "version", "status", "value", "event")
+    ordered = dealt(rows, "cell").sortWithinPartitions("cell", F.col("event").isNotNull(), "seq", "fact_key", "version", "status", "value", "event")
     return ordered.mapInArrow(run, "what string, fact_key string, event long, reason string, root string, status string, version long, value string")
 
 
 def _rooted(log: DataFrame) -> DataFrame:
     """Events with root: the fact that a chain of corrections in the log began with; as many rounds as the longest chain has."""
     made = log.filter("action = 'CORRECT'").select(corrected_key(F.col("fact_key"), F.col("seq")).alias("root"), F.col("fact_key").alias("_parent")).distinct()
-    rooted = log.withColumn("root", F.col("fact_key"))
-    chained = rooted.join(made, "root", "left_semi")
-    while not chained.isEmpty():
-        rooted = stored(rooted.join(made, "root", "left").withColumn("root", F.coalesce("_parent", "root")).drop("_parent"), "rooted")
-        chained = rooted.join(made, "root", "left_semi")
-    return rooted
+    rooted = log.withColumn("root", F.col("fact_key")).join(made, "root", "left")
+    done, open_ = [], stored(rooted, "rooted")
+    while True:  # only events whose root is itself a corrected fact go on
+        done.append(open_.filter("_parent IS NULL").drop("_parent"))
+        open_ = open_.filter("_parent IS NOT NULL").withColumn("root", F.col("_parent")).drop("_parent")
+        if open_.isEmpty():
+            return functools.reduce(DataFrame.unionByName, done)
+        open_ = stored(open_.join(made, "root", "left"), "rooted")
 
 
 def fold_reviews(facts: DataFrame, events: DataFrame, current: DataFrame | None = None, documents: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

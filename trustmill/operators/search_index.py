@@ -17,15 +17,18 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trustmill.functions.text import CJK, query_tokens
 from trustmill.operators.retrieval import KEYWORD, ORDER, VECTOR, EvidenceFilter, quote
-from trustmill.sources.folders import shared_folder
+from trustmill.sources.folders import dealt, shared_folder
 
 #: Pages of a block, and queries of one on average.
 BLOCK, QUERIES = 1024, 256
+#: Lists of an index that are added at once.
+POSTED_AT_ONCE = 4096
 RUNS = f"({CJK}{{2,}}|[a-z]{{2,}}|[0-9]{{2,}})"
 #: Kinds of rows that meet in a task, in the order in which it reads them.
 ASKED, ALLOWED, EMBEDDED, POSTED = range(4)
@@ -73,6 +76,7 @@ class Block:
         self.top_k, self.members = top_k, sorted(members, key=lambda m: m["number"])
         self.token: dict[str, int] = {}
         pairs = [(self.token.setdefault(t, len(self.token)), k) for k, m in enumerate(self.members) for t in m["tokens"]]
+        self.names = pa.array(list(self.token), pa.string())
         self.sizes = np.array([len(m["tokens"]) for m in self.members], float)
         self.holds = np.zeros((len(self.token), len(self.members)), np.float32)
         self.holds[tuple(np.array(pairs, int).reshape(-1, 2).T)] = 1
@@ -84,9 +88,14 @@ class Block:
         self.allowed = np.zeros(len(self.found), bool)
         self.allowed[places] = True
 
-    def post(self, places: np.ndarray, tokens: list[str]) -> None:
-        for t in tokens:
-            self.found[places, self.token[t]] = 1
+    def post(self, places: pa.ListArray, tokens: pa.ListArray) -> None:
+        """Rows of places and of the tokens that stand there: every place of a row with every token of it."""
+        place, many = places.flatten().to_numpy(), places.value_lengths().to_numpy()
+        token = pc.index_in(tokens.flatten(), value_set=self.names).to_numpy()
+        row = np.repeat(np.arange(len(many)), tokens.value_lengths().to_numpy())
+        size = many[row]
+        at = np.arange(int(size.sum())) + np.repeat((np.cumsum(many) - many)[row] - (np.cumsum(size) - size), size)
+        self.found[place[at], np.repeat(token, size)] = 1
 
     def embed(self, embedded: list[dict]) -> None:
         """Cosines, 0 for other lengths or zero vectors, never below 0."""
@@ -161,8 +170,12 @@ def search(spark: SparkSession, index: Index, queries: DataFrame, top_k: int = 3
             return pa.record_batch([pa.array(now[0] + np.array(places, np.int64)), pa.array([block.members[k]["number"] for k in asked], pa.int64()), pa.array(keyword), pa.array(vector)], ["page", "number", "_k", "_v"])
 
         for batch in batches:
-            at, part, kind = (batch.column(c).to_pylist() for c in range(3))
-            for i in range(batch.num_rows):
+            at, part, kind = (batch.column(c).to_numpy() for c in range(3))
+            # rows of one block and kind, which lie together
+            cuts = np.flatnonzero((np.diff(at) != 0) | (np.diff(part) != 0) | (np.diff(kind) != 0)) + 1
+            for i, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                if i == end:
+                    continue
                 if (at[i], part[i]) != now:
                     if block is not None:
                         yield ready()
@@ -172,11 +185,13 @@ def search(spark: SparkSession, index: Index, queries: DataFrame, top_k: int = 3
                 elif kind[i] == EMBEDDED:
                     block.embed(batch.column(7)[i].as_py())
                 elif kind[i] == POSTED:
-                    block.post(batch.column(3)[i].values.to_numpy(), batch.column(4)[i].as_py())
+                    for low in range(i, end, POSTED_AT_ONCE):
+                        own = batch.slice(low, min(POSTED_AT_ONCE, end - low))
+                        block.post(own.column(3), own.column(4))
         if block is not None:
             yield ready()
 
-    met = rows.select("block", "part", "kind", "places", "tokens", "size", "members", "embedded").repartition("block", "part").sortWithinPartitions("block", "part", "kind")
+    met = dealt(rows.select("block", "part", "kind", "places", "tokens", "size", "members", "embedded"), "block", "part").sortWithinPartitions("block", "part", "kind")
     scored = met.mapInArrow(run, "page long, number long, _k double, _v double")
     scored = scored.withColumns({"score": F.round(KEYWORD * F.col("_k") + VECTOR * F.col("_v"), 8), "keyword_score": F.round("_k", 8), "vector_score": F.round("_v", 8)})
     best = Window.partitionBy("number").orderBy(*(getattr(F, way)(c) for way, c in ORDER[:3]), "page")
