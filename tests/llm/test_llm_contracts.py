@@ -35,3 +35,16 @@ def test_secrets_are_counted_by_kind(spark, folder):
         spans = sorted((m.start(), n, m.end()) for n, found in enumerate((assign, access, hexes)) for m in found)
         want = ",".join(f"{queries.secrets.KINDS[n]}:{a}:{b}" for a, n, b in spans)
         assert got[k]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest(), text
+
+
+def test_written_rules_have_the_words_of_the_contract(spark, folder):
+    contract = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+    assert {rule: word for word, rule in queries.URL_RULES} == contract
+    urls = [
+        ("https://a.com/en/x", "com/en/"), ("HTTP://www.Example.COM/en/7?q", "example.com/en/7"), ("https://b.net/de/", "net/de/"), ("https://example.net/de/8", "example.net/de/8"),
+        ("ftp://x.example.net/de/81/y#z", "example.net/de/8"), ("https://example.net/de/7", "net/de/"), ("https://c.org/es/1", "org/es/"), ("https://c.org/en/1", None), ("no url", None), (None, None),
+    ]
+    pages = ([(k, u) for k, (u, _) in enumerate(urls)], T.StructType.fromDDL("page_id long, url string"))
+    root = folder(pages=pages, labels=([(0, 0)], T.StructType.fromDDL("doc_id long, toxic int")))
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in queries.op10_url_rules(spark, root).collect()}
+    assert got == {k: (rule, contract.get(rule, "allow")) for k, (_, rule) in enumerate(urls)}

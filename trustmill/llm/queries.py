@@ -9,7 +9,7 @@ from . import conversations, decontamination, fingerprints, language, line_dedup
 from .shared import joined_sha256, new_table_path, table
 
 #: The written rules, (verdict, host with path).
-URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/")]
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
 
 def _spans(spans: Column, kinds: Column | None = None) -> Column:
