@@ -59,6 +59,24 @@ def within(actual: Column, expected: Column, absolute: Column, relative: Column)
     return F.abs(actual - expected) <= F.greatest(absolute, relative * F.abs(expected))
 
 
+def two_places(value: Column) -> Column:
+    """A double with two places, by its exact binary value and ties to even, as C and Python print it.
+
+    `format_string` rounds the shortest decimal of the double half up instead. All steps are exact: the fraction is cut into 26
+    bits and the rest, and a hundred times either has at most 53.
+    """
+    x = value.cast("double")
+    whole = F.floor(F.abs(x))
+    bits = (F.abs(x) - whole.cast("double")) * float(1 << 26)
+    hundred = F.floor(bits) * 100
+    cents, over = F.floor(hundred / F.lit(float(1 << 26))), F.pmod(hundred, F.lit(1 << 26))
+    rest, half = (bits - F.floor(bits).cast("double")) * 100, ((1 << 25) - over).cast("double")
+    cents = cents + F.when((rest > half) | ((rest == half) & (cents % 2 == 1)), 1).otherwise(0)
+    sign = F.when(F.startswith(x.cast("string"), F.lit("-")), "-").otherwise("")
+    text = F.concat(sign, (whole + F.floor(cents / 100)).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+    return F.when(F.abs(x) < float(1 << 62), text).otherwise(F.format_string("%.2f", x))
+
+
 def growth_or_null(value: Column) -> Column:
     return F.when(value.between(-1000, 1000), value)
 
