@@ -6,8 +6,10 @@ import duckdb
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from trustmill.functions import numbers as nu
+from trustmill.operators import companies
 from trustmill.plans import dialogue as dl
 from trustmill.queries import ORACLES, QUERIES
+from trustmill.sources import testdata
 
 
 def test_two_places_are_those_of_the_binary_value(spark):
@@ -33,3 +35,22 @@ def test_added_parts_meet_keys_of_the_table(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
     assert got == sorted(con.execute(ORACLES["snk08_upsert_wide"]).fetchall(), key=str)
+
+
+def test_facts_are_dealt_before_they_are_many(spark, sf_dir):
+    """Each task holds one bucket, and the rows are those of the plain table."""
+    plain, dealt = testdata.derived_facts(spark, sf_dir), testdata.derived_facts(spark, sf_dir, 16)
+    assert dealt.filter(F.pmod(F.hash(*testdata.TRUST_KEY), F.lit(16)) != F.spark_partition_id()).isEmpty()
+    assert plain.schema == dealt.schema and plain.count() == dealt.count() and plain.exceptAll(dealt).isEmpty()
+    plan = dealt._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(array(struct(no") < plan.index("RepartitionByExpression")  # above it, so later
+    assert testdata.BUCKET_BYTES <= 16 << 20
+
+
+def test_parts_of_names_are_cut_by_bounded_tasks(spark, monkeypatch):
+    monkeypatch.setattr(companies, "CUT", 5)
+    known = spark.createDataFrame([(f"{k:06d}", f"名{k}", f"公司{k}号药业") for k in range(100)], "stock_code string, stock_abbr string, company_name string")
+    index = companies.name_index(known, [2, 4])
+    assert ", 20)" in next(x for x in index._jdf.queryExecution().executedPlan().toString().splitlines() if "REPARTITION_BY_NUM" in x)
+    want = {(r.part, r.stock_code) for r in companies.name_index(known).collect() if len(r.part) in (2, 4)}
+    assert {tuple(r) for r in index.select("part", "stock_code").collect()} == want and want

@@ -24,6 +24,8 @@ from trustmill.sources.folders import stored
 
 #: Companies of an automaton; a larger table is searched shard by shard.
 SHARD = 50_000
+#: Companies whose names a task cuts into parts.
+CUT = 2_000
 #: The mark before a company name, and what ends the name.
 MARK = r"企业名称[:：]([^，,]*)"
 CODE, SHORT_CODE, SHORT_NAME, FULL_NAME = range(4)
@@ -81,14 +83,17 @@ def _search_pass(rows: DataFrame, patterns: Broadcast, text: str, first: bool) -
     return rows.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in columns) + ", `_named` struct<rule:int,at:long,stock_code:string>")
 
 
-def name_index(companies: DataFrame) -> DataFrame:
-    """part, stock_code: the substrings of short and full names that only one company has.
+def name_index(companies: DataFrame, sizes: list[int] | None = None) -> DataFrame:
+    """part, stock_code: the substrings of short and full names that only one company has; of some sizes only, if they are given.
 
-    Parts are counted with a combine on the map side, so one that all names share is a single row for each task.
+    A name has many parts for its bytes, so a task gets a bounded number of names. Parts are counted with a combine on the map
+    side, so one that all names share is a single row for each task.
     """
-    names = companies.select("stock_code", F.explode(F.array_compact(F.array("stock_abbr", "company_name"))).alias("name")).filter("name <> ''")
-    sizes = lambda k: F.sequence(F.lit(1), F.length("name") - k + 1)
-    parts = F.flatten(F.transform(F.sequence(F.lit(1), F.length("name")), lambda k: F.transform(sizes(k), lambda n: F.substring(F.col("name"), k, n))))
+    n = companies.count()
+    tasks = max(companies.sparkSession.sparkContext.defaultParallelism, -(-n // CUT))
+    names = companies.repartition(tasks, "stock_code").select("stock_code", F.explode(F.array_compact(F.array("stock_abbr", "company_name"))).alias("name")).filter("name <> ''")
+    wanted = F.sequence(F.lit(1), F.length("name")) if sizes is None else F.filter(F.lit(sizes).cast("array<int>"), lambda n: n <= F.length("name"))
+    parts = F.flatten(F.transform(wanted, lambda n: F.transform(F.sequence(F.lit(1), F.length("name") - n + 1), lambda k: F.substring(F.col("name"), k, n))))
     each = names.select("stock_code", F.explode(F.array_distinct(parts)).alias("part"))
     return each.groupBy("part").agg(F.min("stock_code").alias("stock_code"), F.max("stock_code").alias("_other")).filter("stock_code = _other").drop("_other")
 
@@ -104,7 +109,7 @@ def parts_of(text: str) -> Column:
 def resolve_companies(texts: DataFrame, companies: DataFrame, text: str = "text", index: DataFrame | None = None) -> DataFrame:
     """Rows of texts with stock_code; null if they name no company. companies: stock_code, stock_abbr, company_name.
 
-    index: a stored `name_index` of the companies, else it is made. Only texts that no code or name settles are dealt to their
+    index: a stored `name_index` of the companies, else one of the sizes that are asked for is made. Only texts that no code or name settles are dealt to their
     parts, and only those as long as names are looked up.
     """
     spark = texts.sparkSession
@@ -118,6 +123,7 @@ def resolve_companies(texts: DataFrame, companies: DataFrame, text: str = "text"
         rows = _search_pass(rows, spark.sparkContext.broadcast([tuple(x) for x in shard.toLocalIterator()]), text, k == 0)
     rows = stored(rows.withColumn("_row", F.monotonically_increasing_id()), "named")
     asked = rows.filter("_named IS NULL").select("_row", F.posexplode(parts_of(text)).alias("rank", "part")).filter(F.length("part") <= (longest or 0))
-    known = name_index(c) if index is None else index
-    best = asked.join(known, "part").groupBy("_row").agg(F.min_by("stock_code", "rank").alias("_by_part"))
+    if index is None:  # a part is no longer than the longest name, so these are few numbers
+        index = name_index(c, sorted(r[0] for r in asked.select(F.length("part")).distinct().collect()))
+    best = asked.join(index, "part").groupBy("_row").agg(F.min_by("stock_code", "rank").alias("_by_part"))
     return rows.join(best, "_row", "left").select(*own, F.coalesce("_named.stock_code", "_by_part").alias("stock_code"))
