@@ -60,21 +60,25 @@ def _source_key(code: Column, period: Column, kind: str) -> Column:
     return F.concat_ws(":", F.lit("src"), code, period, F.lit(kind))
 
 
-def derived_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base facts, and decoys that a right engine must not see."""
+def derived_facts(spark: SparkSession, sf_dir: str, number: int | None = None) -> DataFrame:
+    """Base facts, and decoys that a right engine must not see; with a number, dealt to so many buckets of `TRUST_KEY`.
+
+    They are dealt as a row for each report, before its metrics are rows with texts and keys of their own.
+    """
     base = company_periods(spark, sf_dir)
     metrics = F.array(*(F.struct(F.lit(i).alias("no"), F.lit(name).alias("metric"), F.lit(t).alias("table_name"), F.lit("instant" if t == "balance_sheet" else "duration").alias("period_type"), F.col(f"m{i}").alias("v")) for i, (name, t) in enumerate(DERIVED, 1)))
     k, o = F.col("k"), F.col("period_ord")
     kinds = F.array_compact(F.array(F.lit("current"), F.when((k + o) % 9 == 0, F.lit("old")), F.when(k % 4 == 0, F.lit("parent")), F.when((k + o) % 10 == 3, F.lit("foreign"))))
-    rows = base.select("k", "year", "q", "period_ord", F.explode(metrics).alias("m"), kinds.alias("kinds")).select("k", "year", "q", "period_ord", "m.*", F.explode("kinds").alias("kind"))
+    holder = F.when(F.col("kind") == "parent", "current").otherwise(F.col("kind"))
+    rows = base.withColumn("kind", F.explode(kinds)).withColumns({"stock_code": code(k), "period": period_column(F.col("year"), F.col("q"))})
+    rows = rows.withColumn("source_key", F.concat_ws(":", F.lit("src"), "stock_code", "period", holder))
+    rows = rows if number is None else rows.repartition(number, *TRUST_KEY)
+    rows = rows.select("k", "year", "q", "period_ord", "kind", *TRUST_KEY, F.explode(metrics).alias("m")).select("k", "year", "q", "period_ord", "kind", *TRUST_KEY, "m.*")
     mark = k * 7 + o * 3 + F.col("no")
     status = F.when(F.col("kind") != "current", "VALIDATED").when(mark % 10 == 0, "NEEDS_REVIEW").when(mark % 10 == 1, "REJECTED").otherwise("VALIDATED")
     factor = F.when(F.col("kind") == "old", 2).when(F.col("kind") == "parent", 0.5).when(F.col("kind") == "foreign", 5).otherwise(1).cast("decimal(3,1)")
-    period = period_column(F.col("year"), F.col("q"))
     scope = F.when(F.col("kind") == "parent", "parent").otherwise("consolidated")
-    rows = rows.withColumns({"stock_code": code(k), "period": period, "statement_scope": scope, "normalized_value": (F.col("v") * factor).cast(AMOUNT), "validation_status": status})
-    holder = F.when(F.col("kind") == "parent", "current").otherwise(F.col("kind"))
-    rows = rows.withColumn("source_key", F.concat_ws(":", F.lit("src"), "stock_code", "period", holder))
+    rows = rows.withColumns({"statement_scope": scope, "normalized_value": (F.col("v") * factor).cast(AMOUNT), "validation_status": status})
     key = F.sha2(F.concat_ws("\x1f", "stock_code", "period", "statement_scope", "period_type", "metric", "source_key"), 256)
     return rows.select(
         key.alias("fact_key"), "stock_code", "period", F.col("year").alias("report_year"), "period_ord", "statement_scope", "period_type", "metric", "table_name", "normalized_value", "source_key",
@@ -94,8 +98,8 @@ def derived_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The trust join's columns: facts and sources lie in buckets of them.
 TRUST_KEY = ("source_key", "stock_code", "period")
-#: Bytes of input for a bucket, and buckets at least.
-BUCKET_BYTES, BUCKETS = 128 << 20, 8
+#: Bytes of input for a bucket, and buckets at least. A task writes or reads a bucket, whose facts are several times its input.
+BUCKET_BYTES, BUCKETS = 8 << 20, 8
 
 
 _INGESTED: dict[tuple, str] = {}
@@ -122,7 +126,7 @@ def _store(spark: SparkSession, sf_dir: str) -> str:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/lineitem.parquet")
         size = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
         number = max(BUCKETS, -(-size // BUCKET_BYTES))
-        versions.commit(derived_facts(spark, sf_dir), f"{root}/facts", partition_by=("report_year",), buckets=versions.Buckets(number, TRUST_KEY, ("metric", "stock_code")))
+        versions.commit(derived_facts(spark, sf_dir, number), f"{root}/facts", partition_by=("report_year",), buckets=versions.Buckets(number, TRUST_KEY, ("metric", "stock_code")), dealt=True)
         versions.commit(derived_sources(spark, sf_dir), f"{root}/sources", buckets=versions.Buckets(number, TRUST_KEY))
 
     return ingested(spark, sf_dir, "lineitem", make_store)

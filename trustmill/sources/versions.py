@@ -112,17 +112,18 @@ def _claimed(spark: SparkSession, root: str, number: int, entry: dict[str, Any])
     return True
 
 
-def commit(df: DataFrame, root: str, violations: dict[str, DataFrame] | None = None, partition_by: tuple[str, ...] = (), base: dict[str, Any] | None | str = "last", batch: tuple[str, int] | None = None, buckets: Buckets | None = None) -> int:
+def commit(df: DataFrame, root: str, violations: dict[str, DataFrame] | None = None, partition_by: tuple[str, ...] = (), base: dict[str, Any] | None | str = "last", batch: tuple[str, int] | None = None, buckets: Buckets | None = None, dealt: bool = False) -> int:
     """Writes a version, checks it, and makes the log entry behind base: what `current` said when the work began, or the last one now.
 
     A failed check or a `Conflict` leaves nothing behind. batch: the stream and number of a micro-batch, kept in the entry.
+    dealt: df has a task for each bucket already.
     """
     spark = df.sparkSession
     if base == "last":
         base = current(spark, root)
     version = f"v-{uuid.uuid4().hex}"
     entry: dict[str, Any] = {"version": version}
-    writer = (df if buckets is None else df.repartition(buckets.number, *buckets.by)).write
+    writer = (df if buckets is None or dealt else df.repartition(buckets.number, *buckets.by)).write
     writer = writer.partitionBy(*partition_by) if partition_by else writer
     if buckets is None:
         writer.parquet(f"{root}/{version}")
