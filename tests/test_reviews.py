@@ -93,3 +93,18 @@ def test_no_events(spark):
     facts = spark.createDataFrame([fact("a", "m")], FACTS)
     folded, conflicts = rv.fold_reviews(facts, spark.createDataFrame([], EVENTS))
     assert folded.collect() == facts.collect() and conflicts.count() == 0
+
+
+def test_log_is_stored_lean(spark, monkeypatch):
+    """Events without effect leave the fold, others don't; only events of facts that corrections made go back along the log."""
+    made = []
+    monkeypatch.setattr(rv, "stored", lambda df, name: made.append((name, kept := spark.createDataFrame(df.collect(), df.schema))) or kept)
+    key = lambda k, seq: hashlib.sha256("\x1f".join((k, "correction", str(seq))).encode()).hexdigest()
+    facts = spark.createDataFrame([(f"f{k}", "NEEDS_REVIEW", 1, 1.0) for k in range(4)], "fact_key string, validation_status string, review_version int, normalized_value double")
+    rows = [("f0", 1, 1, "VALIDATE", None), ("f1", 1, 1, "CORRECT", 2.0), (key("f1", 1), 1, 2, "CORRECT", 3.0), (key(key("f1", 1), 2), 1, 3, "REJECT", None), ("f2", 9, 1, "REJECT", None), ("none", 1, 1, "REJECT", None), (key("none", 1), 1, 2, "REJECT", None)]
+    log = spark.createDataFrame(rows, "fact_key string, expected_version int, seq int, action string, new_value double")
+    after, conflicts = rv.fold_reviews(facts, log)
+    assert {r.fact_key: (r.validation_status, r.review_version) for r in after.collect()} == {"f0": ("VALIDATED", 2), "f1": ("REJECTED", 2), "f2": ("NEEDS_REVIEW", 1), "f3": ("NEEDS_REVIEW", 1), key("f1", 1): ("REJECTED", 2), key(key("f1", 1), 2): ("REJECTED", 2)}
+    assert {(r.fact_key, r.reason) for r in conflicts.collect()} == {("f2", "another version"), ("none", "unknown fact"), (key("none", 1), "unknown fact")}
+    assert [df.count() for name, df in made if name == "rooted"] == [4, 1]
+    assert [(r.event is None, r.reason is None) for name, df in made if name == "folded" for r in df.filter("what = 'event'").collect()] == [(False, False)]

@@ -21,6 +21,9 @@ CELL = ["stock_code", "period", "statement_scope", "period_type", "metric"]
 #: Why an event has no effect, in the order in which it is told.
 REASONS = ("unknown fact", "source is not current", "another version", "page is not in the document", "the cell has another validated fact", "unknown action")
 
+#: Facts for an event from which on the fold leaves out the facts that no event touches.
+FEW = 4
+
 
 def corrected_key(fact_key: Column, seq: Column) -> Column:
     """The key of the fact that a correction makes."""
@@ -62,10 +65,10 @@ OUT = [("what", pa.string()), ("fact_key", pa.string()), ("event", pa.int64()),
 
 
 def _folded(rows: DataFrame) -> DataFrame:
-    """Events with their reason, touched facts and made ones, from (cell, kind, seq, ...): facts before events."""
+    """Events without effect and why, touched facts and made ones, from (cell, kind, seq, ...): facts before events."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now: str | None = None
+        now: bytes | None = None
         cell, out = Cell(), []
 
         def leave() -> None:
@@ -86,7 +89,9 @@ def _folded(rows: DataFrame) -> DataFrame:
                 if x["event"] is None:
                     cell.facts[x["fact_key"]] = {"status": x["status"], "version": x["version"], "open": x["open"], "on_page": x["on_page"], "root": x["fact_key"], "value": None, "made": False}
                 else:
-                    out.append(("event", x["fact_key"], x["event"], cell.take(x["fact_key"], x["version"], x["status"], x["new_key"], x["value"]), None, None, None, None))
+                    reason = cell.take(x["fact_key"], x["version"], x["status"], x["new_key"], x["value"])
+                    if reason is not None:
+                        out.append(("event", None, x["event"], reason, None, None, None, None))
             yield ready()
         leave()
         yield ready()
@@ -95,17 +100,21 @@ def _folded(rows: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "what string, fact_key string, event long, reason string, root string, status string, version long, value string")
 
 
-def _rooted(log: DataFrame) -> DataFrame:
-    """Events with root: the fact that a chain of corrections in the log began with; as many rounds as the longest chain has."""
-    made = log.filter("action = 'CORRECT'").select(corrected_key(F.col("fact_key"), F.col("seq")).alias("root"), F.col("fact_key").alias("_parent")).distinct()
-    rooted = log.withColumn("root", F.col("fact_key")).join(made, "root", "left")
-    done, open_ = [], stored(rooted, "rooted")
-    while True:  # only events whose root is itself a corrected fact go on
-        done.append(open_.filter("_parent IS NULL").drop("_parent"))
-        open_ = open_.filter("_parent IS NOT NULL").withColumn("root", F.col("_parent")).drop("_parent")
-        if open_.isEmpty():
-            return functools.reduce(DataFrame.unionByName, done)
-        open_ = stored(open_.join(made, "root", "left"), "rooted")
+def _placed(log: DataFrame, states: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events, their cells): the log with an event number, and the same with cell, which is null for unknown facts.
+
+    An event of a fact of the table has that fact's cell. The others may name what a chain of corrections in the log made: only
+    they go back along it, as many rounds as the longest chain has, until an event of a fact of the table is met.
+    """
+    log = stored(log.join(states.select("fact_key", "cell"), "fact_key", "left").withColumn("event", F.monotonically_increasing_id()), "placed")
+    parts, open_ = [log.filter("cell IS NOT NULL")], log.filter("cell IS NULL").drop("cell").withColumn("root", F.col("fact_key"))
+    # a made key tells the fact and its cell, so any of its events will do
+    made = log.filter("action = 'CORRECT'").groupBy(corrected_key(F.col("fact_key"), F.col("seq")).alias("root")).agg(F.min("fact_key").alias("_parent"), F.min("cell").alias("cell"))
+    while not open_.isEmpty():
+        back = stored(open_.join(made, "root", "left").withColumn("root", F.col("_parent")).drop("_parent"), "rooted")
+        parts.append(back.filter("cell IS NOT NULL OR root IS NULL").select(*log.columns))
+        open_ = back.filter("cell IS NULL AND root IS NOT NULL").drop("cell")
+    return log.drop("cell"), functools.reduce(DataFrame.unionByName, parts)
 
 
 def fold_reviews(facts: DataFrame, events: DataFrame, current: DataFrame | None = None, documents: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -118,7 +127,7 @@ def fold_reviews(facts: DataFrame, events: DataFrame, current: DataFrame | None
     a reason. Facts without the columns of a cell are each one of their own.
     """
     columns = [c for c in CELL if c in facts.columns] or ["fact_key"]
-    cell = F.sha2(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns)), 256)
+    cell = F.substring(F.unhex(F.sha2(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns)), 256)), 1, 16)
     known = facts.withColumn("_cell", cell)
     is_open, on_page = F.lit(True), F.lit(True)
     if current is not None:
@@ -127,17 +136,20 @@ def fold_reviews(facts: DataFrame, events: DataFrame, current: DataFrame | None
     if documents is not None:
         known = known.join(documents.select("source_key", F.col("page_count").alias("_pages")), "source_key", "left")
         on_page = F.coalesce(F.col("page_no") <= F.col("_pages"), F.lit(True))
-    states = known.select(F.col("_cell").alias("cell"), "fact_key", F.col("validation_status").alias("status"), F.col("review_version").cast("long").alias("version"), is_open.alias("open"), on_page.alias("on_page"))
-    log = stored(events.select("fact_key", "expected_version", "seq", "action", "new_value").withColumn("event", F.monotonically_increasing_id()), "events")
-    placed = stored(_rooted(log).join(states.select(F.col("fact_key").alias("root"), "cell"), "root", "left"), "placed")
-    asked = placed.filter("cell IS NOT NULL").select("cell", "fact_key", F.col("action").alias("status"), F.col("expected_version").cast("long").alias("version"), "seq", "event", corrected_key(F.col("fact_key"), F.col("seq")).alias("new_key"), F.col("new_value").cast("string").alias("value"))
-    # only the facts of cells that events touch are folded
-    folded = stored(_folded(states.join(asked.select("cell").distinct(), "cell", "left_semi").unionByName(asked, allowMissingColumns=True)), "folded")
+    # made once, with no more columns than the fold needs
+    states = stored(known.select(F.col("_cell").alias("cell"), "fact_key", F.col("validation_status").alias("status"), F.col("review_version").cast("long").alias("version"), is_open.alias("open"), on_page.alias("on_page")), "states")
+    log, placed = _placed(events.select("fact_key", "expected_version", "seq", "action", "new_value"), states)
+    corrects = F.col("action") == "CORRECT"
+    asked = placed.filter("cell IS NOT NULL").select("cell", "fact_key", F.col("action").alias("status"), F.col("expected_version").cast("long").alias("version"), "seq", "event", F.when(corrects, corrected_key(F.col("fact_key"), F.col("seq"))).alias("new_key"), F.when(corrects, F.col("new_value").cast("string")).alias("value"))
+    # of a short log, only the facts of cells that events touch are folded; beside a long one, to find them moves more than it saves
+    if log.count() * FEW < states.count():
+        states = states.join(asked.select("cell").distinct(), "cell", "left_semi")
+    folded = stored(_folded(states.unionByName(asked, allowMissingColumns=True)), "folded")
 
     types = dict(facts.dtypes)
     new = folded.filter("what = 'fact'").select("fact_key", F.col("status").alias("_status"), F.col("version").alias("_version"))
     reviewed = facts.join(new, "fact_key", "left").withColumns({"validation_status": F.coalesce("_status", "validation_status"), "review_version": F.coalesce(F.col("_version").cast(types["review_version"]), F.col("review_version"))}).select(*facts.columns)
     made = folded.filter("what = 'made'").select(F.col("root").alias("fact_key"), F.col("fact_key").alias("_key"), "status", "version", "value")
     corrected = facts.join(made, "fact_key").withColumns({"fact_key": F.col("_key"), "normalized_value": F.col("value").cast(types["normalized_value"]), "validation_status": F.col("status"), "review_version": F.col("version").cast(types["review_version"])})
-    refused = placed.filter("cell IS NULL").select("event", F.lit(REASONS[0]).alias("reason")).unionByName(folded.filter("what = 'event' AND reason IS NOT NULL").select("event", "reason"))
+    refused = placed.filter("cell IS NULL").select("event", F.lit(REASONS[0]).alias("reason")).unionByName(folded.filter("what = 'event'").select("event", "reason"))
     return reviewed.unionByName(corrected.select(*facts.columns)), log.join(refused, "event").drop("event")

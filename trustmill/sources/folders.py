@@ -23,7 +23,7 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: its rows are made once, and outlive the executors that made them."""
     path = f"{shared_folder(df.sparkSession)}/trustmill-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
