@@ -172,3 +172,18 @@ def test_bucketed_facts_join_their_sources_without_a_shuffle(spark, tmp_path):
     with pytest.raises(ValueError, match="odd"):
         versions.commit(facts, f"{root}/f", {"odd": facts}, buckets=versions.Buckets(n, keys))
     assert len(list(tmp_path.glob("f/v-*"))) == 1
+
+
+def test_checks_read_what_is_written(spark, tmp_path):
+    """A function of violations sees the written version, not the rows' recipe; what it finds leaves nothing behind."""
+    seen = []
+
+    def checks(written):
+        seen.append(written.inputFiles())
+        return {"too_large": written.filter("id > 5")}
+
+    root = str(tmp_path / "t")
+    assert versions.commit(spark.range(3), root, checks) == 0
+    with pytest.raises(ValueError, match="too_large"):
+        versions.commit(spark.range(9), root, checks)
+    assert versions.read(spark, root).count() == 3 and all(root in f for files in seen for f in files) and seen[0]

@@ -112,18 +112,25 @@ def _claimed(spark: SparkSession, root: str, number: int, entry: dict[str, Any])
     return True
 
 
-def commit(df: DataFrame, root: str, violations: dict[str, DataFrame] | None = None, partition_by: tuple[str, ...] = (), base: dict[str, Any] | None | str = "last", batch: tuple[str, int] | None = None, buckets: Buckets | None = None, dealt: bool = False) -> int:
+Violations = dict[str, DataFrame] | Callable[[DataFrame], dict[str, DataFrame]]
+
+
+def commit(df: DataFrame, root: str, violations: Violations | None = None, partition_by: tuple[str, ...] = (), base: dict[str, Any] | None | str = "last", batch: tuple[str, int] | None = None, buckets: Buckets | None = None, dealt: bool = False) -> int:
     """Writes a version, checks it, and makes the log entry behind base: what `current` said when the work began, or the last one now.
 
     A failed check or a `Conflict` leaves nothing behind. batch: the stream and number of a micro-batch, kept in the entry.
-    dealt: df has a task for each bucket already.
+    violations: queries that must be empty, or a function that makes them of the written version, so that df isn't computed again
+    for them. dealt: df has a task for each bucket already.
     """
     spark = df.sparkSession
+    last = current(spark, root)
     if base == "last":
-        base = current(spark, root)
+        base = last
+    elif last and (base is None or base["number"] < last["number"]):  # nothing is written in vain
+        raise Conflict(f"{root} has a version {last['number']} by now")
     version = f"v-{uuid.uuid4().hex}"
     entry: dict[str, Any] = {"version": version}
-    writer = (df if buckets is None or dealt else df.repartition(buckets.number, *buckets.by)).write
+    writer = (df if buckets is None or dealt else df.repartition(buckets.number, *buckets.by)).write.option("compression", "zstd")
     writer = writer.partitionBy(*partition_by) if partition_by else writer
     if buckets is None:
         writer.parquet(f"{root}/{version}")
@@ -133,6 +140,8 @@ def commit(df: DataFrame, root: str, violations: dict[str, DataFrame] | None = N
         writer.format("parquet").option("path", f"{root}/{version}").saveAsTable(_table_name(f"{root}/{version}"))
         entry["layout"] = buckets._asdict() | {"partition_by": partition_by, "schema": ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)}
     try:
+        if callable(violations):
+            violations = violations(spark.read.schema(df.schema).parquet(f"{root}/{version}"))
         for name, bad in (violations or {}).items():
             if not bad.isEmpty():
                 raise ValueError(f"violation: {name}")
@@ -149,7 +158,7 @@ def commit(df: DataFrame, root: str, violations: dict[str, DataFrame] | None = N
     return number
 
 
-Build = Callable[[DataFrame | None], tuple[DataFrame, dict[str, DataFrame]]]
+Build = Callable[[DataFrame | None], tuple[DataFrame, Violations]]
 
 
 def update(spark: SparkSession, root: str, build: Build, partition_by: tuple[str, ...] = (), batch: tuple[str, int] | None = None, attempts: int = 10, buckets: Buckets | None = None) -> int | None:
