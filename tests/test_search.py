@@ -86,6 +86,31 @@ def test_queries_are_one_scan_of_the_index(spark, tmp_path):
     assert found.count() == 6000
 
 
+def test_rows_that_meet_have_no_null_lists(spark, tmp_path, monkeypatch):
+    """For each row of a batch Spark fills the null lists of its column again, so a block's time grew with the square of its rows."""
+    met, dealt = [], si.dealt
+    monkeypatch.setattr(si, "dealt", lambda df, *keys: met.append(df) or dealt(df, *keys))
+    pages, asked = corpus(3, 30)
+    index = si.build(spark.createDataFrame(pages, "title string, paper_path string, page_no int, text string, embedding array<double>"), f"file://{tmp_path}/i", 8)
+    si.search(spark, index, spark.createDataFrame(asked, "query_id long, query string, embedding array<double>"), 2)
+    assert met and not [x.name for x in met[0].schema if x.dataType.typeName() == "array" and x.nullable]
+    assert not met[0].filter("exists(members, m -> m.embedding IS NULL OR m.tokens IS NULL)").count()
+
+
+@pytest.mark.parametrize("cut", [1, 5])
+def test_blocks_and_packs_that_are_cut(spark, tmp_path, monkeypatch, cut):
+    """A run that comes again in a block, and in another pack than its neighbours, is still found once for each page."""
+    rows = [(k, "  ".join(["利润增长", "alphabet", "beta", "2024"][: k % 5])) for k in range(40)]
+    batches = [si.pa.record_batch([si.pa.array([0] * 40), si.pa.array([k for k, _ in rows], si.pa.int32()), si.pa.array([t for _, t in rows])], ["block", "place", "text"])]
+    monkeypatch.setattr(si, "INVERTED_AT_ONCE", cut)
+    got = sorted((run, place) for b in si._inverted(batches) for run, places in zip(b.column(0).to_pylist(), b.column(2).to_pylist()) for place in places)
+    assert got == sorted((run, k) for k, t in rows for run in t.split())
+    runs, tokens = ["alphabet", "beta", "gamma", "利润增长"], ["al", "be", "bet", "eta", "增长", "长", "zz", "a"]
+    packs = [si.pa.record_batch([si.pa.array([runs[k : k + cut] for k in range(0, 4, cut)]), si.pa.array([7] * -(-4 // cut), si.pa.int32()), si.pa.array([tokens] * -(-4 // cut))], ["runs", "part", "known"])]
+    held = {run: [tokens[n] for n in ns] for b in si._held(packs) for run, ns in zip(b.column(0).to_pylist(), b.column(2).to_pylist())}
+    assert held == {run: [t for t in tokens if t in run] for run in runs}
+
+
 @pytest.mark.parametrize("kind", ["clustered", "random"])
 def test_nearest_equals_the_full_comparison(spark, monkeypatch, kind):
     monkeypatch.setattr(ne, "BLOCK", 64)
