@@ -94,34 +94,37 @@ class Encoder:
         if not at:
             return found
         new = list(map(parts.__getitem__, at))
-        again = list(map(old.get, new))
-        known.update((x, ids) for x, ids in zip(new, again) if ids is not None)
         words, lines, marked, odd = [], [], [], []
-        for x, ids in zip(new, again):
-            if ids is None:
-                if not rest:
-                    odd.append(x)
-                elif x.isalpha():
-                    words.append(x)
-                elif x[-1:] in MARKS and (x[:-1].isalpha() or x[0] == "\n" and x[1:-1].isalpha()) and (x.isascii() or max(x) < "\u0250"):
-                    marked.append(x)
-                elif not x or " " in x or "<" in x:
-                    odd.append(x)
-                elif x[0] == "\n":
-                    (lines if len(x) > 1 and not x[1].isspace() and "\n" not in x[1:] else odd).append(x)
-                else:
-                    (odd if x[0].isspace() else words).append(x)
-        bases = {x[:-1] for x in marked if x[:-1] not in known}
-        words += {x for x in bases if x[0] != "\n"}.difference(words)
-        lines += {x for x in bases if x[0] == "\n"}.difference(lines)
+        for k, x, ids in zip(at, new, map(old.get, new)):
+            if ids is not None:
+                known[x] = found[k] = ids
+            elif not rest:
+                odd.append(x)
+            elif x.isalpha():
+                words.append(x)
+            elif x[-1:] in MARKS and ((base := x[:-1]).isalpha() or x[0] == "\n" and base[1:].isalpha()) and (x.isascii() or max(x) < "\u0250"):
+                marked.append((k, base))
+            elif not x or " " in x or "<" in x:
+                odd.append(x)
+            elif x[0] == "\n":
+                (lines if len(x) > 1 and not x[1].isspace() and "\n" not in x[1:] else odd).append(x)
+            else:
+                (odd if x[0].isspace() else words).append(x)
+        bases = {base for _, base in marked if base not in known}
+        if bases:
+            bases.difference_update(words, lines)
+            words += [x for x in bases if x[0] != "\n"]
+            lines += [x for x in bases if x[0] == "\n"]
         for some, encode in ((words, lambda x: self._together(x, " ")), (lines, lambda x: self._together([y[1:] for y in x], "\n")), (odd, lambda x: self._alone([y if not rest or y[:1] == "\n" else " " + y for y in x]))):
             for begin in range(0, len(some), ENCODED_AT_ONCE):  # what the library returns is many times larger than the ids
                 own = some[begin : begin + ENCODED_AT_ONCE]
                 known.update(zip(own, encode(own)))
-        known.update((x, known[x[:-1]] + self.marks[x[-1]]) for x in marked)
+        for k, base in marked:
+            known[parts[k]] = found[k] = known[base] + self.marks[parts[k][-1]]
         self.chars += sum(map(len, new))
         for k, x in zip(at, new):
-            found[k] = known[x]
+            if found[k] is None:
+                found[k] = known[x]
         return found
 
     def encode(self, texts: list[str], end: bytes = b"") -> list[bytes]:
@@ -164,9 +167,11 @@ class Encoder:
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         begins, of_part = np.cumsum(sizes) - sizes, sizes[index]
         ends = np.cumsum(of_part)
-        source = np.repeat(begins[index] - (ends - of_part), of_part)
-        source += np.arange(len(source))
-        data = pool[source].tobytes()
+        # places of ids in the pool; half as wide where they fit
+        kind = np.int32 if max(len(pool), ends[-1]) < 1 << 31 else np.int64
+        source = np.repeat((begins[index] - (ends - of_part)).astype(kind), of_part)
+        source += np.arange(len(source), dtype=kind)
+        data = pool.take(source).tobytes()
         bounds = (4 * np.r_[0, ends[offsets[1:] - 1]]).tolist()
         return [data[a:b] + end for a, b in zip(bounds, bounds[1:])]
 
