@@ -519,3 +519,29 @@ def test_remembered_parts_are_looked_up_once():
     own.old, own.known = own.known, (Counted(), Counted())
     assert own._local(words, 1) == want and not lookups
     assert dict(own.known[1]) == {x: own.old[1][x] for x in words}
+
+
+def test_a_part_is_encoded_once_whatever_punctuation_ends_it():
+    own = encoding.Encoder(encoding.default_tokenizer())
+    words = [f"wo{chr(97 + k % 26)}rd{chr(97 + k // 26)}ö" for k in range(300)] + [f"n{k}" for k in range(100)]
+    texts = ["first " + " ".join(x + tail for x in words) for tail in ("", "###", ".", "!!", ")),", "'", "_-")]
+    given = []
+    ids = own._ids
+    own._ids = lambda texts: given.extend(texts) or ids(texts)
+    found = own.encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in found] == [own.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+    assert sum(map(len, given)) < 2 * len(texts[0])
+
+
+def test_columns_of_random_texts_are_encoded_as_by_the_library(monkeypatch):
+    """Blanks, line feeds and odd white space anywhere, special tokens cut and whole, and a memory that is full all the time."""
+    monkeypatch.setattr(encoding, "REMEMBERED", 40)
+    own = encoding.Encoder(encoding.default_tokenizer())
+    r = random.Random(5)
+    pieces = [" "] * 12 + ["\n"] * 4 + ["a", "word", "Über", "×", "é", "ȿ", "ɐ", "日", "7", "²", "'s", "'", ".", ",", "###", "<|endoftext|>", "<|", "|>", "<|endoftext", "«", "…", "́", "\t", "\r\n", "\xa0", " ", "᠎", "\x1c", "\x0b", "\x85", "﻿", "\x00", "😀"]
+    for _ in range(30):
+        texts = ["".join(r.choices(pieces[: r.choice((20, 34, len(pieces)))], k=r.randrange(30))) for _ in range(60)] + [None]
+        ids, sizes = own.encode_column(pa.array(texts).slice(3), b"\2\0\0\0")
+        want = [own.tokenizer.encode(x or "", add_special_tokens=False).ids + [2] for x in texts[3:]]
+        assert sizes.tolist() == list(map(len, want)) and ids.tolist() == [x for some in want for x in some]
+        assert len(own.names) <= 40

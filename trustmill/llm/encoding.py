@@ -3,6 +3,10 @@
 A byte-level BPE never merges across the blank that starts a word. So each text is cut before every blank that a
 non-blank follows, and each distinct part is encoded once for a worker. New parts are encoded many at a time, joined by
 blanks to one text, whose ids part where an id starts with a blank.
+
+Arrow splits a whole column and numbers its parts together with the remembered ones, so only new parts become Python strings;
+ids are gathered by those numbers. Punctuation behind a letter or digit is never merged with it and is encoded apart. Texts with
+other white space than single blanks and line feeds are encoded one by one.
 """
 
 from __future__ import annotations
@@ -22,6 +26,11 @@ from .shared import give_back
 #: Parts that a worker remembers in each of two generations: a full one becomes the old one, parts used again move on.
 CACHE_ENTRIES = 350_000
 CACHE_CHARS = 6_000_000
+#: Parts of columns, and bytes of them, that a worker remembers; beyond, those used since the last time stay.
+REMEMBERED = 1_000_000
+REMEMBERED_BYTES = 32_000_000
+#: Bytes of text that are encoded as one column.
+COLUMN_BYTES = 16_000_000
 #: Bytes of text that become Python strings at once, but for a longer text.
 SLICE_BYTES = 6_000_000
 ENCODED_AT_ONCE = 1024
@@ -31,23 +40,46 @@ JOINED = 128
 #: How a byte-level vocabulary writes a blank and a line feed.
 LEADS = {" ": "\u0120", "\n": "\u010a"}
 _CUT = re.compile(r" (?=\S)")
-_ASCII_RUNS = tuple(" " + c for c in " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f")
-_OTHER_BLANK = re.compile("[\x85\xa0  -     　]")
-_ODD_SPACE = re.compile("[\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: A part without anything, or with white space but a line feed.
+_ODD_PART = r"^$|[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 #: A byte-level BPE never merges these with a letter before them.
 MARKS = tuple(".,;:!?")
-
-
-def has_runs(text: str) -> bool:
-    """Some blank is followed by a white-space character, so not every blank starts a word."""
-    return any(run in text for run in _ASCII_RUNS) or not text.isascii() and _OTHER_BLANK.search(text) is not None
-
-
-def has_line_runs(text: str) -> bool:
-    """A line feed may stand beside other white space than a blank behind it."""
-    return "\n\n" in text or any(c in text for c in "\t\x0b\x0c\r\x1c\x1d\x1e\x1f") or not text.isascii() and _ODD_SPACE.search(text) is not None
+#: Nor a run of these with a letter or digit before it; without what the special token consists of.
+TAIL = "!\"#$%&'()*+,-./:;=?@[\\]^_`{}~"
+_ALNUM = np.array([chr(k).isascii() and chr(k).isalnum() for k in range(256)])
+
+
+def gather(pool: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of the pool that begin there, one behind the other."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    n = int(ends[-1]) if len(ends) else 0
+    # places in the pool; half as wide where they fit
+    kind = np.int32 if max(len(pool), n) < 1 << 31 else np.int64
+    source = np.repeat((begins - (ends - sizes)).astype(kind), sizes)
+    source += np.arange(n, dtype=kind)
+    return pool.take(source)
+
+
+def without_tails(parts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray, pa.StringArray]:
+    """Parts without the punctuation behind a last letter (Latin) or digit; where some was cut, and those cut ends."""
+    if not len(parts):
+        return parts, np.zeros(0, bool), parts
+    bases = pc.ascii_rtrim(parts, characters=TAIL)
+    offsets, data = (np.frombuffer(b, kind) for b, kind in zip(parts.buffers()[1:], (np.int32, np.uint8)))
+    offsets = offsets[parts.offset : parts.offset + len(parts) + 1]
+    left, sizes = pc.binary_length(bases).to_numpy(), np.diff(offsets)
+    at = np.flatnonzero((left > 0) & (left < sizes))
+    ends = offsets[at] + left[at]
+    last, before = data[ends - 1], np.where(left[at] > 1, data[ends - 2], 0)
+    # two bytes: letters from U+00C0 to U+023F
+    at = at[_ALNUM[last] | (last >= 0x80) & (before >= 0xC3) & (before <= 0xC8) & ~((before == 0xC3) & ((last == 0x97) | (last == 0xB7)))]
+    cut = np.zeros(len(parts), bool)
+    cut[at] = True
+    own = (sizes - left)[at]
+    tails = pa.StringArray.from_buffers(len(at), pa.py_buffer(np.r_[0, np.cumsum(own)].astype(np.int32)), pa.py_buffer(gather(data, (offsets[:-1] + left)[at], own)))
+    return pc.if_else(pa.array(cut), bases, parts), cut, tails
 
 
 class Encoder:
@@ -66,19 +98,29 @@ class Encoder:
         self.old: tuple[dict[str, bytes], ...] = ({}, {})
         self.marks = dict(zip(MARKS, self._alone(list(MARKS))))
         self.chars = 0
+        # of columns: parts that a blank precedes or that start with a line feed, where their ids lie in the pool, which were used of late
+        self.names = pa.array([], pa.string())
+        self.pool = np.zeros(0, "<u4")
+        self.begins, self.sizes, self.used = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, bool)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _together(self, parts: list[str], lead: str) -> list[bytes]:
-        """Ids of parts, each behind its lead, a character that isn't in them: encoded as longer texts, cut where ids start with the lead."""
+    def _flat(self, parts: list[str], lead: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts, each behind its lead, a character that isn't in them, and how many each has: encoded as longer texts, cut where ids start with the lead."""
         texts = [lead + lead.join(parts[k : k + JOINED]) for k in range(0, len(parts), JOINED)]
         ids = np.fromiter(chain.from_iterable(self._ids(texts)), "<u4")
         starts = np.flatnonzero(self.leads[lead][ids])
-        if len(starts) != len(parts):
-            return self._alone([lead + x for x in parts])
-        data, at = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
-        return [data[a:b] for a, b in zip(at, at[1:])]
+        if len(starts) == len(parts):
+            return ids, np.diff(starts, append=len(ids))
+        return self._flat_alone([lead + x for x in parts])
+
+    def _flat_alone(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self._ids(texts)
+        return np.fromiter(chain.from_iterable(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def _together(self, parts: list[str], lead: str) -> list[bytes]:
+        return _cut_up(*self._flat(parts, lead))
 
     def _alone(self, texts: list[str]) -> list[bytes]:
         return [np.array(x, "<u4").tobytes() for x in self._ids(texts)]
@@ -129,11 +171,15 @@ class Encoder:
 
     def encode(self, texts: list[str], end: bytes = b"") -> list[bytes]:
         """The ids of each text, followed by end."""
+        return _cut_up(*self.encode_column(pa.array(texts, pa.string()), end))
+
+    def encode_column(self, texts: pa.StringArray, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (null: empty), each followed by end, in a row, and how many each text has, with its end."""
+        if not len(texts):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
         gc.disable()  # nothing here is cyclic, and the collector would walk all remembered parts
         try:
-            plain = [not has_runs(text) for text in texts]
-            made = iter(self._split_at_blanks([x for x, p in zip(texts, plain) if p], end))
-            out = [next(made) if p else self._with_runs(x, end) for x, p in zip(texts, plain)]
+            out = self._column(pc.fill_null(texts, ""), end)
             if sum(map(len, self.known)) > CACHE_ENTRIES or self.chars > CACHE_CHARS:
                 self.old, self.known = self.known, ({}, {})
                 self.chars = 0
@@ -141,39 +187,127 @@ class Encoder:
         finally:
             gc.enable()
 
-    def _with_runs(self, text: str, end: bytes) -> bytes:
+    def _with_runs(self, text: str) -> bytes:
         head, *row = _CUT.split(text)
         distinct = list(set(row))
         ids = dict(zip(distinct, self._local(distinct, 1)))
-        return b"".join((*self._local([head], 0), *map(ids.__getitem__, row), end))
+        return b"".join((*self._local([head], 0), *map(ids.__getitem__, row)))
 
-    def _split_at_blanks(self, texts: list[str], end: bytes) -> list[bytes]:
-        """Texts in which no blank follows a blank: Arrow splits them and numbers the parts, whose ids are then gathered."""
-        if not texts:
-            return []
+    def _column(self, texts: pa.StringArray, end: bytes) -> tuple[np.ndarray, np.ndarray]:
         # a line feed between words starts a part as well
-        rows = pc.split_pattern(pa.array([x if has_line_runs(x) else x.replace("\n", " \n") for x in texts], pa.string()), " ")
+        rows = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
         offsets = rows.offsets.to_numpy()
+        first = offsets[:-1]
         numbered = rows.values.dictionary_encode()
-        n = len(numbered.dictionary)
-        parts = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), numbered.dictionary), " ")[0].as_py().split(" ")
-        first = rows.values.take(pa.array(offsets[:-1])).to_pylist()
-        distinct = list(set(first))
+        parts, index = numbered.dictionary, numbered.indices.to_numpy()
+        flag = lambda x: x.to_numpy(zero_copy_only=False)
+        odd, empty = flag(pc.match_substring_regex(parts, _ODD_PART)), flag(pc.equal(parts, ""))
+        line, lines = flag(pc.equal(parts, "\n")), flag(pc.starts_with(parts, "\n"))
+        # white space that can't be cut so: all of such a text is encoded apart
+        runs = odd[index]
+        runs[first] = (odd & ~empty)[index[first]]
+        runs[1:] |= line[index[:-1]] & lines[index[1:]]
+        apart = np.unique(np.searchsorted(offsets, np.flatnonzero(runs), "right") - 1).tolist()
+
+        inner = np.ones(len(index), bool)
+        inner[first] = False
+        for k in apart:
+            inner[offsets[k] : offsets[k + 1]] = False
+        wanted = np.zeros(len(parts), bool)
+        wanted[index[inner]] = True
+        index = (np.cumsum(wanted, dtype=np.int32) - 1)[index]
+        pool, sizes = self._parts(parts.filter(pa.array(wanted)))
+
+        # the first part of a text is encoded without a blank; then come texts that are apart, and the end
+        n, heads = len(sizes), rows.values.take(pa.array(first)).to_pylist()
+        for k in apart:
+            heads[k] = ""
+        distinct = list(dict.fromkeys(["", *heads]))
         at = dict(zip(distinct, range(n, n + len(distinct))))
-        index = numbered.indices.to_numpy().copy()
-        index[offsets[:-1]] = list(map(at.__getitem__, first))
-        ids = self._local(parts, 1) + self._local(distinct, 0)
-        pool = np.frombuffer(b"".join(ids), "<u4")
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        index[first] = list(map(at.__getitem__, heads))
+        own = self._local(distinct, 0)
+        for k in apart:
+            index[offsets[k] : offsets[k + 1]] = n
+            index[offsets[k]] = n + len(own)
+            own.append(self._with_runs(texts[k].as_py()))
+        if end:
+            index = np.insert(index, offsets[1:], n + len(own))
+            offsets = offsets + np.arange(len(offsets), dtype=offsets.dtype)
+            own.append(end)
+        pool = np.concatenate([pool, np.frombuffer(b"".join(own), "<u4")])
+        sizes = np.concatenate([sizes, np.fromiter(map(len, own), np.int64, len(own)) // 4])
         begins, of_part = np.cumsum(sizes) - sizes, sizes[index]
-        ends = np.cumsum(of_part)
-        # places of ids in the pool; half as wide where they fit
-        kind = np.int32 if max(len(pool), ends[-1]) < 1 << 31 else np.int64
-        source = np.repeat((begins[index] - (ends - of_part)).astype(kind), of_part)
-        source += np.arange(len(source), dtype=kind)
-        data = pool.take(source).tobytes()
-        bounds = (4 * np.r_[0, ends[offsets[1:] - 1]]).tolist()
-        return [data[a:b] + end for a, b in zip(bounds, bounds[1:])]
+        return gather(pool, begins[index], of_part), np.diff(np.r_[0, np.cumsum(of_part)[offsets[1:] - 1]])
+
+    def _parts(self, parts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these distinct parts in a row, and how many each has."""
+        if not len(parts):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        bases, cut, tails = without_tails(parts)
+        known = len(self.names)
+        numbered = pa.chunked_array([self.names, bases]).dictionary_encode().chunks[-1]
+        number = numbered.indices.to_numpy()
+        if len(numbered.dictionary) > known:
+            place = np.r_[np.arange(known), known + self._remember(numbered.dictionary.slice(known))]
+            number = place[number]
+        self.used[number] = True
+        tails = tails.dictionary_encode()
+        ids, sizes = self._flat_alone(tails.dictionary.to_pylist())
+        # each part is its base and its tail, which may be empty
+        tail = np.zeros(len(parts), np.int64)
+        tail[cut] = 1 + tails.indices.to_numpy()
+        begins, sizes = np.r_[0, np.cumsum(sizes) - sizes] + len(self.pool), np.r_[0, sizes]
+        begins = np.stack([self.begins[number], begins[tail]], 1)
+        sizes = np.stack([self.sizes[number], sizes[tail]], 1)
+        out = gather(np.concatenate([self.pool, ids]), begins.ravel(), sizes.ravel()), sizes.sum(1)
+        self._forget(number)
+        return out
+
+    def _remember(self, parts: pa.StringArray) -> np.ndarray:
+        """Encodes parts that aren't remembered; their numbers among them, from 0."""
+        words, lines, odd = [], [], []
+        new = parts.to_pylist()
+        for k, x in enumerate(new):
+            (words if x.isalpha() else odd if "<" in x or x == "\n" else lines if x[0] == "\n" else words).append(k)
+        made = []
+        for some, encode in ((words, lambda x: self._flat(x, " ")), (lines, lambda x: self._flat([y[1:] for y in x], "\n")), (odd, lambda x: self._flat_alone([y if y[0] == "\n" else " " + y for y in x]))):
+            for begin in range(0, len(some), ENCODED_AT_ONCE):  # what the library returns is many times larger than the ids
+                made.append(encode(list(map(new.__getitem__, some[begin : begin + ENCODED_AT_ONCE]))))
+        order = np.array(words + lines + odd)
+        sizes = np.concatenate([x for _, x in made]).astype(np.int32)
+        self.names = pa.concat_arrays([self.names, parts.take(pa.array(order))])
+        self.begins = np.concatenate([self.begins, (len(self.pool) + np.cumsum(sizes) - sizes).astype(np.int32)])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.used = np.concatenate([self.used, np.zeros(len(sizes), bool)])
+        self.pool = np.concatenate([self.pool, *(x for x, _ in made)])
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(len(order))
+        return number
+
+    def _forget(self, number: np.ndarray) -> None:
+        """When too much is remembered, what was used since the last time stays, or, if that is much, what was used just now."""
+        full = lambda n, size: n > REMEMBERED or size > REMEMBERED_BYTES
+        if not full(len(self.names), self.names.nbytes):
+            return
+        keep = self.used
+        for _ in range(2):
+            names = self.names.filter(pa.array(keep))
+            if not full(2 * len(names), 2 * names.nbytes):
+                break
+            keep = np.zeros(len(self.names), bool)
+            keep[number] = True
+        else:
+            keep = np.zeros(len(self.names), bool)
+            names = self.names.slice(0, 0)
+        self.pool = gather(self.pool, self.begins[keep], self.sizes[keep])
+        self.names, self.sizes = names, self.sizes[keep]
+        self.begins = (np.cumsum(self.sizes) - self.sizes).astype(np.int32)
+        self.used = np.zeros(len(names), bool)
+
+
+def _cut_up(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    data, at = ids.tobytes(), [0, *(4 * np.cumsum(sizes)).tolist()]
+    return [data[a:b] for a, b in zip(at, at[1:])]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -186,20 +320,26 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def slices(batch: pa.RecordBatch, column: int, size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Parts of a batch that hold about `size` bytes of text, or one longer text, with their texts (null: empty)."""
+def cut_batch(batch: pa.RecordBatch, column: int, size: int = COLUMN_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch that hold about `size` bytes of text, or one longer text."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).tolist()
     begin = held = 0
     for k, n in enumerate([*lengths, size]):
         if k == len(lengths) or held and held + n > size:
             own = batch.slice(begin, k - begin)
             if own.num_rows:
-                yield own, [x or "" for x in own.column(column).to_pylist()]
+                yield own
             begin, held = k, 0
         held += n + 1
     give_back()
 
 
+def slices(batch: pa.RecordBatch, column: int, size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Parts of a batch that hold about `size` bytes of text, or one longer text, with their texts (null: empty)."""
+    for own in cut_batch(batch, column, size):
+        yield own, [x or "" for x in own.column(column).to_pylist()]
+
+
 def default_tokenizer() -> str:
     """The public byte-level BPE with 50,257 ids."""
     import public_tokenizers

@@ -35,10 +35,9 @@ def encode_table(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2,
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoding.encoder(path)
         for batch in batches:
-            for own, texts in encoding.slices(batch, 1):
-                data = encoder.encode(texts, end)
-                sizes = np.fromiter(map(len, data), np.int64, len(data)) // 4
-                ids = pa.Array.from_buffers(pa.int32(), int(sizes.sum()), [None, pa.py_buffer(b"".join(data))])
+            for own in encoding.cut_batch(batch, 1):
+                data, sizes = encoder.encode_column(own.column(1), end)
+                ids = pa.Array.from_buffers(pa.int32(), len(data), [None, pa.py_buffer(data)])
                 offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
                 columns = [own.column(0), pa.array(sizes), pa.ListArray.from_arrays(offsets, ids), *own.columns[2:]]
                 yield pa.record_batch(columns, ["doc_id", "n_tokens", "ids", *metadata])
