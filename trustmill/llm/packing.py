@@ -27,6 +27,8 @@ from .shared import materialize
 
 PIECES = "piece_id long, doc_id long, piece int, start long, length long, ids binary"
 
+#: Bytes of text that are encoded at once.
+ENCODED_BYTES = 8_000_000
 #: Documents of a shard, on average: bounds what one task evolves.
 SHARD = 4096
 ISLANDS = 2
@@ -57,16 +59,21 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
         task = TaskContext.get()
         number = (task.partitionId() if task else 0) << 33
         for batch in batches:
-            for own, texts in encoding.slices(batch, 1):
+            for own in encoding.cut_batch(batch, 1, ENCODED_BYTES):
+                ids, sizes = encoder.encode_column(own.column(1), end)
                 rows = []
-                for doc_id, data in zip(own.column(0).to_pylist(), encoder.encode(texts, end)):
-                    starts = cut_ids(len(data) // 4, capacity)
-                    for k, (s, e) in enumerate(zip(starts, [*starts[1:], len(data) // 4])):
-                        rows.append((number, doc_id, k, s, e - s, data[4 * s : 4 * e]))
+                for doc_id, n in zip(own.column(0).to_pylist(), sizes.tolist()):
+                    starts = cut_ids(n, capacity)
+                    for k, (s, e) in enumerate(zip(starts, [*starts[1:], n])):
+                        rows.append((number, doc_id, k, s, e - s))
                         number += 1
                 names = ["piece_id", "doc_id", "piece", "start", "length", "ids"]
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names)
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+                columns = [pa.array(x, t) for x, t in zip(zip(*rows), kinds)]
+                # pieces lie one behind the other, as the ids do
+                bounds = pa.array(4 * np.r_[0, np.cumsum(columns[4].to_numpy())], pa.int32())
+                columns.append(pa.Array.from_buffers(pa.binary(), len(rows), [None, bounds.buffers()[1], pa.py_buffer(ids)]))
+                yield pa.record_batch(columns, names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(pieces, PIECES)
 
