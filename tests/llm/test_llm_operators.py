@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -545,3 +546,37 @@ def test_columns_of_random_texts_are_encoded_as_by_the_library(monkeypatch):
         want = [own.tokenizer.encode(x or "", add_special_tokens=False).ids + [2] for x in texts[3:]]
         assert sizes.tolist() == list(map(len, want)) and ids.tolist() == [x for some in want for x in some]
         assert len(own.names) <= 40
+
+
+def test_encoding_holds_little_more_than_the_ids(monkeypatch):
+    """Runs of ids are gathered block by block: what is as long as a column's parts or ids isn't there several times."""
+    r = np.random.default_rng(3)
+    pool, begins, sizes = np.arange(1000, dtype="<u4"), r.integers(0, 990, 1_000_000), r.integers(0, 9, 1_000_000)
+    index = r.integers(0, len(sizes), 1_500_000, dtype=np.int32)
+
+    def most(run):
+        tracemalloc.start()
+        try:
+            return run(), tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    found, held = most(lambda: encoding.gather(pool, begins, sizes))
+    assert held < 1.6 * found.nbytes
+    ends = np.cumsum(sizes)
+    assert all(found[e - n : e].tolist() == list(range(b, b + n)) for b, n, e in zip(begins[:70_000].tolist(), sizes[:70_000].tolist(), ends[:70_000].tolist())) and len(found) == ends[-1]
+    named, held = most(lambda: encoding.gather(pool, begins, sizes, index))
+    assert held < 2 * named.nbytes and (named == encoding.gather(pool, begins[index], sizes[index])).all()
+    assert not len(encoding.gather(pool, begins[:0], sizes[:0])) and not len(encoding.gather(pool, begins, sizes, index[:0]))
+
+    own = encoding.Encoder(encoding.default_tokenizer())
+    words = [f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{k}" for k in range(20_000)]
+    texts = pa.array([" ".join(words[k] for k in r.integers(0, len(words), 500).tolist()) for _ in range(1200)])
+    once = own.encode_column(texts)
+    (ids, sizes), held = most(lambda: own.encode_column(texts))
+    assert held < 2.5 * ids.nbytes and (ids == once[0]).all()
+    given = []
+    monkeypatch.setattr(encoding, "give_back", lambda: given.append(1))
+    own.encode_column(texts)
+    own.encode_column(texts.slice(0, 1).take(pa.array([0])))
+    assert given == [1]  # after a large column

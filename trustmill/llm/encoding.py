@@ -34,6 +34,10 @@ COLUMN_BYTES = 16_000_000
 #: Bytes of text that become Python strings at once, but for a longer text.
 SLICE_BYTES = 6_000_000
 ENCODED_AT_ONCE = 1024
+#: After a column of more bytes, freed memory goes back at once: a task's next columns would add to what is held.
+GIVEN_BACK_BYTES = 1_000_000
+#: Runs of ids that are gathered at once.
+GATHERED_AT_ONCE = 1 << 16
 #: Parts of one text that the library encodes.
 JOINED = 128
 
@@ -51,15 +55,25 @@ TAIL = "!\"#$%&'()*+,-./:;=?@[\\]^_`{}~"
 _ALNUM = np.array([chr(k).isascii() and chr(k).isalnum() for k in range(256)])
 
 
-def gather(pool: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The runs of the pool that begin there, one behind the other."""
-    ends = np.cumsum(sizes, dtype=np.int64)
-    n = int(ends[-1]) if len(ends) else 0
-    # places in the pool; half as wide where they fit
-    kind = np.int32 if max(len(pool), n) < 1 << 31 else np.int64
-    source = np.repeat((begins - (ends - sizes)).astype(kind), sizes)
-    source += np.arange(n, dtype=kind)
-    return pool.take(source)
+def gather(pool: np.ndarray, begins: np.ndarray, sizes: np.ndarray, index: np.ndarray | None = None) -> np.ndarray:
+    """The runs of the pool that begin there, one behind the other; with an index, those that it names, in its order.
+
+    Block by block, so that only the result is as long as all runs.
+    """
+    total = int((sizes if index is None else sizes[index]).sum(dtype=np.int64))
+    out, filled = np.empty(total, pool.dtype), 0
+    for k in range(0, len(sizes if index is None else index), GATHERED_AT_ONCE):
+        some = slice(k, k + GATHERED_AT_ONCE) if index is None else index[k : k + GATHERED_AT_ONCE]
+        own = sizes[some]
+        ends = np.cumsum(own, dtype=np.int64)
+        n = int(ends[-1])
+        # places in the pool; half as wide where they fit
+        kind = np.int32 if max(len(pool), n) < 1 << 31 else np.int64
+        source = np.repeat((begins[some] - (ends - own)).astype(kind), own)
+        source += np.arange(n, dtype=kind)
+        pool.take(source, out=out[filled : filled + n], mode="clip")  # all places are in the pool; else numpy makes another copy
+        filled += n
+    return out
 
 
 def without_tails(parts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray, pa.StringArray]:
@@ -183,6 +197,8 @@ class Encoder:
             if sum(map(len, self.known)) > CACHE_ENTRIES or self.chars > CACHE_CHARS:
                 self.old, self.known = self.known, ({}, {})
                 self.chars = 0
+            if texts.nbytes > GIVEN_BACK_BYTES:
+                give_back()
             return out
         finally:
             gc.enable()
@@ -216,10 +232,12 @@ class Encoder:
         wanted = np.zeros(len(parts), bool)
         wanted[index[inner]] = True
         index = (np.cumsum(wanted, dtype=np.int32) - 1)[index]
-        pool, sizes = self._parts(parts.filter(pa.array(wanted)))
+        heads, parts = rows.values.take(pa.array(first)).to_pylist(), parts.filter(pa.array(wanted))
+        del rows, numbered, runs, inner  # as large as the column; what follows needs as much again
+        pool, sizes = self._parts(parts)
 
         # the first part of a text is encoded without a blank; then come texts that are apart, and the end
-        n, heads = len(sizes), rows.values.take(pa.array(first)).to_pylist()
+        n = len(sizes)
         for k in apart:
             heads[k] = ""
         distinct = list(dict.fromkeys(["", *heads]))
@@ -236,8 +254,7 @@ class Encoder:
             own.append(end)
         pool = np.concatenate([pool, np.frombuffer(b"".join(own), "<u4")])
         sizes = np.concatenate([sizes, np.fromiter(map(len, own), np.int64, len(own)) // 4])
-        begins, of_part = np.cumsum(sizes) - sizes, sizes[index]
-        return gather(pool, begins[index], of_part), np.diff(np.r_[0, np.cumsum(of_part)[offsets[1:] - 1]])
+        return gather(pool, np.cumsum(sizes) - sizes, sizes, index), np.add.reduceat(sizes[index], offsets[:-1])
 
     def _parts(self, parts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of these distinct parts in a row, and how many each has."""
@@ -246,9 +263,11 @@ class Encoder:
         bases, cut, tails = without_tails(parts)
         known = len(self.names)
         numbered = pa.chunked_array([self.names, bases]).dictionary_encode().chunks[-1]
-        number = numbered.indices.to_numpy()
-        if len(numbered.dictionary) > known:
-            place = np.r_[np.arange(known), known + self._remember(numbered.dictionary.slice(known))]
+        number, new = numbered.indices.to_numpy(), numbered.dictionary
+        new = new.take(pa.array(np.arange(known, len(new))))  # a copy, for the dictionary holds all that is remembered
+        del numbered, bases
+        if len(new):
+            place = np.r_[np.arange(known), known + self._remember(new)]
             number = place[number]
         self.used[number] = True
         tails = tails.dictionary_encode()
