@@ -108,3 +108,65 @@ def test_log_is_stored_lean(spark, monkeypatch):
     assert {(r.fact_key, r.reason) for r in conflicts.collect()} == {("f2", "another version"), ("none", "unknown fact"), (key("none", 1), "unknown fact")}
     assert [df.count() for name, df in made if name == "rooted"] == [4, 1]
     assert [(r.event is None, r.reason is None) for name, df in made if name == "folded" for r in df.filter("what = 'event'").collect()] == [(False, False)]
+
+
+def test_a_log_that_tells_cells_moves_once(spark, monkeypatch):
+    """Nothing is stored and nothing joined with the log; the results are those of the same log without cells, in batches of any size."""
+    r = random.Random(5)
+    names = [f"f{k}" for k in range(20)] + ["x" * 32, "y" * 32, "ab" * 32, "AB" * 32, "zz" * 32, ""]
+    facts = [fact(n, f"m{k % 6}", r.choice(["NEEDS_REVIEW", "VALIDATED", "REJECTED"]), r.choice(["s", "s", "t", "gone"]), k) for k, n in enumerate(names)]
+    keys, events = [(f[0], f[5]) for f in facts], []
+    for at in range(400):
+        k, metric = r.choice(keys)
+        action = r.choice(["VALIDATE", "REJECT", "CORRECT", "DROP"] if at % 9 == 0 else ["VALIDATE", "REJECT", "CORRECT"])
+        events.append((k, r.choice([1, 1, 2, 3]), at // 3, action, Decimal(at), metric))
+        if action == "CORRECT":
+            keys.append((key(k, at // 3), metric))
+    events.append(("none", 1, 1, "REJECT", None, "m0"))
+    table, log = spark.createDataFrame(facts, FACTS), spark.createDataFrame(events, EVENTS + ", metric string")
+    log = log.selectExpr("*", "'600080' AS stock_code", "'2024FY' AS period", "'consolidated' AS statement_scope", "'duration' AS period_type")
+    current = spark.createDataFrame([("s",), ("t",)], "source_key string")
+    rows = lambda dfs: [sorted(map(repr, df.collect())) for df in dfs]
+    want = rows(rv.fold_reviews(table, log.drop(*rv.CELL), current))
+    monkeypatch.setattr(rv, "stored", None)
+    for size in ("10000", "7", "1"):
+        monkeypatch.setattr(rv, "TASK_ROWS", int(size))
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = rv.fold_reviews(table, log, current)
+            assert rows(got) == want
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plan = got[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("RepartitionByExpression") == 1  # the join with current alone
+    lean = rv.fold_reviews(table, log, current, keep=["fact_key", "validation_status"])[0]
+    assert lean.columns == ["fact_key", "validation_status"] and lean.count() == len(want[0])
+
+
+def test_events_of_one_seq_come_in_the_order_of_keys(spark):
+    a, b = "00" * 31 + "0a", "00" * 31 + "0b"
+    got, conflicts = fold(spark, [fact(b, "m"), fact(a, "m", source="t")], [(b, 1, 1, "VALIDATE", None), (a, 1, 1, "VALIDATE", None)])
+    assert got == {a: ("VALIDATED", 2, 5), b: ("NEEDS_REVIEW", 1, 5)} and conflicts == [(1, rv.REASONS[4])]
+
+
+def test_short_keys_tell_keys_apart(spark):
+    keys = ["", "a", "x" * 32, "x" * 33, "ab" * 32, "AB" * 32, "g" * 64, "ab" * 16, "é" * 16, "\x00" * 32, key("a", 1), None]
+    rows = spark.createDataFrame([(k,) for k in keys], "k string").select("k", rv.short(F.col("k")).alias("s")).select("k", "s", rv.plain(F.col("s")).alias("p")).collect()
+    assert all(r.k == r.p for r in rows) and len({bytes(r.s) for r in rows if r.s is not None}) == len(keys) - 1
+    assert len(next(r.s for r in rows if r.k == "ab" * 32)) == 32
+
+
+def test_rows_of_one_key_multiply_no_events(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(rv, "stored", lambda df, name: made.append((name, kept := spark.createDataFrame(df.collect(), df.schema))) or kept)
+    facts, events = spark.createDataFrame([fact("a", "m")] * 30, FACTS), spark.createDataFrame([("a", 1, k, "REJECT", None) for k in range(30)], EVENTS)
+    after, conflicts = rv.fold_reviews(facts, events)
+    assert [(r.validation_status, r.review_version) for r in after.collect()] == [("REJECTED", 2)] * 30 and conflicts.count() == 29
+    assert [df.count() for name, df in made if name == "placed"] == [30]
+
+
+def test_a_short_log_leaves_other_facts_out(spark):
+    facts = [fact(f"f{k}", f"m{k}") for k in range(40)]
+    got, conflicts = fold(spark, facts, [("f3", 1, 1, "CORRECT", Decimal(9)), ("f4", 1, 2, "VALIDATE", None), ("f4", 1, 3, "REJECT", None)])
+    want = {f[0]: ("NEEDS_REVIEW", 1, 5) for f in facts} | {"f3": ("REJECTED", 2, 5), key("f3", 1): ("VALIDATED", 1, 9), "f4": ("VALIDATED", 2, 5)}
+    assert got == want and conflicts == [(3, rv.REASONS[2])]
