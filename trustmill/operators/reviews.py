@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -107,6 +109,35 @@ class Cell:
         self.add(new_key, made)
 
 
+def _bytes(array: pa.Array) -> list[bytes | None]:
+    if array.null_count or array.type != pa.binary() or not len(array):
+        return array.to_pylist()
+    ends, data = np.frombuffer(array.buffers()[1], np.int32)[array.offset : array.offset + len(array) + 1].tolist(), array.buffers()[2]
+    begin = ends[0]
+    held = data.slice(begin, ends[-1] - begin).to_pybytes() if data else b""
+    return [held[a - begin : b - begin] for a, b in itertools.pairwise(ends)]
+
+
+def _few(array: pa.Array) -> list[str | None]:
+    """Texts of which there are few different ones."""
+    coded = array.dictionary_encode(null_encoding="encode")
+    texts = coded.dictionary.to_pylist()
+    return [texts[k] for k in coded.indices.to_numpy().tolist()]
+
+
+def _whole(array: pa.Array) -> list[int | None]:
+    return array.to_pylist() if array.null_count else array.to_numpy().tolist()
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[bytes, int, int, int]]:
+    """The runs of a cell's rows: cell, begin, begin of its events, end."""
+    n, cells = batch.num_rows, _bytes(batch.column("cell"))
+    asked = np.concatenate([[0], np.cumsum(batch.column("event").is_valid().to_numpy(zero_copy_only=False))]).tolist()
+    begins = [i for i in range(n) if not i or cells[i] != cells[i - 1]]
+    for a, b in itertools.pairwise([*begins, n]):
+        yield cells[a], a, b - (asked[b] - asked[a]), b
+
+
 def _folded(rows: DataFrame, tasks: int) -> DataFrame:
     """Facts as events have made them, made ones, and events without effect and why, from (cell, key, event, ...): facts have no event.
 
@@ -130,7 +161,8 @@ def _folded(rows: DataFrame, tasks: int) -> DataFrame:
                 if fact.touched and key not in cell.made:
                     for at in fact.rows:
                         statuses[at - first], versions[at - first] = fact.status, fact.version
-            made.extend((f.rows[0] - first, k, f.status, f.version, f.value) for k, f in cell.made.items())
+            if cell.made:
+                made.extend((f.rows[0] - first, k, f.status, f.version, f.value) for k, f in cell.made.items())
 
         def ready(n: int, types: dict[str, pa.DataType], **columns: pa.Array | list) -> pa.RecordBatch:
             arrays = [columns.get(name, pa.nulls(n, types[name])) for name in schema.names]
@@ -155,31 +187,32 @@ def _folded(rows: DataFrame, tasks: int) -> DataFrame:
         types: dict[str, pa.DataType] = {}
         for batch in batches:
             types = {n: batch.schema.field(n).type for n in schema.names if n in batch.schema.names} | {"what": pa.string(), "reason": pa.string()}
-            event, values, marks = batch.column("event"), batch.column("value"), batch.column(mark).to_pylist()
+            event, values, marks = batch.column("event"), batch.column("value"), batch.column(mark)
             if "row" in extra:
                 held.append(batch.column("row").filter(event.is_null()))
             refused, reasons = [], []
-            columns = (batch.column(n).to_pylist() for n in ("cell", "key", "status", "version", "open", "on_page"))
-            for i, (at, is_fact, key, status, version, open_, on_page) in enumerate(zip(next(columns), event.is_null().to_pylist(), *columns, strict=True)):
+            key, status, version = _bytes(batch.column("key")), _few(batch.column("status")), _whole(batch.column("version"))
+            open_, on_page = (batch.column(n).fill_null(False).to_numpy(zero_copy_only=False).tolist() for n in ("open", "on_page"))
+            for at, start, middle, end in _runs(batch):
                 if at != now:
                     leave()
                     now, cell, begun = at, Cell(), first + len(keys)
-                if is_fact:
-                    fact, twin = Fact(status, version, open_, on_page, []), cell.facts.get(key)
+                for i in range(start, middle):
+                    fact, twin = Fact(status[i], version[i], open_[i], on_page[i], [first + len(keys)]), cell.facts.get(key[i])
                     if twin is not None:
+                        twin.rows += fact.rows
                         fact.rows = twin.rows
-                    fact.rows.append(first + len(keys))
-                    cell.add(key, fact)
-                    keys.append(key)
-                    statuses.append(status)
-                    versions.append(version)
-                    continue
-                reason = cell.take(key, version, status)
-                if reason is not None:
-                    refused.append(i)
-                    reasons.append(reason)
-                elif status == "CORRECT":
-                    cell.correct(key, _corrected(key, marks[i]), values[i].as_py())
+                    cell.add(key[i], fact)
+                    keys.append(key[i])
+                    statuses.append(status[i])
+                    versions.append(version[i])
+                for i in range(middle, end):
+                    reason = cell.take(key[i], version[i], status[i])
+                    if reason is not None:
+                        refused.append(i)
+                        reasons.append(reason)
+                    elif status[i] == "CORRECT":
+                        cell.correct(key[i], _corrected(key[i], marks[i].as_py()), values[i].as_py())
             if refused and "said" in extra:
                 some = batch.take(pa.array(refused, pa.int64()))
                 yield ready(len(refused), types, what=["event"] * len(refused), event=some.column("event"), reason=reasons, key=some.column("key"), said=some.column("said"))
@@ -245,7 +278,7 @@ def fold_reviews(facts: DataFrame, events: DataFrame, current: DataFrame | None
     said = F.struct("expected_version", "seq", "action", "new_value").alias("said")
     # a correction's seq as key_of reads it; whole numbers read the same in Python
     marks = [] if dict(events.dtypes)["seq"] in ("tinyint", "smallint", "int", "bigint") else [F.when(corrects, F.col("seq").cast("string")).alias("mark")]
-    asked = placed.filter("cell IS NOT NULL").select("cell", "key", "event", "seq", *marks, F.col("action").alias("status"), F.col("expected_version").cast("long").alias("version"), F.when(corrects, value).alias("value"), said)
+    asked = (placed if named else placed.filter("cell IS NOT NULL")).select("cell", "key", "event", "seq", *marks, F.col("action").alias("status"), F.col("expected_version").cast("long").alias("version"), F.when(corrects, value).alias("value"), said)
 
     # of a short log, only the facts of cells that events touch are folded; beside a long one, to find them moves more than it saves
     asked_rows, known_rows, others = placed.count(), facts.count(), None
@@ -263,5 +296,7 @@ def fold_reviews(facts: DataFrame, events: DataFrame, current: DataFrame | None
     if others is not None:
         after = after.select("what", "key", "status", "version", "value", "row").unionByName(others.select(F.lit("fact").alias("what"), "key", "status", "version", F.lit(None).cast(types["normalized_value"]).alias("value"), "row"))
     made = {"fact_key": plain(F.col("key")), "validation_status": F.col("status"), "review_version": F.col("version").cast(types["review_version"]), "normalized_value": F.when(F.col("what") == "made", F.col("value")).otherwise(F.col("row.normalized_value")) if "normalized_value" in own else None}
-    conflicts = refused.select("key", "said", "reason").unionByName(placed.filter("cell IS NULL").select("key", said, F.lit(REASONS[0]).alias("reason")))
+    conflicts = refused.select("key", "said", "reason")
+    if not named:
+        conflicts = conflicts.unionByName(placed.filter("cell IS NULL").select("key", said, F.lit(REASONS[0]).alias("reason")))
     return after.select(*(made.get(c, F.col("row").getField(c)).alias(c) for c in keep)), conflicts.select(plain(F.col("key")).alias("fact_key"), "said.*", "reason")
